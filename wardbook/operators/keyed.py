@@ -56,35 +56,42 @@ def complete_requests(requests: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).select(*requests.columns)
 
 
-def dispense(
-    records: DataFrame,
-    events: DataFrame,
-    event_time: str | None = None,
-    record_time: str = "timestamp",
+def match_dispenses(
+    records: DataFrame, events: DataFrame, event_time: str | None = None
 ) -> DataFrame:
-    """Every record of a patient named by a dispense event becomes dispensed.
+    """Records with ``__served`` (a dispense event names the patient) and ``__served_at``.
 
     With ``event_time``, an event reaches only the records that existed by then,
     which is what folding a log of events at a later time needs.
     """
-    when = F.lit(None).cast("string") if event_time is None else F.col(event_time)
+    at = F.lit(None).cast("timestamp")
+    if event_time is not None:
+        at = parse_timestamp(F.col(event_time))
     served = (
         events.filter(F.col("patient_id").isNotNull())
         .groupBy("patient_id")
-        .agg(F.lit(True).alias("__served"), F.max(when).alias("__served_at"))
+        .agg(F.lit(True).alias("__served"), F.max(at).alias("__served_at"))
     )
-    hit: Column = F.col("__served")
-    if event_time is not None:
-        written = parse_timestamp(F.col(record_time))
-        hit = hit & (written.isNull() | (written <= parse_timestamp(F.col("__served_at"))))
     joined = left_join_unique(records, served, ["patient_id"])
-    done = F.coalesce(hit, F.lit(False))
+    hit = F.col("__served")
+    if event_time is not None:
+        written = parse_timestamp(F.col("timestamp"))
+        hit = hit & (written.isNull() | (written <= F.col("__served_at")))
+    return joined.withColumn("__served", F.coalesce(hit, F.lit(False)))
+
+
+def dispense(records: DataFrame, events: DataFrame, event_time: str | None = None) -> DataFrame:
+    """Every record of a patient named by a dispense event becomes dispensed.
+
+    The timestamp an event carries plays no part in the match.
+    """
+    matched = match_dispenses(records, events, event_time)
 
     def updated(name: str) -> Column:
-        return F.when(done, fv.STATUS_DISPENSED).otherwise(F.col(name))
+        return F.when(F.col("__served"), fv.STATUS_DISPENSED).otherwise(F.col(name))
 
     states = [c for c in ("status", "pharmacy_status") if c in records.columns]
-    return joined.withColumns({c: updated(c) for c in states}).select(*records.columns)
+    return matched.withColumns({c: updated(c) for c in states}).select(*records.columns)
 
 
 def unmatched_events(events: DataFrame, records: DataFrame) -> DataFrame:
@@ -94,11 +101,12 @@ def unmatched_events(events: DataFrame, records: DataFrame) -> DataFrame:
     return asked.join(known, "patient_id", "left_anti")
 
 
-def update_status(records: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
-    """The latest event that matches a record sets its status.
+def match_updates(records: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
+    """Records with ``__status`` and ``__order`` of the latest event that matches.
 
     A record matches when its transcript equals the event's and its timestamp
-    text contains the event's first token, taken literally. ``order`` ranks events.
+    text contains the event's first token, taken literally. ``order`` ranks the
+    events; both columns are null on a record that none of them matches.
 
     Containment is turned into equality, so that no group of equal transcripts is
     ever paired up: for each transcript the token lengths in use are known (a set
@@ -156,16 +164,23 @@ def update_status(records: DataFrame, events: DataFrame, order: list[str]) -> Da
     matched = left_join_unique(cut, tokens, ["__text", "__token"]).filter(
         F.col("__order").isNotNull()
     )
-    latest = matched.groupBy("__text", "__stamp").agg(
-        F.max_by("__status", "__order").alias("__status"), F.lit(True).alias("__matched")
+    latest = last_per_key(
+        matched.select("__text", "__stamp", "__status", "__order"),
+        ["__text", "__stamp"],
+        ["__order"],
     )
-    joined = left_join_unique(
+    return left_join_unique(
         records.withColumns({"__text": transcript, "__stamp": F.col("timestamp")}),
         latest,
         ["__text", "__stamp"],
-    )
-    status = F.when(F.col("__matched"), F.col("__status")).otherwise(F.col("status"))
-    return joined.withColumn("status", status).select(*records.columns)
+    ).drop("__text", "__stamp")
+
+
+def update_status(records: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
+    """The latest event that matches a record sets its status."""
+    matched = match_updates(records, events, order)
+    status = F.when(F.col("__order").isNull(), F.col("status")).otherwise(F.col("__status"))
+    return matched.withColumn("status", status).select(*records.columns)
 
 
 def attach_analyses(reports: DataFrame, analyses: DataFrame, order: list[str]) -> DataFrame:

@@ -13,6 +13,9 @@ from wardbook.session import shared_folder
 
 DATE_COLUMN = "event_date"
 BATCH_COLUMN = "ingest_batch"
+PARTITION_COLUMNS = [DATE_COLUMN, BATCH_COLUMN]
+PLAIN_APPEND = "append"
+UNDATED = "1970-01-01"
 
 
 def delta_available(spark: SparkSession) -> bool:
@@ -36,8 +39,9 @@ def audit_projection(df: DataFrame) -> DataFrame:
 
 
 def with_event_date(df: DataFrame) -> DataFrame:
-    """The partition column, from the payload's own time."""
-    return df.withColumn(DATE_COLUMN, F.to_date(parse_timestamp(F.col("timestamp"))))
+    """The partition column, from the payload's own time; 1970-01-01 if unreadable."""
+    day = F.to_date(parse_timestamp(F.col("timestamp")))
+    return df.withColumn(DATE_COLUMN, F.coalesce(day, F.lit(UNDATED).cast("date")))
 
 
 def in_table_form(df: DataFrame, schema: StructType = schemas.AUDIT_RECORD) -> DataFrame:
@@ -61,8 +65,11 @@ def append_to_table(
     ``rebalance`` sizes the files from the measured shuffle: small days share a
     task, and a day that holds most of the rows is split over many.
     """
-    rows = with_event_date(in_table_form(df, schema)).hint("rebalance", DATE_COLUMN)
-    writer = rows.write.mode("append").format(table_format).partitionBy(DATE_COLUMN)
+    rows = with_event_date(in_table_form(df, schema)).withColumn(
+        BATCH_COLUMN, F.lit(PLAIN_APPEND)
+    )
+    rows = rows.hint("rebalance", DATE_COLUMN)
+    writer = rows.write.mode("append").format(table_format).partitionBy(*PARTITION_COLUMNS)
     if table_format == "delta":
         writer = writer.option("mergeSchema", "true")
     writer.save(path)
@@ -75,17 +82,19 @@ def write_batch(df: DataFrame, path: str, batch: str, schema: StructType) -> Non
     partitions its first run wrote.
     """
     rows = with_event_date(in_table_form(df, schema)).withColumn(BATCH_COLUMN, F.lit(batch))
-    (
-        rows.hint("rebalance", DATE_COLUMN)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DATE_COLUMN, BATCH_COLUMN)
-        .parquet(path)
-    )
+    _overwrite(rows.hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS)
+
+
+def _overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def replace_partitions(
-    spark: SparkSession, rows: DataFrame, path: str, partition_by: list[str]
+    spark: SparkSession,
+    rows: DataFrame,
+    path: str,
+    partition_by: list[str] = PARTITION_COLUMNS,
 ) -> None:
     """Replace the partitions that ``rows`` covers and leave all others alone.
 
@@ -95,10 +104,4 @@ def replace_partitions(
     aside = shared_folder(spark, "rewrite")
     rows.write.partitionBy(*partition_by).parquet(aside)
     staged = spark.read.schema(rows.schema).parquet(aside)
-    (
-        staged.hint("rebalance", *partition_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    _overwrite(staged.hint("rebalance", *partition_by), path, partition_by)

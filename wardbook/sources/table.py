@@ -15,6 +15,7 @@ def scan_audit_table(
     schema: StructType = schemas.AUDIT_RECORD,
     table_format: str = "parquet",
     skip_corrupt: bool = False,
+    keep_batch: bool = False,
 ) -> DataFrame:
     """The audit table under its newest schema.
 
@@ -26,7 +27,8 @@ def scan_audit_table(
     if table_format == "delta":
         return reader.format("delta").load(path)
     wide = StructType([*schema.fields, schemas.AUDIT_PARTITION])
-    return reader.schema(wide).parquet(path).drop(BATCH_COLUMN)
+    rows = reader.schema(wide).parquet(path)
+    return rows if keep_batch else rows.drop(BATCH_COLUMN)
 
 
 def scan_any_columns(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
