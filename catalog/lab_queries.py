@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.standins import LAB_REPORTS, RECORDS, lab_reports, read, records, sql_text
 from wardbook import fixed_values as fv
-from wardbook.functions import json_text, lab
+from wardbook.functions import lab
 from wardbook.plans.extraction import add_requested_test
-from wardbook.plans.lab_loop import analyse_reports, analysis_prompts
+from wardbook.plans.lab_loop import analyse_reports, analysis_prompts, with_analysis
 from wardbook.plans.prompts import ANALYSIS_PROMPT, TESTS_SLOT
 
 _LINES = r"""array_to_string(list_transform(lab_tests, lambda t: '- ' || t.test_name || ': ' || t.value
@@ -142,9 +142,8 @@ def analysis_parse(spark, sf_dir):
     number = F.get_json_object("props", "$.k")
     answer = F.concat(F.lit('Sure. {"summary": '), number, F.lit(', "recommendation": "x"}'))
     response = F.when(F.col("event_type") == "view", answer).otherwise(F.col("event_type"))
-    fields = json_text.analysis_fields(response)
-    shown = [value.alias(key) for key, value in fields.items()]
-    return read(spark, sf_dir, "events").select("event_id", *shown)
+    answers = read(spark, sf_dir, "events").select("event_id", response.alias("response"))
+    return with_analysis(answers).drop("response")
 
 
 _NO_MODEL = ", ".join(

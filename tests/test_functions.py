@@ -1,0 +1,300 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from wardbook import fixed_values as fv
+from wardbook.functions import display, ids, json_text, lab, timestamps, transcript
+from wardbook.plans.extraction import add_requested_test, with_drafts
+from wardbook.plans.lab_loop import with_analysis
+from wardbook.plans.prompts import analysis_prompt, extraction_prompt
+
+
+def column(spark, values, expression, type_="string"):
+    frame = spark.createDataFrame(list(enumerate(values)), f"i int, v {type_}")
+    rows = frame.select("i", expression(F.col("v")).alias("r")).orderBy("i").collect()
+    return [row["r"] for row in rows]
+
+
+def test_parse_timestamp(spark):
+    texts = [
+        "2026-03-14T00:15:40.123456",
+        "2026-03-14T00:15:40",
+        "2026-03-14 00:15:40",
+        "2026-03-14",
+        "junk",
+        "",
+        "12:30:00",
+        None,
+    ]
+    at = dt.datetime(2026, 3, 14, 0, 15, 40)
+    assert column(spark, texts, timestamps.parse_timestamp) == [
+        at.replace(microsecond=123456),
+        at,
+        at,
+        dt.datetime(2026, 3, 14),
+        None,
+        None,
+        None,
+        None,
+    ]
+
+
+def test_time_texts(spark):
+    def of(fn):
+        return column(
+            spark,
+            ["2026-03-04T09:05:07.000012", None],
+            lambda c: fn(timestamps.parse_timestamp(c)),
+        )
+
+    assert of(timestamps.to_seconds_text) == ["2026-03-04 09:05:07", None]
+    assert of(timestamps.calendar_date) == ["2026-03-04", None]
+    assert of(timestamps.display_date) == ["Mar 4, 2026", None]
+    assert of(timestamps.display_time) == ["09:05 AM", None]
+    assert of(timestamps.utc_stamp) == ["2026-03-04T09:05:07.000012", None]
+    assert of(ids.file_stamp) == ["20260304_090507", None]
+
+
+def test_utc_stamp_defaults_to_now(spark):
+    stamp = spark.range(1).select(timestamps.utc_stamp().alias("s")).first()["s"]
+    assert abs(dt.datetime.fromisoformat(stamp) - dt.datetime.now(dt.UTC).replace(tzinfo=None)) < dt.timedelta(minutes=5)
+
+
+def test_first_token(spark):
+    texts = ["2026-03-14 00:15:40", "  a\tb", "2026-03-14T00:15:40", "", "  ", None]
+    assert column(spark, texts, timestamps.first_token) == [
+        "2026-03-14", "a", "2026-03-14T00:15:40", None, None, None,
+    ]
+
+
+def test_document_ids_differ_within_a_second_and_repeat(spark):
+    at = dt.datetime(2026, 3, 14, 0, 15, 40)
+    frame = spark.createDataFrame([("p1", at), ("p2", at), ("p1", at)], "p string, at timestamp")
+    made = [
+        r[0]
+        for r in frame.select(ids.document_id("LAB-", F.col("at"), F.col("p"))).collect()
+    ]
+    assert made[0] == made[2] != made[1]
+    assert made[0].startswith("LAB-1773447340-") and len(made[0]) == len("LAB-1773447340-") + 8
+
+
+@pytest.mark.parametrize(
+    ("name", "extension"),
+    [("a.pdf", ".pdf"), ("a.tar.gz", ".gz"), ("noext", ""), (".hidden", ""), ("x/y.z/f", ""), ("a.", ".")],
+)
+def test_attachment_path(spark, name, extension):
+    got = column(spark, [name], lambda c: ids.attachment_path(F.lit("P"), F.lit("2026-03-14"), c))
+    assert got == ["lab_reports/lab_P_2026-03-14" + extension]
+
+
+def test_attachment_path_without_file(spark):
+    assert column(spark, [None], lambda c: ids.attachment_path(F.lit("P"), F.lit("d"), c)) == [None]
+
+
+def test_audio_names(spark):
+    names = ["a.wav", "b.MP3", "c.mp3", "d.webm.txt", "wav", "e.m4a", "f.ogg", "g.webm"]
+    assert column(spark, names, ids.is_audio_file) == [
+        True, False, True, False, False, True, True, True,
+    ]
+
+
+def test_normalise_id(spark):
+    assert column(spark, [" pat-1 "], ids.normalise_id) == ["PAT-1"]
+    assert column(spark, [" pat-1 "], lambda c: ids.normalise_id(c, upper=False)) == ["pat-1"]
+
+
+def test_status_bucket(spark):
+    states = ["pending_pharmacy", "dispensed", "completed", "pending completed", "x", None, "Pending"]
+    assert column(spark, states, display.status_bucket) == [
+        "pending", "completed", "completed", "pending", "x", None, "Pending",
+    ]
+
+
+def test_text_defaults(spark):
+    assert column(spark, [None, "", " ", "a"], lambda c: display.text_or(c, "d")) == ["d", "d", " ", "a"]
+
+
+def test_fulfilment_label(spark):
+    states = ["fulfilled", "dispensed", None]
+    assert column(spark, states, display.fulfilment_label) == [
+        "Dispensed", "Pending Pharmacy", "Pending Pharmacy",
+    ]
+    accepted = column(spark, states, lambda c: display.fulfilment_label(c, accept_dispensed=True))
+    assert accepted == ["Dispensed", "Dispensed", "Pending Pharmacy"]
+
+
+def test_nan_to_null(spark):
+    frame = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, None)], "x double, s string")
+    assert [tuple(r) for r in display.nan_to_null(frame).collect()] == [
+        (1.0, "a"), (None, "b"), (None, None),
+    ]
+
+
+def test_speaker_and_line(spark):
+    speakers = ["doctor", "DOCTOR", "patient", "system", None]
+    assert column(spark, speakers, transcript.speaker_label) == [
+        "Doctor", "Doctor", "Patient", "Patient", "Patient",
+    ]
+    line = column(spark, ["hi", None], lambda c: transcript.transcript_line(F.lit("doctor"), c))
+    assert line == ["Doctor: hi", "Doctor: "]
+
+
+def test_languages(spark):
+    speakers = ["doctor", "patient", None]
+    assert column(spark, speakers, transcript.source_language) == ["hi-IN", "kn-IN", "kn-IN"]
+    assert column(spark, speakers, transcript.target_language) == ["kn-IN", "en-IN", "en-IN"]
+    second = column(
+        spark, speakers, lambda c: transcript.needs_second_translation(transcript.target_language(c))
+    )
+    assert second == [True, False, False]
+
+
+def test_long_enough_counts_after_stripping_any_white_space(spark):
+    texts = ["12345678901", "1234567890", "　\n12345678901 \x1c", " " * 30, "", None, "ನಮಸ್ಕಾರ ನಮಸ್ಕಾರ"]
+    wanted = [text is not None and len(text.strip()) > 10 for text in texts]
+    assert column(spark, texts, transcript.long_enough) == wanted
+
+
+def test_keyword_risk(spark):
+    texts = ["Two boxes are CRUSHED.", "one is missing", "all fine", None]
+    assert column(spark, texts, transcript.keyword_risk) == [0.9, 0.9, 0.1, 0.1]
+    flags = column(spark, texts, lambda c: transcript.is_leak(transcript.keyword_risk(c)))
+    assert flags == [True, True, False, False]
+    assert column(spark, ["a.b", "axb"], lambda c: transcript.keyword_risk(c, ("a.b",))) == [0.9, 0.1]
+
+
+def test_parse_tests(spark):
+    texts = ['[{"test_name":"Iron","value":"7","status":"LOW"}]', "[]", "nonsense", "", None]
+    parsed = column(spark, texts, lab.parse_tests)
+    assert parsed[0][0].asDict() == {
+        "test_name": "Iron", "value": "7", "normal_range": None, "status": "LOW",
+    }
+    assert parsed[1:] == [[], [], [], []]
+
+
+TESTS = "array<struct<test_name:string,value:string,normal_range:string,status:string>>"
+
+
+def test_lab_lines_and_short_form(spark):
+    rows = [
+        [("Iron", "7", "8-12", "LOW"), ("", "", "", "NORMAL"), ("Zinc", None, "1", "FAIL")],
+        [("Iron", "7", "8-12", "odd")],
+        [],
+        None,
+    ]
+    assert column(spark, rows, lab.lab_lines, TESTS) == [
+        r"- Iron: 7 (Normal: 8-12) - Status: LOW\n- :  (Normal: ) - Status: NORMAL\n- Zinc:  (Normal: 1) - Status: FAIL",
+        "- Iron: 7 (Normal: 8-12) - Status: odd",
+        "",
+        None,
+    ]
+    assert column(spark, rows, lab.hidden_tests, TESTS) == [1, 0, 0, 0]
+    assert column(spark, rows, lab.more_label, TESTS) == ["+1 more tests", None, None, None]
+    shown = column(spark, rows, lambda c: F.size(lab.first_tests(c)), TESTS)
+    assert shown[:3] == [2, 1, 0]
+
+
+def test_severity(spark):
+    states = ["NORMAL", "HIGH", "LOW", "FAIL", "odd", None]
+
+    def on(screen):
+        return column(spark, states, lambda c: lab.test_severity(c, screen))
+
+    assert on("patient") == ["ok", "warn", "warn", "fail", "neutral", "neutral"]
+    assert on("doctor") == ["ok", "warn", "warn", "fail", "fail", "fail"]
+    assert on("laboratory") == ["ok", "warn", "warn", "warn", "warn", "warn"]
+    with pytest.raises(ValueError, match="screen"):
+        lab.test_severity(F.lit("x"), "garden")
+
+
+def test_add_requested_test(spark):
+    ddl = (
+        "symptoms array<string>, diagnosis string, medication string, dosage string,"
+        " lab_tests array<string>, test string"
+    )
+    rows = [
+        (["fever"], "flu", "rest", None, ["CBC"], "Iron"),
+        (["fever"], "flu", "rest", None, None, "Iron"),
+        (None, None, None, None, None, "Iron"),
+    ]
+    got = add_requested_test(spark.createDataFrame(rows, ddl), "test").drop("test").collect()
+    assert [tuple(r) for r in got] == [
+        (["fever"], "flu", "rest", None, ["CBC", "Iron - Pending Laboratory"]),
+        (["fever"], "flu", "rest", None, ["Iron - Pending Laboratory"]),
+        ([], "Pending", "None", "None", ["Iron - Pending Laboratory"]),
+    ]
+
+
+def _overlay(text):
+    """The overlay rule, plainly, for comparison."""
+    draft = {"symptoms": [], **fv.DRAFT_TEXT_DEFAULTS, "lab_tests": []}
+    if text and "{" in text and "}" in text[text.index("{") :]:
+        try:
+            draft.update(json.loads(text[text.index("{") : text.rindex("}") + 1]))
+        except ValueError:
+            pass
+    return draft
+
+
+def test_drafts_from_answers(spark):
+    answers = [
+        '```json\n{"diagnosis": "flu",\n "symptoms": ["a", "b"], "lab_tests": []}\n```',
+        'So: {"diagnosis": null, "medication": "x"} done',
+        '{"symptoms": null}',
+        "no object here",
+        "} reversed {",
+        '{"diagnosis": "cut',
+        '{"diagnosis": }',
+        '{"diagnosis": "a"} and {"diagnosis": "b"}',
+        '{"diagnosis": "a"},{"diagnosis": "b"}',
+        '{"note": {"deep": [1, 2]}, "dosage": "1"}',
+        "{}",
+        "",
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(answers)), "i int, response string")
+    for row in with_drafts(frame).orderBy("i").collect():
+        wanted = _overlay(row["response"])
+        for key in fv.DRAFT_KEYS:
+            assert row[key] == wanted[key], (row["response"], key)
+        known = {k: v for k, v in wanted.items() if k not in fv.DRAFT_KEYS}
+        assert {k: json.loads(v) for k, v in (row["extra"] or {}).items()} == known
+
+
+def test_draft_keeps_a_lone_text_where_a_list_belongs(spark):
+    frame = spark.createDataFrame([('{"symptoms": "fever"}',)], "response string")
+    assert with_drafts(frame).first()["symptoms"] == ["fever"]
+
+
+def test_analysis_fields(spark):
+    answers = ['x {"summary": "s", "risk_level": "Low"} y', "none", '{"summary": ', None]
+    frame = spark.createDataFrame(list(enumerate(answers)), "i int, response string")
+    rows = with_analysis(frame).orderBy("i").collect()
+    assert [tuple(r)[2:] for r in rows] == [
+        ("s", "Low", None), fv.ANALYSIS_UNAVAILABLE, fv.ANALYSIS_UNAVAILABLE, fv.ANALYSIS_UNAVAILABLE,
+    ]
+
+
+def test_prompts_hold_their_parts(spark):
+    frame = spark.createDataFrame([("H", "C"), (None, "C")], "h string, c string")
+    filled = [r[0] for r in frame.select(extraction_prompt(F.col("h"), F.col("c"))).collect()]
+    assert "\nH\n" in filled[0] and "\nC\n" in filled[0] and "<<" not in filled[0]
+    assert fv.NO_HISTORY in filled[1]
+    other = frame.select(analysis_prompt(F.col("c"), "Look: <<tests>>!")).first()[0]
+    assert other == "Look: C!"
+
+
+def test_indented_visits_is_the_usual_two_space_form(spark):
+    visits = [
+        {"date": "2026-01-02", "diagnosis": 'a "b"\n', "medication": "m", "symptoms": ["x", "y"]},
+        {"date": "2026-01-01", "diagnosis": "é", "medication": "N/A", "symptoms": []},
+    ]
+    ddl = "array<struct<date:string,diagnosis:string,medication:string,symptoms:array<string>>>"
+    got = column(
+        spark, [[tuple(v.values()) for v in visits], []], json_text.indented_visits, ddl
+    )
+    assert got == [json.dumps(visits, indent=2, ensure_ascii=False), "[]"]

@@ -34,6 +34,13 @@ ENGLISH = "en-IN"
 HINDI = "hi-IN"
 KANNADA = "kn-IN"
 
+# Every character that counts as white space in Unicode text.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # -- display defaults ------------------------------------------------------------------
 DASHBOARD_DEFAULTS = {
     "timestamp": "N/A",

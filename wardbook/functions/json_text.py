@@ -10,8 +10,7 @@ from wardbook import fixed_values as fv
 
 def json_object_in(text: Column) -> Column:
     """from the first ``{`` to the last ``}``, null when there is none."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def parsed_object(json_text: Column) -> Column:
@@ -41,15 +40,14 @@ def _list_field(parsed: Column, key: str) -> Column:
     )
 
 
-def overlay_draft(response: Column) -> dict[str, Column]:
+def overlay_draft(parsed: Column, found: Column) -> dict[str, Column]:
     """F8: draft columns from a model's answer laid over the default draft.
 
+    ``found`` is the answer's object as text and ``parsed`` its ``parsed_object``.
     A key the answer holds replaces the default, a JSON null included; a key it
     lacks keeps the default; an answer without one JSON object keeps them all.
     ``extra`` holds every other key of the answer as a map of JSON texts.
     """
-    found = json_object_in(response)
-    parsed = parsed_object(found)
 
     def over(key: str, value: Column, default: Column) -> Column:
         return F.when(_field(parsed, key).isNull(), default).otherwise(value)
@@ -67,12 +65,11 @@ def overlay_draft(response: Column) -> dict[str, Column]:
     return draft
 
 
-def analysis_fields(response: Column) -> dict[str, Column]:
+def analysis_fields(parsed: Column) -> dict[str, Column]:
     """the analysis a model answered, or the fixed fallback.
 
     An answer that is one JSON object is taken as it is, so a key it lacks is null.
     """
-    parsed = parsed_object(json_object_in(response))
     return {
         key: F.when(parsed.isNull(), F.lit(fallback)).otherwise(_text_field(parsed, key))
         for key, fallback in zip(fv.ANALYSIS_KEYS, fv.ANALYSIS_UNAVAILABLE, strict=True)

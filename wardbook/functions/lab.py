@@ -20,10 +20,11 @@ def lab_lines(tests: Column, separator: str = fv.LAB_LINE_SEPARATOR) -> Column:
     """One line of text per test, joined by ``separator``."""
 
     def line(test: Column) -> Column:
-        field = {f: F.coalesce(test[f], F.lit("")) for f in LAB_TEST.names}
-        return F.format_string(
-            "- %s: %s (Normal: %s) - Status: %s", *(field[n] for n in LAB_TEST.names)
-        )
+        name, value, normal, status = (F.coalesce(test[f], F.lit("")) for f in LAB_TEST.names)
+        return F.concat(
+            F.lit("- "), name, F.lit(": "), value,
+            F.lit(" (Normal: "), normal, F.lit(") - Status: "), status,
+        )
 
     return F.array_join(F.transform(tests, line), separator)
 
@@ -59,7 +60,7 @@ def hidden_tests(tests: Column, shown: int = 2) -> Column:
 def more_label(tests: Column, shown: int = 2) -> Column:
     """A5: ``+N more tests``, null when nothing is left out."""
     hidden = hidden_tests(tests, shown)
-    return F.when(hidden > 0, F.format_string("+%d more tests", hidden))
+    return F.when(hidden > 0, F.concat(F.lit("+"), hidden.cast("string"), F.lit(" more tests")))
 
 
 def append_pending_test(lab_tests: Column, test: Column) -> Column:

@@ -39,8 +39,7 @@ def calendar_date(ts: Column) -> Column:
 
 def first_token(text: Column) -> Column:
     """F16: text up to the first white space, null when there is none."""
-    token = F.regexp_extract(text, r"(\S+)", 1)
-    return F.when(token != "", token)
+    return F.nullif(F.regexp_extract(text, r"(\S+)", 1), F.lit(""))
 
 
 def display_date(ts: Column) -> Column:

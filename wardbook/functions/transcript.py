@@ -46,7 +46,7 @@ def translated_or_original(translated: Column, transcript: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Text without white space of any script at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|(?<!\s)\s+$", "")
+    return F.btrim(text, F.lit(fv.WHITE_SPACE))
 
 
 def long_enough(text: Column, minimum: int = fv.MIN_CONVERSATION_CHARS) -> Column:

@@ -137,12 +137,9 @@ def match_updates(records: DataFrame, events: DataFrame, order: list[str]) -> Da
             )
         ).alias("__shapes")
     )
-    stamps = (
-        records.select(transcript.alias("__text"), F.col("timestamp").alias("__stamp"))
-        .dropna()
-        .distinct()
-    )
-
+    stamps = records.select(
+        transcript.alias("__text"), F.col("timestamp").alias("__stamp")
+    ).dropna()
     later_date = F.col("__stamp").substr(F.lit(2), F.length("__stamp")).rlike(day)
 
     def pieces(shape: Column) -> Column:

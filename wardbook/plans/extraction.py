@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.functions.json_text import overlay_draft
+from wardbook.functions.json_text import json_object_in, overlay_draft, parsed_object
 from wardbook.functions.lab import append_pending_test
 from wardbook.functions.transcript import long_enough, transcript_line
 from wardbook.operators.folds import fold_conversations
 from wardbook.operators.history import attach_history, patient_history
-from wardbook.operators.keyed import left_join_unique
-from wardbook.plans.model_stage import Client, answer_once, with_prompt_key
+from wardbook.plans.model_stage import Client, with_answers, with_prompt_key
 from wardbook.plans.prompts import EXTRACTION_PROMPT, extraction_prompt
-from wardbook.session import shared_folder
 
 
 def conversations_from(lines: DataFrame) -> DataFrame:
@@ -34,8 +32,14 @@ def extraction_prompts(
 
 
 def with_drafts(rows: DataFrame, response: str = "response") -> DataFrame:
-    """The draft's columns from the answer; defaults without one."""
-    return rows.withColumns(overlay_draft(F.col(response)))
+    """The draft's columns from the answer; defaults without one.
+
+    The parsed answer is a column of its own, so that it is parsed once.
+    """
+    found = rows.withColumn("__found", json_object_in(F.col(response)))
+    parsed = found.withColumn("__parsed", parsed_object(F.col("__found")))
+    drafts = parsed.withColumns(overlay_draft(F.col("__parsed"), F.col("__found")))
+    return drafts.drop("__found", "__parsed")
 
 
 def draft_prescriptions(
@@ -50,22 +54,15 @@ def draft_prescriptions(
 ) -> DataFrame:
     """Each conversation (consult_id, patient_id, conversation) with its draft.
 
-    The prompts are written to the shared folder first: the calls and the join
-    of their answers must see the same text, even if new records arrive between.
+    Without a client, every draft is the default one.
     """
-    prompts = extraction_prompts(conversations, records, template)
+    prompts = extraction_prompts(conversations, records, template).drop("history")
     if client is None:
-        unanswered = prompts.withColumn("response", F.lit(None).cast("string"))
-        return with_drafts(unanswered).drop("history", "prompt", "prompt_key", "response")
-    aside = shared_folder(spark, "prompts")
-    prompts.drop("history").write.parquet(aside)
-    prompts = spark.read.parquet(aside)
-    store = store or shared_folder(spark, "answers")
-    answers = answer_once(spark, prompts, client, models, store, **options)
-    joined = left_join_unique(
-        prompts.drop("prompt"), answers.select("prompt_key", "response"), ["prompt_key"]
-    )
-    return with_drafts(joined).drop("prompt_key", "response")
+        no_answer = F.lit(None).cast("string")
+        answered = prompts.drop("prompt", "prompt_key").withColumn("response", no_answer)
+    else:
+        answered = with_answers(spark, prompts, client, models, store, **options)
+    return with_drafts(answered).drop("response")
 
 
 def add_requested_test(drafts: DataFrame, test: str) -> DataFrame:

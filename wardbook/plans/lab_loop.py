@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.functions.json_text import analysis_fields
+from wardbook.functions.json_text import analysis_fields, json_object_in, parsed_object
 from wardbook.functions.lab import lab_lines
 from wardbook.operators.dedup import by_date_desc
 from wardbook.operators.filters import of_patient, pending_requests
-from wardbook.operators.keyed import left_join_unique
-from wardbook.plans.model_stage import Client, answer_once, with_prompt_key
+from wardbook.plans.model_stage import Client, with_answers, with_prompt_key
 from wardbook.plans.prompts import ANALYSIS_PROMPT, analysis_prompt
-from wardbook.session import shared_folder
 
 
 def request_queue(requests: DataFrame) -> DataFrame:
@@ -34,6 +32,12 @@ def analysis_prompts(reports: DataFrame, template: str = ANALYSIS_PROMPT) -> Dat
     )
 
 
+def with_analysis(rows: DataFrame, response: str = "response") -> DataFrame:
+    """the analysis columns from the answer, parsed once."""
+    parsed = rows.withColumn("__parsed", parsed_object(json_object_in(F.col(response))))
+    return parsed.withColumns(analysis_fields(F.col("__parsed"))).drop("__parsed")
+
+
 def analyse_reports(
     spark: SparkSession,
     reports: DataFrame,
@@ -52,12 +56,6 @@ def analyse_reports(
         notes = zip(fv.ANALYSIS_KEYS, fv.ANALYSIS_NOT_CONFIGURED, strict=True)
         return reports.select("report_id", *(F.lit(text).alias(key) for key, text in notes))
     prompts = analysis_prompts(reports, template)
-    store = store or shared_folder(spark, "analyses")
-    answers = answer_once(spark, prompts, client, [model], store, tries=1, wait_seconds=0, **options)
-    joined = left_join_unique(
-        prompts.select("report_id", "prompt_key"),
-        answers.select("prompt_key", "response"),
-        ["prompt_key"],
-    )
-    fields = analysis_fields(F.col("response"))
-    return joined.select("report_id", *(value.alias(key) for key, value in fields.items()))
+    once = {"tries": 1, "wait_seconds": 0, **options}
+    answered = with_answers(spark, prompts, client, [model], store, **once)
+    return with_analysis(answered).drop("response")

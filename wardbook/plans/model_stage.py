@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.operators.keyed import last_per_key
+from wardbook.operators.keyed import last_per_key, left_join_unique
+from wardbook.session import shared_folder
 
 Client = Callable[[str, str], str]
 """Takes a prompt and a model name, returns the answer's text or raises."""
@@ -94,3 +95,28 @@ def answer_once(
     )
     ask(open_prompts, client, models, **options).write.mode("append").parquet(store)
     return answers_in(spark, store)
+
+
+def with_answers(
+    spark: SparkSession,
+    prompts: DataFrame,
+    client: Client,
+    models: list[str],
+    store: str | None = None,
+    **options,
+) -> DataFrame:
+    """Rows that carry ``prompt`` and ``prompt_key`` with their ``response`` instead.
+
+    The rows are written to the shared folder first: the calls and the join of
+    their answers must see the same prompts, even if documents arrive between.
+    """
+    aside = shared_folder(spark, "prompts")
+    prompts.write.parquet(aside)
+    rows = spark.read.schema(prompts.schema).parquet(aside)
+    answers = answer_once(
+        spark, rows, client, models, store or shared_folder(spark, "answers"), **options
+    )
+    joined = left_join_unique(
+        rows.drop("prompt"), answers.select("prompt_key", "response"), ["prompt_key"]
+    )
+    return joined.drop("prompt_key")
