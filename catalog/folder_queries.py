@@ -93,6 +93,32 @@ def readable_documents(spark, sf_dir):
     return rows.select("patient_id", "status")
 
 
+@query(
+    "SELECT CAST(user_id AS VARCHAR) AS patient_id, unnest([event_type, props]) AS status FROM events"
+)
+def array_documents(spark, sf_dir):
+    """Every line holds an array of two documents."""
+    patient = F.col("user_id").cast("string").alias("patient_id")
+    pair = F.array(
+        F.struct(patient, F.col("event_type").alias("status")),
+        F.struct(patient, F.col("props").alias("status")),
+    )
+    path = shared_folder(spark, "arrays")
+    read(spark, sf_dir, "events").select(F.to_json(pair)).write.text(path)
+    rows = documents.readable(spark, path, schemas.CLINICAL_RECORD, "lines", "*.txt")
+    return rows.select("patient_id", "status")
+
+
+@query("SELECT event_id, user_id, event_type AS kind, value FROM events")
+def union_of_keys(spark, sf_dir):
+    """Documents of one folder that share no schema."""
+    rows = read(spark, sf_dir, "events")
+    path = shared_folder(spark, "keys")
+    land(rows.filter("event_type = 'view'").selectExpr("event_id", "user_id", "event_type kind", "value"), path)
+    land(rows.filter("event_type <> 'view'").selectExpr("value", "event_type kind", "user_id", "event_id"), path)
+    return documents.scan_union_of_keys(spark, path, "lines")
+
+
 @query(
     """SELECT 'clinical' AS area, count(*) AS records FROM events UNION ALL
       SELECT 'lab_requests', count(*) FROM orders"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.standins import HISTORY, RECORDS, read, records
+from catalog.standins import HISTORY, RECORDS, iso, iso_sql, read, records
 from wardbook import fixed_values as fv
 from wardbook.functions import display, ids, timestamps
 from wardbook.operators import counts, dedup, history
@@ -83,7 +83,7 @@ def audits_alias(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, ts, user_id, event_type, value, props FROM (
+    f"""SELECT event_id, {iso_sql("ts")} AS ts, user_id, event_type, value, props FROM (
       SELECT *, row_number() OVER (
         PARTITION BY date_trunc('day', ts), props ORDER BY ts DESC, event_id DESC) AS rn
       FROM events) WHERE rn = 1"""
@@ -91,7 +91,9 @@ def audits_alias(spark, sf_dir):
 def dedup_keep_newest(spark, sf_dir):
     day = F.date_trunc("day", "ts")
     newest_id = F.col("event_id").desc()
-    return dedup.keep_newest(read(spark, sf_dir, "events"), [day, "props"], F.col("ts"), [newest_id])
+    rows = read(spark, sf_dir, "events")
+    kept = dedup.keep_newest(rows, [day, "props"], F.col("ts"), [newest_id])
+    return kept.withColumn("ts", iso("ts"))
 
 
 @query(
@@ -140,10 +142,11 @@ def union_widened(spark, sf_dir):
     return dedup.union_widened(rows.withColumn("source", F.lit("landing")), table)
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id")
+@query(f"""SELECT event_id, {iso_sql("ts")} AS ts, event_type FROM events ORDER BY ts DESC, event_id""")
 def newest_first(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    return dedup.newest_first(rows, F.col("ts"), [F.col("event_id")])
+    ordered = dedup.newest_first(rows, F.col("ts"), [F.col("event_id")])
+    return ordered.withColumn("ts", iso("ts"))
 
 
 @query(

@@ -19,7 +19,8 @@ from wardbook.sinks.table import append_to_table, delta_available, replace_parti
 from wardbook.sources import documents
 from wardbook.sources.inventory import area_totals, inventory
 from wardbook.sources.table import scan_any_columns, scan_audit_table
-from wardbook.streaming.ingest import ingest_folder, start_batches
+from wardbook.streaming.batches import start_batches
+from wardbook.streaming.ingest import ingest_folder
 from wardbook.streaming.queue import log_status_events, status_log
 
 
@@ -264,7 +265,7 @@ def test_errors_in_a_batch_reach_the_caller(spark, landing, folder):
         raise RuntimeError("sink is down")
 
     stream = spark.readStream.schema(schemas.CLINICAL_RECORD).json(str(landing))
-    query = start_batches(stream, folder("checkpoint"), fail, {"availableNow": True})
+    query = start_batches(stream, folder("checkpoint"), fail)
     with pytest.raises(Exception, match="sink is down"):
         query.awaitTermination()
 

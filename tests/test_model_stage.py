@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import os
 
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -80,6 +82,25 @@ def test_failures_are_asked_again(spark, folder):
     assert [r["response"] for r in answers_in(spark, store).collect()] == ["up"]
 
 
+def test_answers_given_before_a_crash_are_not_asked_again(spark, folder):
+    calls, store = folder("calls"), folder("store")
+    texts = [f"p{i}" for i in range(6)]
+
+    def mortal(prompt, model):
+        if prompt == "p3":
+            os._exit(1)
+        return prompt.upper()
+
+    sizes = {"calls_per_task": 1, "files_per_batch": 1}
+    with pytest.raises(Exception, match="(?i)terminated|crashed|exited"):
+        answer_once(spark, prompts(spark, texts), mortal, ["a"], store, **sizes)
+    kept = answers_in(spark, store).count()
+    assert kept < 6
+    answer_once(spark, prompts(spark, texts), scripted(calls, {"a": ["ok"]}), ["a"], store, **sizes)
+    assert len(calls_in(calls)) == 6 - kept
+    assert answers_in(spark, store).count() == 6
+
+
 def test_drafts_of_conversations(spark, folder):
     lines = spark.createDataFrame(
         [

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from wardbook import fixed_values as fv
 from wardbook.operators.keyed import last_per_key, left_join_unique
 from wardbook.session import shared_folder
+from wardbook.streaming.batches import start_batches
 
 Client = Callable[[str, str], str]
 """Takes a prompt and a model name, returns the answer's text or raises."""
 
+PROMPTS_DDL = "prompt_key string, prompt string"
 ANSWERS_DDL = "prompt_key string, response string, model string, attempts int, error string"
 
 
@@ -80,20 +82,36 @@ def answers_in(spark: SparkSession, store: str) -> DataFrame:
 
 
 def answer_once(
-    spark: SparkSession, prompts: DataFrame, client: Client, models: list[str], store: str, **options
+    spark: SparkSession,
+    prompts: DataFrame,
+    client: Client,
+    models: list[str],
+    store: str,
+    calls_per_task: int = 500,
+    files_per_batch: int = 10_000,
+    **options,
 ) -> DataFrame:
     """E1 with memory: ask only what ``store`` does not answer yet.
 
-    Equal prompts are asked once, however many rows share them. The answers are
-    written before anything reads them, so that nothing downstream, not even a
-    lost executor, makes the calls again.
+    Equal prompts are asked once, however many rows share them. The open prompts
+    are written in files of ``calls_per_task`` and worked off as a stream: a lost
+    executor repeats the calls of its tasks, a failed job those of one batch, and
+    nothing that reads the answers makes a call again.
     """
     spark.createDataFrame([], ANSWERS_DDL).write.mode("ignore").parquet(store)
     asked = prompts.select("prompt_key", "prompt").dropna().distinct()
     open_prompts = asked.join(
         answers_in(spark, store).select("prompt_key"), "prompt_key", "left_anti"
     )
-    ask(open_prompts, client, models, **options).write.mode("append").parquet(store)
+    aside = shared_folder(spark, "open-prompts")
+    open_prompts.write.option("maxRecordsPerFile", calls_per_task).parquet(aside)
+    stream = spark.readStream.schema(PROMPTS_DDL).option("maxFilesPerTrigger", files_per_batch)
+
+    def write(batch: DataFrame, _: str) -> None:
+        ask(batch, client, models, **options).write.mode("append").parquet(store)
+
+    checkpoint = shared_folder(spark, "open-prompts-checkpoint")
+    start_batches(stream.parquet(aside), checkpoint, write).awaitTermination()
     return answers_in(spark, store)
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -13,6 +10,7 @@ from wardbook import schemas
 from wardbook.plans.commit import records_to_commit
 from wardbook.sinks.table import write_batch
 from wardbook.sources.documents import reader_options
+from wardbook.streaming.batches import UNTIL_CAUGHT_UP, start_batches
 
 FILES_PER_BATCH = 10_000
 
@@ -29,36 +27,6 @@ def document_stream(
     return reader.option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def start_batches(
-    rows: DataFrame,
-    checkpoint: str,
-    write: Callable[[DataFrame, str], None],
-    trigger: dict,
-) -> StreamingQuery:
-    """Run ``write(batch, batch_name)`` for every micro-batch.
-
-    The name is the query's id, which lives in the checkpoint, and the batch
-    number: a replayed batch keeps its name, and a query that starts over with
-    an empty checkpoint gets new ones and overwrites nothing.
-    """
-    started = threading.Event()
-    query_id: list[str] = []
-
-    def on_batch(batch: DataFrame, number: int) -> None:
-        started.wait()
-        write(batch, f"{query_id[0]}-{number:012d}")
-
-    query = (
-        rows.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
-    query_id.append(query.id)
-    started.set()
-    return query
-
-
 def ingest_folder(
     spark: SparkSession,
     landing: str,
@@ -78,5 +46,5 @@ def ingest_folder(
     def write(batch: DataFrame, name: str) -> None:
         write_batch(batch, table, name, schemas.AUDIT_RECORD)
 
-    when = trigger or {"availableNow": True}
-    return start_batches(records_to_commit(documents), checkpoint, write, when)
+    rows = records_to_commit(documents)
+    return start_batches(rows, checkpoint, write, trigger or UNTIL_CAUGHT_UP)

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from wardbook import schemas
 from wardbook.plans.status_log import fold_into_table
 from wardbook.sinks.table import BATCH_COLUMN, DATE_COLUMN, write_batch
-from wardbook.streaming.ingest import FILES_PER_BATCH, document_stream, start_batches
+from wardbook.streaming.batches import UNTIL_CAUGHT_UP, start_batches
+from wardbook.streaming.ingest import FILES_PER_BATCH, document_stream
 
 
 def status_log(spark: SparkSession, log: str) -> DataFrame:
@@ -40,5 +41,4 @@ def log_status_events(
         if table is not None:
             fold_into_table(spark, table, status_log(spark, log))
 
-    when = trigger or {"availableNow": True}
-    return start_batches(stream, checkpoint, write, when)
+    return start_batches(stream, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
