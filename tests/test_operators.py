@@ -132,6 +132,8 @@ def test_history_takes_three_and_tells_missing_dates(spark):
     assert [part.split('"')[3] for part in got["p1"].split("},")] == [
         "2026-03-05T00:00:00", "2026-03-04T00:00:00", "2026-03-03T00:00:00",
     ]
+    only = history.patient_history(frame, spark.createDataFrame([("p2",), ("p2",), ("p9",)], "patient_id string"))
+    assert [r["patient_id"] for r in only.collect()] == ["p2"]
     assert got["p2"] == '[{"date":"Unknown","diagnosis":"N/A","medication":"N/A","symptoms":[]}]'
 
 

@@ -157,6 +157,17 @@ def test_ordering_spreads_a_hot_time(hot):
     assert max(sizes) < ROWS // 3
 
 
+def test_history_of_wanted_patients_splits_the_hot_one(spark, hot):
+    rows = hot.selectExpr("*", "dosage as diagnosis", "dosage as medication", "array(status) as symptoms")
+    wanted = spark.range(3000).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("patient_id"))
+    last = history.patient_history(rows, wanted)
+    assert len(last.collect()) == 3000
+    plan = plan_of(last)
+    assert "SortMergeJoin(skew=true)" in plan
+    after_join = plan[: plan.index("SortMergeJoin(skew=true)")]
+    assert after_join.count("WindowGroupLimit") == 2  # cut again before the next shuffle
+
+
 def test_history_of_a_hot_patient(hot):
     rows = hot.selectExpr("*", "dosage as diagnosis", "dosage as medication", "array(status) as symptoms")
     last = history.patient_history(rows, indented=False).filter("patient_id = 'hot'").first()

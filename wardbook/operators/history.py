@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardbook import fixed_values as fv
 from wardbook.functions.json_text import indented_visits, json_row
 from wardbook.operators.dedup import last_visits, row_digest, union_widened
-from wardbook.operators.keyed import left_join_unique
+from wardbook.operators.keyed import left_join_unique, rows_with_keys
 
 
 def visit_columns(records: DataFrame) -> DataFrame:
@@ -27,14 +27,21 @@ def visit_columns(records: DataFrame) -> DataFrame:
 
 
 def patient_history(
-    records: DataFrame, visits: int = fv.HISTORY_VISITS, indented: bool = True
+    records: DataFrame,
+    patients: DataFrame | None = None,
+    visits: int = fv.HISTORY_VISITS,
+    indented: bool = True,
 ) -> DataFrame:
     """``(patient_id, history)``, the last visits as JSON text.
 
     Dates compare as text, so a visit without one ranks first, and at most
-    ``visits`` rows per patient are ever gathered.
+    ``visits`` rows per patient are ever gathered. With ``patients``, only theirs
+    are made: worth it where they are few, since the records of all others then
+    drop out before they are sorted.
     """
     rows = visit_columns(records.filter(F.col("patient_id").isNotNull()))
+    if patients is not None:
+        rows = rows_with_keys(rows, patients, ["patient_id"])
     tie = row_digest(rows, ("patient_id",))
     last = last_visits(rows, "patient_id", F.col("date"), [tie], visits, rank_as="rank")
     visit = F.struct("date", "diagnosis", "medication", "symptoms").alias("visit")

@@ -33,6 +33,20 @@ def left_join_unique(rows: DataFrame, unique: DataFrame, keys: list[str]) -> Dat
     )
 
 
+def rows_with_keys(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Left semi join in the same shape: the rows whose key is among the wanted ones."""
+    hashed = F.xxhash64(*keys)
+    return (
+        rows.withColumn(_KEY_HASH, hashed)
+        .join(
+            wanted.select(*keys).distinct().withColumn(_KEY_HASH, hashed),
+            [*keys, _KEY_HASH],
+            "left_semi",
+        )
+        .drop(_KEY_HASH)
+    )
+
+
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; ``order`` must tell the rows of a key apart.
 

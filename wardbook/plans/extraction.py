@@ -25,7 +25,7 @@ def extraction_prompts(
     conversations: DataFrame, records: DataFrame, template: str = EXTRACTION_PROMPT
 ) -> DataFrame:
     """Conversations with their prompt, null where the text is too short."""
-    known = attach_history(conversations, patient_history(records))
+    known = attach_history(conversations, patient_history(records, conversations))
     text = F.col("conversation")
     prompt = extraction_prompt(F.col("history"), text, template)
     return with_prompt_key(known.withColumn("prompt", F.when(long_enough(text), prompt)))
