@@ -9,7 +9,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 from test_operators import EVENTS, STATES, _fold_by_hand, random_status_case
 
-from wardbook import schemas
+from wardbook import jobs, schemas
 from wardbook.plans.commit import commit_landing
 from wardbook.plans.status_log import fold_into_table
 from wardbook.session import shared_folder
@@ -287,6 +287,25 @@ def test_status_stream_folds_into_the_log_and_the_table(spark, folder):
     assert rows_of(scan_audit_table(spark, table).select(*names)) == wanted
 
 
+def test_jobs(spark, landing, folder, capsys):
+    table, checkpoint, out = folder("audit"), folder("checkpoint"), folder("out")
+    put(landing, "a.json", [record(i) for i in range(4)])
+    put(landing, "b.json", {})
+    ingest = ["ingest", str(landing), table, checkpoint, "--layout", "document"]
+    for _ in range(2):
+        jobs.run(spark, ingest)
+    assert capsys.readouterr().out == "4 records committed\n0 records committed\n"
+    events = folder("events")
+    dispensed = [("PAT-1", None, None, "dispensed", "2026-04-01T00:00:00")]
+    land(spark.createDataFrame(dispensed, EVENTS), events)
+    jobs.run(spark, ["status", events, folder("log"), folder("checkpoint"), "--table", table])
+    where = ["--layout", "document", "--status", "pending_pharmacy"]
+    jobs.run(spark, ["records", str(landing), table, out, *where])
+    seen = spark.read.json(out)
+    assert seen.count() == 4 and "event_date" not in seen.columns
+    assert scan_audit_table(spark, table).filter("status = 'dispensed'").count() == 1
+
+
 # -- shared folder -----------------------------------------------------------------------------
 
 

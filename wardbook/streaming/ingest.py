@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -13,6 +14,7 @@ from wardbook.sources.documents import reader_options
 from wardbook.streaming.batches import UNTIL_CAUGHT_UP, start_batches
 
 FILES_PER_BATCH = 10_000
+COMMITTED = "committed"
 
 
 def document_stream(
@@ -46,5 +48,11 @@ def ingest_folder(
     def write(batch: DataFrame, name: str) -> None:
         write_batch(batch, table, name, schemas.AUDIT_RECORD)
 
-    rows = records_to_commit(documents)
+    rows = records_to_commit(documents).observe(COMMITTED, F.count(F.lit(1)).alias("rows"))
     return start_batches(rows, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
+
+
+def committed_rows(query: StreamingQuery) -> int:
+    """A1: rows the query's recent batches wrote, counted while they were written."""
+    batches = (progress.observedMetrics.get(COMMITTED) for progress in query.recentProgress)
+    return sum(row["rows"] for row in batches if row is not None)
