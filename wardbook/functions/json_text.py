@@ -40,6 +40,14 @@ def _list_field(parsed: Column, key: str) -> Column:
     )
 
 
+def default_draft() -> dict[str, Column]:
+    """F8: the draft without any answer."""
+    no_items = F.array().cast("array<string>")
+    texts = {key: F.lit(text) for key, text in fv.DRAFT_TEXT_DEFAULTS.items()}
+    draft = {key: texts.get(key, no_items) for key in fv.DRAFT_KEYS}
+    return {**draft, "extra": F.lit(None).cast("map<string,string>")}
+
+
 def overlay_draft(parsed: Column, found: Column) -> dict[str, Column]:
     """F8: draft columns from a model's answer laid over the default draft.
 
@@ -48,31 +56,31 @@ def overlay_draft(parsed: Column, found: Column) -> dict[str, Column]:
     lacks keeps the default; an answer without one JSON object keeps them all.
     ``extra`` holds every other key of the answer as a map of JSON texts.
     """
-
-    def over(key: str, value: Column, default: Column) -> Column:
-        return F.when(_field(parsed, key).isNull(), default).otherwise(value)
-
-    no_items = F.array().cast("array<string>")
+    defaults = default_draft()
     draft = {}
     for key in fv.DRAFT_KEYS:
-        if key in fv.DRAFT_TEXT_DEFAULTS:
-            default = F.lit(fv.DRAFT_TEXT_DEFAULTS[key])
-            draft[key] = over(key, _text_field(parsed, key), default)
-        else:
-            draft[key] = over(key, _list_field(parsed, key), no_items)
+        read = _text_field if key in fv.DRAFT_TEXT_DEFAULTS else _list_field
+        absent = _field(parsed, key).isNull()
+        draft[key] = F.when(absent, defaults[key]).otherwise(read(parsed, key))
     every_key = F.from_json(F.when(parsed.isNotNull(), found), "map<string,string>")
     draft["extra"] = F.map_filter(every_key, lambda k, _: ~k.isin(*fv.DRAFT_KEYS))
     return draft
 
 
+def default_analysis() -> dict[str, Column]:
+    """the analysis without a readable answer."""
+    notes = zip(fv.ANALYSIS_KEYS, fv.ANALYSIS_UNAVAILABLE, strict=True)
+    return {key: F.lit(text) for key, text in notes}
+
+
 def analysis_fields(parsed: Column) -> dict[str, Column]:
     """the analysis a model answered, or the fixed fallback.
 
     An answer that is one JSON object is taken as it is, so a key it lacks is null.
     """
     return {
-        key: F.when(parsed.isNull(), F.lit(fallback)).otherwise(_text_field(parsed, key))
-        for key, fallback in zip(fv.ANALYSIS_KEYS, fv.ANALYSIS_UNAVAILABLE, strict=True)
+        key: F.when(parsed.isNull(), fallback).otherwise(_text_field(parsed, key))
+        for key, fallback in default_analysis().items()
     }
 
 

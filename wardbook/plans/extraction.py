@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.functions.json_text import json_object_in, overlay_draft, parsed_object
+from wardbook.functions.json_text import (
+    default_draft,
+    json_object_in,
+    overlay_draft,
+    parsed_object,
+)
 from wardbook.functions.lab import append_pending_test
 from wardbook.functions.transcript import long_enough, transcript_line
 from wardbook.operators.folds import fold_conversations
 from wardbook.operators.history import attach_history, patient_history
-from wardbook.plans.model_stage import Client, with_answers, with_prompt_key
+from wardbook.plans.model_stage import Client, with_prompt_key, with_readings
 from wardbook.plans.prompts import EXTRACTION_PROMPT, extraction_prompt
 
 
@@ -57,12 +62,10 @@ def draft_prescriptions(
     Without a client, every draft is the default one.
     """
     prompts = extraction_prompts(conversations, records, template).drop("history")
+    defaults = default_draft()
     if client is None:
-        no_answer = F.lit(None).cast("string")
-        answered = prompts.drop("prompt", "prompt_key").withColumn("response", no_answer)
-    else:
-        answered = with_answers(spark, prompts, client, models, store, **options)
-    return with_drafts(answered).drop("response")
+        return prompts.drop("prompt", "prompt_key").withColumns(defaults)
+    return with_readings(spark, prompts, client, models, with_drafts, defaults, store, **options)
 
 
 def add_requested_test(drafts: DataFrame, test: str) -> DataFrame:

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.functions.json_text import analysis_fields, json_object_in, parsed_object
+from wardbook.functions.json_text import (
+    analysis_fields,
+    default_analysis,
+    json_object_in,
+    parsed_object,
+)
 from wardbook.functions.lab import lab_lines
 from wardbook.operators.dedup import by_date_desc
 from wardbook.operators.filters import of_patient, pending_requests
-from wardbook.plans.model_stage import Client, with_answers, with_prompt_key
+from wardbook.plans.model_stage import Client, with_prompt_key, with_readings
 from wardbook.plans.prompts import ANALYSIS_PROMPT, analysis_prompt
 
 
@@ -57,5 +62,6 @@ def analyse_reports(
         return reports.select("report_id", *(F.lit(text).alias(key) for key, text in notes))
     prompts = analysis_prompts(reports, template)
     once = {"tries": 1, "wait_seconds": 0, **options}
-    answered = with_answers(spark, prompts, client, [model], store, **once)
-    return with_analysis(answered).drop("response")
+    return with_readings(
+        spark, prompts, client, [model], with_analysis, default_analysis(), store, **once
+    )

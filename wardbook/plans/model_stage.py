@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
@@ -115,15 +115,20 @@ def answer_once(
     return answers_in(spark, store)
 
 
-def with_answers(
+def with_readings(
     spark: SparkSession,
     prompts: DataFrame,
     client: Client,
     models: list[str],
+    read: Callable[[DataFrame], DataFrame],
+    defaults: dict[str, Column],
     store: str | None = None,
     **options,
 ) -> DataFrame:
-    """Rows that carry ``prompt`` and ``prompt_key`` with their ``response`` instead.
+    """Rows that carry ``prompt`` and ``prompt_key`` with what their answer says instead.
+
+    ``read`` adds columns from ``response``, once per answer, before the answer
+    meets the rows that share it; rows without an answer get the ``defaults``.
 
     The rows are written to the shared folder first: the calls and the join of
     their answers must see the same prompts, even if documents arrive between.
@@ -134,7 +139,11 @@ def with_answers(
     answers = answer_once(
         spark, rows, client, models, store or shared_folder(spark, "answers"), **options
     )
+    readings = read(answers.select("prompt_key", "response")).drop("response")
     joined = left_join_unique(
-        rows.drop("prompt"), answers.select("prompt_key", "response"), ["prompt_key"]
+        rows.drop("prompt"), readings.withColumn("__read", F.lit(True)), ["prompt_key"]
     )
-    return joined.drop("prompt_key")
+    unread = F.col("__read").isNull()
+    return joined.withColumns(
+        {name: F.when(unread, value).otherwise(F.col(name)) for name, value in defaults.items()}
+    ).drop("__read", "prompt_key")
