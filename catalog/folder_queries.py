@@ -24,7 +24,6 @@ from wardbook import fixed_values as fv
 from wardbook import schemas
 from wardbook.functions.transcript import keyword_risk
 from wardbook.plans.commit import commit_landing
-from wardbook.plans.status_log import fold_status
 from wardbook.plans.status_log import pending_queue as pending_of
 from wardbook.session import shared_folder
 from wardbook.sinks.landing import approved_records, lab_reports_from, lab_requests_from, land
@@ -35,8 +34,9 @@ from wardbook.sources.table import scan_audit_table
 from wardbook.streaming.ingest import ingest_folder
 from wardbook.streaming.queue import log_status_events, status_log
 
-_RECORD_COLUMNS = """patient_id, array_to_string(symptoms, '|') AS symptoms, diagnosis, medication,
-  dosage, array_to_string(lab_tests, '|') AS lab_tests, raw_transcript, "timestamp", status, pharmacy_status"""
+_RECORD_COLUMNS = """patient_id, array_to_string(symptoms, '|') AS symptoms, diagnosis,
+  medication, dosage, array_to_string(lab_tests, '|') AS lab_tests, raw_transcript, "timestamp",
+  status, pharmacy_status"""
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -114,8 +114,9 @@ def union_of_keys(spark, sf_dir):
     """Documents of one folder that share no schema."""
     rows = read(spark, sf_dir, "events")
     path = shared_folder(spark, "keys")
-    land(rows.filter("event_type = 'view'").selectExpr("event_id", "user_id", "event_type kind", "value"), path)
-    land(rows.filter("event_type <> 'view'").selectExpr("value", "event_type kind", "user_id", "event_id"), path)
+    named = rows.selectExpr("event_id", "user_id", "event_type kind", "value")
+    land(named.filter("kind = 'view'"), path)
+    land(named.filter("kind <> 'view'").select("value", "kind", "user_id", "event_id"), path)
     return documents.scan_union_of_keys(spark, path, "lines")
 
 

@@ -23,6 +23,7 @@ from wardbook.operators import history, keyed
 from wardbook.plans.extraction import conversations_from
 from wardbook.plans.lab_loop import reports_of, request_queue
 from wardbook.plans.status_log import fold_status
+from wardbook.sinks.landing import dispense_events, update_events
 
 
 @query(
@@ -118,7 +119,7 @@ FOLDED = f"""{_UPDATES}, served AS (
 latest AS (
   SELECT r.event_id, arg_max(u.status, u.event_time) AS status, max(u.event_time) AS at
   FROM records r JOIN updates u ON r.raw_transcript = u.raw_transcript
-    AND contains(r."timestamp", u.token)
+    AND contains(r."timestamp", u.token) AND r."timestamp" <= u.event_time
   GROUP BY r.event_id),
 folded AS (
   SELECT r.event_id, r.patient_id,
@@ -131,15 +132,10 @@ folded AS (
 
 def status_events(rows):
     """The log of FOLDED: dispenses carry no transcript."""
-    dispenses = rows.filter(F.col("status") == fv.STATUS_DISPENSED).select(
-        "patient_id",
-        "timestamp",
-        F.lit(None).cast("string").alias("raw_transcript"),
-        F.lit(fv.STATUS_DISPENSED).alias("status"),
-        F.col("timestamp").alias("event_time"),
-    )
-    updates = _updates(rows).withColumn("patient_id", F.lit(None).cast("string"))
-    return dispenses.unionByName(updates.drop("event_id"))
+    viewed = rows.filter(F.col("status") == fv.STATUS_DISPENSED)
+    dispenses = dispense_events(viewed, F.to_timestamp("timestamp"))
+    updates = update_events(_updates(rows), F.to_timestamp("event_time"))
+    return dispenses.unionByName(updates)
 
 
 @query(f"WITH {RECORDS}, {FOLDED} SELECT event_id, patient_id, status, pharmacy_status FROM folded")

@@ -12,7 +12,8 @@ from wardbook.operators import counts, dedup, filters, folds, history, keyed
 from wardbook.plans import status_log
 from wardbook.plans.lab_loop import reports_of, request_queue
 from wardbook.plans.records_view import records_view, register_audits
-from wardbook.schemas import CLINICAL_RECORD
+from wardbook.schemas import CLINICAL_RECORD, STATUS_EVENT
+from wardbook.sinks.landing import dispense_events, update_events
 
 SHORT = "patient_id string, raw_transcript string, timestamp string, status string"
 
@@ -326,6 +327,7 @@ def _fold_by_hand(rows, log):
             if e["raw_transcript"] is not None
             and e["raw_transcript"] == text
             and e["timestamp"].split()[0] in stamp
+            and at(stamp) <= at(e["event_time"])
         ]
         if served:
             pharmacy = "dispensed"
@@ -354,7 +356,7 @@ def random_status_case(seed):
                 "timestamp": f"{rng.choice(days)} 00:00:00",
                 "raw_transcript": None if dispense else f"t{rng.randrange(4)}",
                 "status": "dispensed" if dispense else f"n{i}",
-                "event_time": f"{rng.choice(days)}T{rng.randrange(10, 24)}:00:00",
+                "event_time": f"{rng.choice(days)}T0{rng.randrange(9)}:30:00",
             }
         )
     return rows, log
@@ -375,6 +377,44 @@ def test_fold_status_takes_the_latest_matching_event(spark):
         assert rows_of(pending) == [r for r in wanted if r[3] == "pending_pharmacy"]
 
 
+def test_events_reach_no_younger_record_and_need_a_time(spark):
+    rows = [
+        ("p1", "t1", "2026-03-01T00:00:00", "old", "pending"),
+        ("p1", "t1", "2026-03-01T20:00:00", "young", "pending"),
+        ("p1", "t1", None, "undated", "pending"),
+        ("p2", "t2", "2026-03-01T00:00:00", "old", "pending"),
+    ]
+    events = [
+        ("p1", "any", None, "dispensed", "2026-03-01T10:00:00"),
+        (None, "2026-03-01", "t1", "reviewed", "2026-03-01T09:00:00"),
+        ("p2", "any", None, "dispensed", "no time"),
+        (None, "2026-03-01", "t2", "reviewed", None),
+    ]
+    folded = status_log.fold_status(
+        spark.createDataFrame(rows, STATES), spark.createDataFrame(events, EVENTS)
+    )
+    assert [r[3:] for r in rows_of(folded.sort("patient_id"))] == [
+        ("dispensed", "dispensed"), ("young", "pending"), ("dispensed", "dispensed"), ("old", "pending"),
+    ]
+
+
+def test_requests_become_events(spark):
+    at = F.lit("2026-03-01 10:00:00").cast("timestamp")
+    asked = spark.createDataFrame([("p1", "2026-02-01 09:00:00")], "patient_id string, timestamp string")
+    renamed = spark.createDataFrame(
+        [("2026-02-01 09:00:00", "t1", "reviewed")], "timestamp string, raw_transcript string, status string"
+    )
+    events = dispense_events(asked, at).unionByName(update_events(renamed, at))
+    assert events.columns == STATUS_EVENT.names
+    assert rows_of(events) == sorted(
+        [
+            ("p1", "2026-02-01 09:00:00", None, "dispensed", "2026-03-01T10:00:00.000000"),
+            (None, "2026-02-01 09:00:00", "t1", "reviewed", "2026-03-01T10:00:00.000000"),
+        ],
+        key=repr,
+    )
+
+
 # -- union, counts -----------------------------------------------------------------------
 
 

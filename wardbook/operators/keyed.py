@@ -79,21 +79,26 @@ def match_dispenses(
     which is what folding a log of events at a later time needs.
     """
     at = F.lit(None).cast("timestamp")
+    named = events.filter(F.col("patient_id").isNotNull())
     if event_time is not None:
         at = parse_timestamp(F.col(event_time))
-    served = (
-        events.filter(F.col("patient_id").isNotNull())
-        .groupBy("patient_id")
-        .agg(F.lit(True).alias("__served"), F.max(at).alias("__served_at"))
+        named = named.filter(at.isNotNull())
+    served = named.groupBy("patient_id").agg(
+        F.lit(True).alias("__served"), F.max(at).alias("__served_at")
     )
     joined = left_join_unique(records, served, ["patient_id"])
     hit = F.col("__served")
     if event_time is not None:
-        written = parse_timestamp(F.col("timestamp"))
-        hit = hit & (written.isNull() | (written <= F.col("__served_at")))
+        hit = hit & _existed(F.col("timestamp"), F.col("__served_at"))
     return joined.withColumn("__served", F.coalesce(hit, F.lit(False)))
 
 
+def _existed(record_time: Column, event_time: Column) -> Column:
+    """The record is no younger than the event; an undated record counts as old."""
+    written = parse_timestamp(record_time)
+    return event_time.isNotNull() & (written.isNull() | (written <= event_time))
+
+
 def dispense(records: DataFrame, events: DataFrame, event_time: str | None = None) -> DataFrame:
     """Every record of a patient named by a dispense event becomes dispensed.
 
@@ -115,20 +120,23 @@ def unmatched_events(events: DataFrame, records: DataFrame) -> DataFrame:
     return asked.join(known, "patient_id", "left_anti")
 
 
-def match_updates(records: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
+def match_updates(
+    records: DataFrame, events: DataFrame, order: list[str], event_time: str | None = None
+) -> DataFrame:
     """Records with ``__status`` and ``__order`` of the latest event that matches.
 
     A record matches when its transcript equals the event's and its timestamp
     text contains the event's first token, taken literally. ``order`` ranks the
-    events; both columns are null on a record that none of them matches.
+    events; both columns are null on a record that none of them matches. With
+    ``event_time``, the first column of ``order``, an event reaches only the
+    records that existed by then.
 
     Containment is turned into equality, so that no group of equal transcripts is
     ever paired up: for each transcript the token lengths in use are known (a set
     of small numbers), a stamp is cut into its pieces of those lengths, and the
     pieces are matched by equality. A token that starts with a full date can only
     sit at the start of a stamp with no date further on, which leaves one piece per
-    stamp in the usual case.
-    Transcripts travel as SHA-256 digests.
+    stamp in the usual case. Transcripts travel as SHA-256 digests.
     """
     transcript = F.sha2("raw_transcript", 256)
     day = r"\d{4}-\d{2}-\d{2}"
@@ -168,13 +176,13 @@ def match_updates(records: DataFrame, events: DataFrame, order: list[str]) -> Da
     cut = cut.select(
         "__text",
         "__stamp",
-        F.explode(
-            F.array_distinct(F.flatten(F.transform("__shapes", pieces)))
-        ).alias("__token"),
+        F.explode(F.array_distinct(F.flatten(F.transform("__shapes", pieces)))).alias("__token"),
     )
     matched = left_join_unique(cut, tokens, ["__text", "__token"]).filter(
         F.col("__order").isNotNull()
     )
+    if event_time is not None:
+        matched = matched.filter(_existed(F.col("__stamp"), F.col("__order")[event_time]))
     latest = last_per_key(
         matched.select("__text", "__stamp", "__status", "__order"),
         ["__text", "__stamp"],

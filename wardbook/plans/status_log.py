@@ -20,13 +20,14 @@ def fold_status(records: DataFrame, log: DataFrame) -> DataFrame:
     """J2 and J3 together: the latest event that matches a record sets its status.
 
     An event with a transcript names one record and carries its new status; one
-    without dispenses all that its patient had by then. ``event_time`` orders
-    them; at the same instant a dispense wins, then the greater status text.
+    without dispenses all that its patient had. Neither reaches a record younger
+    than its ``event_time``, which also orders them; at the same instant a dispense
+    wins, then the greater status text. An event without a readable time does nothing.
     """
     named = F.col("raw_transcript").isNotNull()
     rows = match_dispenses(records, log.filter(~named), "event_time")
     updates = log.filter(named).withColumn("__at", parse_timestamp(F.col("event_time")))
-    rows = match_updates(rows, updates, ["__at", "status"])
+    rows = match_updates(rows, updates, ["__at", "status"], event_time="__at")
     updated = F.col("__order").isNotNull()
     served = F.col("__served")
     served_last = served & (~updated | (F.col("__served_at") >= F.col("__order")["__at"]))

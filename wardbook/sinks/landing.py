@@ -58,8 +58,30 @@ def lab_requests_from(orders: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
+def dispense_events(requests: DataFrame, at: Column | None = None) -> DataFrame:
+    """Dispense requests (patient_id, timestamp) as status events of now."""
+    return requests.select(
+        "patient_id",
+        "timestamp",
+        F.lit(None).cast("string").alias("raw_transcript"),
+        F.lit(fv.STATUS_DISPENSED).alias("status"),
+        utc_stamp(at).alias("event_time"),
+    )
+
+
+def update_events(requests: DataFrame, at: Column | None = None) -> DataFrame:
+    """Update requests (timestamp, raw_transcript, status) as status events of now."""
+    return requests.select(
+        F.lit(None).cast("string").alias("patient_id"),
+        "timestamp",
+        "raw_transcript",
+        "status",
+        utc_stamp(at).alias("event_time"),
+    )
+
+
 def land(documents: DataFrame, path: str, one_per_file: bool = False) -> None:
-    """K2-K4: append documents to a landing folder, null fields included.
+    """Append documents to a landing folder, null fields included.
 
     Files hold one document per line (layout ``lines``) unless ``one_per_file``
     asks for the ``document`` layout, which suits small landings only.
