@@ -69,11 +69,12 @@ def parse_tests(spark, sf_dir):
     text = F.when(F.col("report_type") == "O", F.to_json("lab_tests")).otherwise(
         F.concat(F.lit("{not json "), "date")
     )
+    uploads = lab_reports(spark, sf_dir).select("report_id", text.alias("text"))
     shown = F.transform(
-        lab.parse_tests(text),
+        lab.parse_tests(F.col("text")),
         lambda t: F.concat(t["test_name"], F.lit("="), t["value"], F.lit("/"), t["status"]),
     )
-    return lab_reports(spark, sf_dir).select("report_id", F.array_join(shown, "|").alias("parsed"))
+    return uploads.select("report_id", F.array_join(shown, "|").alias("parsed"))
 
 
 def _analysis_prompt_sql() -> str:

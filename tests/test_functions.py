@@ -168,12 +168,17 @@ def test_keyword_risk(spark):
 
 
 def test_parse_tests(spark):
-    texts = ['[{"test_name":"Iron","value":"7","status":"LOW"}]', "[]", "nonsense", "", None]
-    parsed = column(spark, texts, lab.parse_tests)
-    assert parsed[0][0].asDict() == {
-        "test_name": "Iron", "value": "7", "normal_range": None, "status": "LOW",
-    }
-    assert parsed[1:] == [[], [], [], []]
+    iron = {"test_name": "Iron", "value": "7", "normal_range": None, "status": "LOW"}
+    good = [
+        '[{"test_name":"Iron","value":"7","status":"LOW"}]',
+        ' [\n {"status": "LOW", "value": 7, "test_name": "Iron", "more": [1]}]',
+        '{"test_name":"Iron","value":"7","status":"LOW"}',
+    ]
+    for parsed in column(spark, good, lab.parse_tests):
+        assert [test.asDict() for test in parsed] == [iron]
+    assert column(spark, ["[null]"], lab.parse_tests) == [[None]]
+    bad = ["[]", "nonsense", "{not json", "[{'test_name':'Iron'}]", '[{"test_name":', "[1]", "7", "", None]
+    assert column(spark, bad, lab.parse_tests) == [[]] * len(bad)
 
 
 TESTS = "array<struct<test_name:string,value:string,normal_range:string,status:string>>"

@@ -11,9 +11,16 @@ from wardbook.schemas import LAB_TEST
 _TESTS_DDL = f"array<{LAB_TEST.simpleString()}>"
 
 
+# How every list of tests, or a single one, starts. Each text the JSON reader has to
+# give up on costs an exception; this spares most of them.
+_MAY_BE_TESTS = r"^\s*(\[\s*[\[{\]n]|\{\s*[\"}])"
+
+
 def parse_tests(text: Column) -> Column:
     """JSON text to an array of tests; unreadable or absent text gives ``[]``."""
-    return F.coalesce(F.from_json(text, _TESTS_DDL), F.array().cast(_TESTS_DDL))
+    parsed = F.from_json(text, _TESTS_DDL, {"allowSingleQuotes": "false"})
+    readable = F.when(text.rlike(_MAY_BE_TESTS), parsed)
+    return F.coalesce(readable, F.array().cast(_TESTS_DDL))
 
 
 def lab_lines(tests: Column, separator: str = fv.LAB_LINE_SEPARATOR) -> Column:

@@ -24,8 +24,13 @@ def reader_options(layout: str, files: str = DOCUMENT_FILES) -> dict[str, str]:
     """Options every JSON scan shares, batch or stream."""
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
-    whole_files = str(layout == "document").lower()
-    return {"mode": "PERMISSIVE", "multiLine": whole_files, "pathGlobFilter": files}
+    return {
+        "mode": "PERMISSIVE",
+        "multiLine": str(layout == "document").lower(),
+        "pathGlobFilter": files,
+        # Not JSON, although Spark would take it by default.
+        "allowSingleQuotes": "false",
+    }
 
 
 def scan_documents(
