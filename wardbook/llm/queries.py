@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardbook.llm import mixing, packing, quality_rules, url_rules
+from wardbook.llm import mixing, packing, quality_rules, secrets, simhash, url_rules
 from wardbook.llm.shared import read
 from wardbook.session import configure
 
@@ -39,6 +39,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the secrets in every document."""
+    spans = F.col("spans")
+
+    def joined(found):
+        named = F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(named, ",")
+
+    def number(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    return secrets.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(number(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
+
+
 QUALITY_RULES_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -98,6 +119,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and group of every document."""
+    return simhash.groups(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "n_links",
+    )
+
+
 @query()
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
