@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardbook.llm import mixing, packing, quality_rules, secrets, simhash, url_rules
+from wardbook.llm import (
+    mixing,
+    packing,
+    quality_rules,
+    ranking,
+    secrets,
+    simhash,
+    toxicity,
+    url_rules,
+)
 from wardbook.llm.shared import read
 from wardbook.session import configure
 
@@ -130,6 +139,12 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return ranking.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query()
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
@@ -158,3 +173,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages")).select(
         "page_id", "host", "path", "rule", "verdict"
     )
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
