@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH = 2048
 END_ID = 1
-# Words kept per worker process; the least memory a worker needs beside its batch.
-CACHE_WORDS = 500_000
+# Words kept per worker process; the most memory a worker needs beside its batch.
+CACHE_WORDS = 1_000_000
 # Documents of one call of the tokenizer, by characters.
 CHUNK_CHARS = 2_000_000
-_ENDING = ".,!?;:|#$%&*"
-# Below this code point every letter has a one-letter lower case and no decomposition
-# that reaches over a word's end.
-_PLAIN_LETTERS_END = "İ"
+
+# Fixed value: how the tokenizer parts words.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Below U+0130 no character changes under NFC and every letter has a one-letter lower case.
+# The separators in between are white space to some libraries only.
+_ODD = re.compile("[\x1c-\x1f\x85\u0130-\U0010ffff]")
+_BLANK = re.compile("[ \t\n\r]+")
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, one word at a time.
+    """Ids of texts by a lower-casing tokenizer that drops white space.
 
-    The tokenizer never joins characters across white space, so a text's ids are those of
-    its words in order, and repeated words are looked up. A word of plain letters before
-    a few ending marks is looked up as letters and marks, since the tokenizer parts them too.
+    Texts of plain characters are lower-cased and parted here, by the tokenizer's own rule,
+    and repeated parts are looked up. Of other texts the words between blanks are looked up
+    whole: the tokenizer never joins characters across white space.
     """
 
     def __init__(self, path: str):
@@ -34,45 +40,32 @@ class WordTokenizer:
 
         self._whole = Tokenizer.from_file(path)
         self._whole.encode_special_tokens = True
-        # The same model for words that are lower-cased already.
-        self._letters = Tokenizer(self._whole.model)
-        self._letters.pre_tokenizer = pre_tokenizers.ByteLevel(
-            add_prefix_space=False, use_regex=False
-        )
+        # The same model for parts that are normal already.
+        self._part = Tokenizer(self._whole.model)
+        self._part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._ids: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        core = word.rstrip(_ENDING)
-        if core and core.isalpha() and max(core) < _PLAIN_LETTERS_END:
-            return core.lower(), word[len(core) :]
-        return "", word
-
-    def _learn(self, words: set[str]) -> None:
-        """Look up every word's ids once."""
-        if len(self._ids) + len(words) > CACHE_WORDS:
-            self._ids.clear()
-        parts = {word: self._parts(word) for word in words}
-        for tokenizer, place in ((self._letters, 0), (self._whole, 1)):
-            new = list({p[place] for p in parts.values()} - {""})
-            known = dict(zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-            found = {k: np.array(v.ids, dtype="<u4").tobytes() for k, v in known.items()}
-            found[""] = b""
-            for word, part in parts.items():
-                self._ids[word] = self._ids.get(word, b"") + found[part[place]]
+        # Words with odd characters, and their ids.
+        self._odd: dict[str, bytes] = {}
+
+    def _look_up(self, words: list[list[str]], known: dict[str, bytes], tokenizer) -> list[bytes]:
+        new = list(set().union(*words) - known.keys())
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = list(set().union(*words))
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        return [b"".join([known[w] for w in own]) for own in words]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [
-            t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts
-        ]
-        known = self._ids
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
-            self._learn(missing)
-            if any(w not in known for words in split for w in words):
-                self._learn({w for words in split for w in words} - known.keys())
-        return [b"".join([known[w] for w in words]) for words in split]
+        """Unsigned 32-bit ids of each text."""
+        odd = [bool(_ODD.search(t)) for t in texts]
+        plain = [_PARTS.findall(t.lower()) for t, o in zip(texts, odd, strict=True) if not o]
+        other = [_BLANK.split(t) for t, o in zip(texts, odd, strict=True) if o]
+        first = iter(self._look_up(plain, self._ids, self._part))
+        second = iter(self._look_up(other, self._odd, self._whole))
+        return [next(second if o else first) for o in odd]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
