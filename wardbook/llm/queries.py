@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from wardbook.llm import (
     mixing,
+    neighbours,
     packing,
     quality_rules,
     ranking,
     secrets,
     simhash,
+    spans,
     toxicity,
     url_rules,
 )
@@ -69,6 +71,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the long strings of earlier ones."""
+    return spans.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUALITY_RULES_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -128,6 +138,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @query()
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and group of every document."""
