@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardbook.llm import mixing, packing
+from wardbook.llm import mixing, packing, ranking, secrets, simhash
 from wardbook.llm.queries import tokenizer_path
 from wardbook.llm.shared import read, staged
 from wardbook.session import configure
@@ -14,6 +14,24 @@ from wardbook.session import configure
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model, learned from ``labels``, does not reject."""
+    configure(spark)
+    return ranking.keep_accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-equal fingerprints."""
+    configure(spark)
+    return simhash.keep_first(docs)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by their kind."""
+    configure(spark)
+    return secrets.redact(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents repeated or left out."""
     configure(spark)
@@ -27,6 +45,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", accepted),
+    ("near duplicates", unique),
+    ("secret scan", redacted),
     ("source mixing", mixed),
     ("packing", packed),
 ]
