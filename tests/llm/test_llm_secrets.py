@@ -1,0 +1,95 @@
+"""Secrets against the rules' regular expressions."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from conftest import TESTDATA
+from helpers import ODD_TEXTS, no_documents, odd_documents
+
+from wardbook.llm import automaton as au
+from wardbook.llm import secrets
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.I | re.A,
+)
+PLAIN = (
+    ("assign", ASSIGN, lambda m: len(m[2]) >= 8),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+)
+
+
+def base_spans(text):
+    found = [
+        (m.start(), k, m.end(), kind)
+        for k, (kind, pattern, holds) in enumerate(PLAIN)
+        for m in pattern.finditer(text)
+        if holds(m)
+    ]
+    return [(kind, start, end) for start, _, end, kind in sorted(found)]
+
+
+def base_only(spans):
+    return [s for s in spans if s[0] in secrets.BASE]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_texts_agree_with_expressions(seed):
+    draw = random.Random(seed)
+    parts = ["password", "Secret", "token", "api_key", "APIKEY", "passwd", "=", ":", " ", '"', "'"]
+    parts += ["abcdefgh", "x", "é", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef"]
+    parts += ["\n", "ſecret", "ZZZ9", "=token", "/", ".", "\x00"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(40))) for _ in range(800)]
+    for text, found in zip(texts, secrets.find(texts), strict=True):
+        assert base_only(found) == base_spans(text), text
+
+
+def test_failed_match_hides_what_it_covers():
+    texts = ["token=secret: abcdefghij", "token=secret: token=abcdefghij"]
+    found = secrets.find(texts)
+    assert found[0] == []
+    assert found[1] == [("assign", 14, 30)]
+
+
+def test_lanes_do_not_change_the_result():
+    import numpy as np
+
+    machine = au.compile_patterns([r.pattern for r in secrets.RULES])
+    data = np.frombuffer((b"token=" + b"a" * 300 + b" ghp_" + b"b" * 50) * 7, dtype=np.uint8)
+    whole = au.trace(machine, data, lane=len(data))
+    for lane in (1, 7, 64):
+        assert (au.trace(machine, data, lane=lane) == whole).all()
+
+
+def test_other_rules_add_spans():
+    text = "x ghp_" + "Z" * 36 + " -----BEGIN RSA PRIVATE KEY----- AIza" + "Y" * 35
+    assert [kind for kind, _, _ in secrets.find([text])[0]] == ["repository", "private_key", "cloud"]
+    assert secrets.find(["ghp_" + "a" * 36])[0] == [("repository", 0, 40), ("hex", 4, 40)]
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = secrets.scan(docs).collect()
+    assert len(rows) == docs.count()
+    for row in rows:
+        assert base_only([tuple(s) for s in row.spans]) == base_spans(texts[row.doc_id])
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    rows = secrets.scan(docs).collect()
+    assert len(rows) == len(ODD_TEXTS)
+    by_id = {r.doc_id: r.spans for r in rows}
+    assert by_id[1] == by_id[2] == by_id[None] == []
+    assert [tuple(s) for s in by_id[7]] == base_spans(ODD_TEXTS[-1][1])
+    cleaned = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert cleaned[1].text is None and cleaned[6].text == ODD_TEXTS[6][1]
+    assert "[assign]" in cleaned[7].text and "abcdefgh1234" not in cleaned[7].text
+    assert secrets.redact(docs).columns == docs.columns
+    assert secrets.scan(no_documents(spark)).count() == 0
+    assert secrets.redact(no_documents(spark)).count() == 0

@@ -162,7 +162,57 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-@query()
+MIXING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (CAST([5, 2, 1] AS DOUBLE[]))[
+           1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, CAST(3 AS DOUBLE) * source_size AS cap,
+         row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS j
+  FROM s),
+l AS (
+  SELECT j, cap, w,
+         (CAST(sum(source_size) OVER () AS DOUBLE)
+          - coalesce(sum(cap) OVER (
+              ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM o),
+x AS (SELECT level FROM l WHERE cap > w * level ORDER BY j LIMIT 1),
+t AS (
+  SELECT source, source_size, target,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM (SELECT o.*, least(cap, w * coalesce((SELECT level FROM x), 0)) AS target FROM o)),
+r AS (
+  SELECT d.*, source_size, target, rate, rate - floor(rate) AS fraction
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT source, source_size, target, rate, k,
+         sum(CASE WHEN chance < fraction THEN size ELSE 0 END) AS extra
+  FROM (
+    SELECT r.*, k, CAST(CAST('0x' || substr(md5(k || ':' || doc_id), 1, 12) AS UBIGINT) AS DOUBLE)
+                   / 281474976710656 AS chance
+    FROM r, range(64) AS seeds(k))
+  GROUP BY ALL),
+p AS (
+  SELECT source, k FROM e
+  QUALIFY row_number() OVER (
+    PARTITION BY source
+    ORDER BY abs(extra - (target - floor(rate) * source_size)), k) = 1)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN
+         CAST(CAST('0x' || substr(md5(k || ':' || doc_id), 1, 12) AS UBIGINT) AS DOUBLE)
+         / 281474976710656 < fraction THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source
+"""
+
+
+@query(MIXING_SQL)
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     return mixing.mix(read(spark, sf_dir, "documents")).select(
@@ -184,7 +234,57 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+URL_SQL = r"""
+WITH RECURSIVE
+h AS (
+  SELECT url, html FROM pages WHERE url IS NOT NULL),
+k AS (
+  SELECT url, regexp_extract(regexp_extract(html,
+           '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+           '(?is)\bhref\s*=\s*["'']?\s*([^\s"''>]+)', 1) AS raw FROM h
+  UNION ALL
+  SELECT url, regexp_extract(regexp_extract(html,
+           '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+           '(?is)\burl\s*=\s*["'']?\s*([^\s"''>]+)', 1) FROM h),
+a AS (
+  SELECT url, CASE
+           WHEN raw LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || raw
+           WHEN raw LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || raw
+           ELSE raw END AS target FROM k),
+b AS (
+  SELECT url AS f, target AS t FROM a WHERE contains(target, '://') AND url <> target
+  UNION SELECT target, url FROM a WHERE contains(target, '://') AND url <> target),
+reach AS (
+  SELECT f, t FROM b
+  UNION SELECT reach.f, b.t FROM reach JOIN b ON reach.t = b.f),
+u AS (SELECT url FROM h UNION SELECT f FROM b),
+n AS (
+  SELECT url,
+         translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+o AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM n),
+v AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+                 WHEN rule IS NOT NULL THEN 'block' END AS own FROM o),
+c AS (
+  SELECT reach.f AS url, bool_or(v.own = 'block') AND NOT coalesce(bool_or(v.own = 'allow'), false)
+           AS blocked
+  FROM reach JOIN v ON v.url = reach.t GROUP BY reach.f)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(own, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN v USING (url) LEFT JOIN c USING (url)
+"""
+
+
+@query(URL_SQL)
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page."""
     return url_rules.judge(read(spark, sf_dir, "pages")).select(

@@ -353,7 +353,8 @@ def rate(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array(model.weights)
         for batch in batches:
-            raw = _measured(batch.column("text").to_pylist(), model) @ weights
+            # Summed row by row: a score must not depend on the rows beside it.
+            raw = (_measured(batch.column("text").to_pylist(), model) * weights).sum(axis=1)
             found = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"]
