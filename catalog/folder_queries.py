@@ -31,7 +31,7 @@ from wardbook.sinks.table import append_to_table
 from wardbook.sources import documents
 from wardbook.sources.inventory import area_totals, inventory
 from wardbook.sources.table import scan_audit_table
-from wardbook.streaming.ingest import ingest_folder
+from wardbook.streaming.ingest import ingest_folder, quarantine_of
 from wardbook.streaming.queue import log_status_events, status_log
 
 _RECORD_COLUMNS = """patient_id, array_to_string(symptoms, '|') AS symptoms, diagnosis,
@@ -251,6 +251,39 @@ def ingest_twice(spark, sf_dir):
     return _flat(scan_audit_table(spark, table).drop("event_date"))
 
 
+# As in _CUT, with a transcript, so that P1 keeps the whole ones.
+_HEARD = "'{\"patient_id\": \"' || user_id || '\", \"raw_transcript\": \"' || event_id"
+
+
+@query(
+    f"""SELECT 'committed' AS kind, user_id || ':' || event_id AS text FROM events
+      WHERE event_type <> 'error'
+      UNION ALL SELECT 'quarantined', {_HEARD} FROM events WHERE event_type = 'error'"""
+)
+def ingest_with_damage(spark, sf_dir):
+    """Damaged documents of a batch are set aside, the others committed."""
+    start = F.concat(
+        F.lit('{"patient_id": "'),
+        F.col("user_id").cast("string"),
+        F.lit('", "raw_transcript": "'),
+        F.col("event_id").cast("string"),
+    )
+    whole = F.col("event_type") != "error"
+    landing, table = shared_folder(spark, "texts"), shared_folder(spark, "audit")
+    texts = read(spark, sf_dir, "events").select(
+        F.when(whole, F.concat(start, F.lit('"}'))).otherwise(start).alias("value")
+    )
+    texts.write.text(landing)
+    checkpoint = shared_folder(spark, "checkpoint")
+    for _ in range(2):
+        ingest_folder(spark, landing, table, checkpoint, files="*.txt").awaitTermination()
+    committed = scan_audit_table(spark, table).select(
+        F.lit("committed").alias("kind"), F.concat_ws(":", "patient_id", "raw_transcript").alias("text")
+    )
+    bad = spark.read.parquet(quarantine_of(table))
+    return committed.unionByName(bad.select(F.lit("quarantined").alias("kind"), F.col("document").alias("text")))
+
+
 def _streamed_log(spark: SparkSession, rows: DataFrame, table: str | None = None) -> str:
     events = _landed(spark, status_events(rows), "events")
     log, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "checkpoint")

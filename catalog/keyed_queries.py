@@ -217,6 +217,15 @@ def pending_requests(spark, sf_dir):
     return request_queue(lab_requests(spark, sf_dir))
 
 
+@query(
+    f"""WITH {LAB_REQUESTS}, {LAB_REPORTS} SELECT * FROM lab_requests
+      WHERE status = '{fv.REQUEST_PENDING}' AND request_id NOT IN (
+        SELECT request_id FROM lab_reports WHERE request_id IS NOT NULL)"""
+)
+def open_requests(spark, sf_dir):
+    return request_queue(lab_requests(spark, sf_dir), lab_reports(spark, sf_dir))
+
+
 @query(
     f"""WITH {LAB_REPORTS} SELECT report_id, patient_id, date, request_id FROM lab_reports
       WHERE patient_id = '3'"""

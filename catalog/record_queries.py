@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalog.keyed_queries import FOLDED, status_events
 from catalog.registry import query
 from catalog.standins import HISTORY, RECORDS, iso, iso_sql, read, records
 from wardbook import fixed_values as fv
@@ -70,6 +71,35 @@ def records_view_ordered(spark, sf_dir):
     return _view(spark, sf_dir, ordered=True, resolution="second")
 
 
+def _current_sql(where: str = "TRUE") -> str:
+    return f"""WITH {RECORDS}, {FOLDED}, both_sides AS (
+      SELECT r.event_id, r.patient_id, r.raw_transcript, CAST(r."timestamp" AS TIMESTAMP) AS ts,
+        f.status, f.pharmacy_status
+      FROM records r JOIN folded f ON r.event_id = f.event_id),
+    ranked AS (
+      SELECT *, row_number() OVER (
+        PARTITION BY date_trunc('second', ts), raw_transcript ORDER BY ts DESC, event_id DESC) AS rn
+      FROM both_sides WHERE {where})
+    SELECT event_id, patient_id, status, pharmacy_status FROM ranked WHERE rn = 1"""
+
+
+def _current(spark: SparkSession, sf_dir: str, **choices) -> DataFrame:
+    """Landing and table both hold the stored statuses; the log has what came since."""
+    rows = records(spark, sf_dir).withColumn("newest_id", -F.col("event_id"))
+    view = view_of(rows, rows, tie=["newest_id"], log=status_events(rows), **choices)
+    return view.select("event_id", "patient_id", "status", "pharmacy_status")
+
+
+@query(_current_sql())
+def records_view_current(spark, sf_dir):
+    return _current(spark, sf_dir)
+
+
+@query(_current_sql(f"status = '{fv.STATUS_PENDING_PHARMACY}'"))
+def records_view_pending_after_dispense(spark, sf_dir):
+    return _current(spark, sf_dir, status=fv.STATUS_PENDING_PHARMACY)
+
+
 @query(
     f"""SELECT event_id, patient_id, raw_transcript, status, "timestamp"
       FROM ({_view_sql(resolution="second")})"""

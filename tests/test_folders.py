@@ -15,12 +15,17 @@ from wardbook.plans.status_log import fold_into_table
 from wardbook.session import shared_folder
 from wardbook.sinks.json_rows import json_rows, write_json
 from wardbook.sinks.landing import approved_records, lab_reports_from, lab_requests_from, land
-from wardbook.sinks.table import append_to_table, delta_available, replace_partitions, write_batch
+from wardbook.sinks.table import append_to_table, replace_partitions, write_batch
 from wardbook.sources import documents
 from wardbook.sources.inventory import area_totals, inventory
 from wardbook.sources.table import scan_any_columns, scan_audit_table
 from wardbook.streaming.batches import start_batches
-from wardbook.streaming.ingest import ingest_folder
+from wardbook.streaming.ingest import (
+    committed_rows,
+    ingest_folder,
+    quarantine_of,
+    quarantined_rows,
+)
 from wardbook.streaming.queue import log_status_events, status_log
 
 
@@ -64,12 +69,12 @@ def test_scan_reads_direct_children_of_any_form(spark, landing):
     put(landing, "notes.txt", record(8))
     (landing / "lab_reports").mkdir()
     put(landing / "lab_reports", "r.json", record(7))
-    rows = documents.scan_clinical(spark, str(landing))
+    rows = documents.scan_clinical(spark, str(landing), "document")
     found = rows.filter("raw_transcript is not null").select("patient_id", "pharmacy_status")
     assert rows_of(found) == [("PAT-1", "pending"), ("PAT-2", None), ("PAT-3", None)]
-    good = documents.readable(spark, str(landing), schemas.CLINICAL_RECORD)
+    good = documents.readable(spark, str(landing), schemas.CLINICAL_RECORD, "document")
     assert good.count() == 4
-    bad = documents.quarantine(spark, str(landing), schemas.CLINICAL_RECORD)
+    bad = documents.quarantine(spark, str(landing), schemas.CLINICAL_RECORD, "document")
     assert bad.count() == 2
     row = bad.orderBy("file_path").first()
     assert row["file_path"].endswith("broken.json") and row["document"].startswith('{"patient_id"')
@@ -85,26 +90,26 @@ def test_scan_of_lines(spark, landing):
 
 def test_absent_fields_are_null(spark, landing):
     put(landing, "r.json", {"report_id": "R", "patient_id": "P", "lab_tests": [{"test_name": "Iron"}]})
-    row = documents.scan_lab_reports(spark, str(landing)).first().asDict(recursive=True)
+    row = documents.scan_lab_reports(spark, str(landing), "document").first().asDict(recursive=True)
     assert row["request_id"] is None
     assert row["lab_tests"] == [
         {"test_name": "Iron", "value": None, "normal_range": None, "status": None}
     ]
     put(landing, "q.json", {"request_id": "Q", "status": "Pending"})
-    requests = documents.scan_lab_requests(spark, str(landing)).filter("request_id is not null")
+    requests = documents.scan_lab_requests(spark, str(landing), "document").filter("request_id is not null")
     assert requests.first()["requested_by"] is None
 
 
 def test_union_of_keys(spark, landing):
     put(landing, "a.json", {"x": 1})
     put(landing, "b.json", {"y": "t"})
-    assert documents.scan_union_of_keys(spark, str(landing)).columns == ["x", "y"]
+    assert documents.scan_union_of_keys(spark, str(landing), "document").columns == ["x", "y"]
 
 
 def test_inventory(spark, landing):
     put(landing, "a.json", [record(1), record(2)])
     put(landing, "b.json", record(3))
-    files = inventory({"clinical": documents.scan_clinical(spark, str(landing))})
+    files = inventory({"clinical": documents.scan_clinical(spark, str(landing), "document")})
     assert rows_of(files) == [("clinical", "a.json", 2), ("clinical", "b.json", 1)]
     assert rows_of(area_totals(files)) == [("clinical", 2, 3)]
 
@@ -163,7 +168,7 @@ def test_commit_counts_and_fills_the_audit_columns(spark, landing, folder):
     put(landing, "a.json", [record(1), record(2, timestamp="junk")])
     put(landing, "b.json", {})
     table = folder("audit")
-    rows = documents.scan_clinical(spark, str(landing))
+    rows = documents.scan_clinical(spark, str(landing), "document")
     assert commit_landing(rows, table) == 2
     back = scan_audit_table(spark, table)
     assert rows_of(back.select("patient_id", "is_leak", "risk_score", F.col("event_date").cast("string"))) == [
@@ -219,10 +224,6 @@ def test_replace_partitions_leaves_the_others(spark, folder):
     ]
 
 
-def test_delta_is_not_configured_here(spark):
-    assert not delta_available(spark)
-
-
 # -- streams ------------------------------------------------------------------------------
 
 
@@ -230,7 +231,7 @@ def test_ingest_takes_each_document_once(spark, landing, folder):
     table, checkpoint = folder("audit"), folder("checkpoint")
 
     def run():
-        ingest_folder(spark, str(landing), table, checkpoint, files_per_batch=2).awaitTermination()
+        ingest_folder(spark, str(landing), table, checkpoint, "document", files_per_batch=2).awaitTermination()
         return scan_audit_table(spark, table).count()
 
     for i in range(5):
@@ -255,10 +256,69 @@ def test_an_empty_checkpoint_never_overwrites(spark, landing, folder):
     table = folder("audit")
     for i in range(2):
         put(landing, f"{i}.json", record(i))
-        ingest_folder(spark, str(landing), table, folder("checkpoint")).awaitTermination()
+        ingest_folder(spark, str(landing), table, folder("checkpoint"), "document").awaitTermination()
     assert scan_audit_table(spark, table).count() == 3
 
 
+def test_ingest_takes_old_files(spark, landing, folder):
+    table, checkpoint = folder("audit"), folder("checkpoint")
+    put(landing, "new.json", record(1))
+    ingest_folder(spark, str(landing), table, checkpoint, "document").awaitTermination()
+    put(landing, "old.json", record(2))
+    long_ago = os.path.getmtime(landing / "new.json") - 30 * 86400
+    os.utime(landing / "old.json", (long_ago, long_ago))
+    ingest_folder(spark, str(landing), table, checkpoint, "document").awaitTermination()
+    assert {r.patient_id for r in scan_audit_table(spark, table).collect()} == {"PAT-1", "PAT-2"}
+
+
+def test_ingest_sets_damaged_documents_aside(spark, landing, folder):
+    table, checkpoint = folder("audit"), folder("checkpoint")
+    (landing / "a.json").write_text(json.dumps(record(1)) + '\n{"patient_id": "cut\n')
+    for bad in (1, 0):
+        query = ingest_folder(spark, str(landing), table, checkpoint)
+        query.awaitTermination()
+        assert (committed_rows(query), quarantined_rows(query)) == (bad, bad)
+    row = spark.read.parquet(quarantine_of(table)).first()
+    assert row.document == '{"patient_id": "cut' and row.file_path.endswith("a.json")
+    # Documents over several lines in a folder that is read as lines do not vanish unseen.
+    put(landing, "pretty.json", record(2))
+    query = ingest_folder(spark, str(landing), table, checkpoint)
+    query.awaitTermination()
+    assert committed_rows(query) == 0 and quarantined_rows(query) > 0
+
+
+def test_ingest_counts_every_batch(spark, landing, folder, conf):
+    conf(**{"spark__sql__streaming__numRecentProgressUpdates": "2"})
+    for i in range(5):
+        put(landing, f"{i}.json", record(i))
+    query = ingest_folder(
+        spark, str(landing), folder("audit"), folder("checkpoint"), "document", files_per_batch=1
+    )
+    query.awaitTermination()
+    assert len(query.recentProgress) <= 2 and committed_rows(query) == 5
+
+
+def test_landed_records_are_read_by_default(spark, folder):
+    path = folder("landed")
+    land(spark.createDataFrame([record(i) for i in range(20)], schemas.CLINICAL_RECORD), path)
+    assert documents.scan_clinical(spark, path).count() == 20
+
+
+def test_a_field_of_another_type_damages_no_report(spark, landing):
+    for i, tests in enumerate(([{"test_name": "a"}], {"test_name": "b"}, "c")):
+        put(landing, f"{i}.json", {"report_id": f"R{i}", "lab_tests": tests})
+    put(landing, "cut.json", '{"report_id": "R9')
+    rows = documents.scan_lab_reports(spark, str(landing), "document").collect()
+    assert sorted(r.report_id for r in rows) == ["R0", "R1", "R2"]
+
+
+def test_status_events_lie_under_the_day_they_happened(spark, folder):
+    events, log = folder("events"), folder("log")
+    land(spark.createDataFrame([("P", None, None, "dispensed", "2026-04-01T00:00:00")], EVENTS), events)
+    log_status_events(spark, events, log, folder("checkpoint")).awaitTermination()
+    assert os.path.isdir(f"{log}/event_date=2026-04-01")
+
+
 def test_errors_in_a_batch_reach_the_caller(spark, landing, folder):
     put(landing, "a.json", record(1))
 
@@ -299,11 +359,17 @@ def test_jobs(spark, landing, folder, capsys):
     events = folder("events")
     dispensed = [("PAT-1", None, None, "dispensed", "2026-04-01T00:00:00")]
     land(spark.createDataFrame(dispensed, EVENTS), events)
-    jobs.run(spark, ["status", events, folder("log"), folder("checkpoint"), "--table", table])
-    where = ["--layout", "document", "--status", "pending_pharmacy"]
-    jobs.run(spark, ["records", str(landing), table, out, *where])
+    log = folder("log")
+    jobs.run(spark, ["status", events, log, folder("checkpoint"), "--table", table])
+    where = ["--layout", "document", "--log", log, "--status"]
+    jobs.run(spark, ["records", str(landing), table, out, *where, "pending_pharmacy"])
     seen = spark.read.json(out)
-    assert seen.count() == 4 and "event_date" not in seen.columns
+    assert seen.count() == 3 and "event_date" not in seen.columns
+    served = folder("out")
+    jobs.run(spark, ["records", str(landing), table, served, *where, "dispensed"])
+    # No record stands in two queues, though the landing documents are untouched.
+    assert [r.patient_id for r in spark.read.json(served).collect()] == ["PAT-1"]
+    assert "PAT-1" not in {r.patient_id for r in seen.collect()}
     assert scan_audit_table(spark, table).filter("status = 'dispensed'").count() == 1
 
 

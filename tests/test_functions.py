@@ -103,7 +103,7 @@ def test_audio_names(spark):
 
 
 def test_normalise_id(spark):
-    assert column(spark, [" pat-1 "], ids.normalise_id) == ["PAT-1"]
+    assert column(spark, [" pat-1 ", "\tpat-1\n"], ids.normalise_id) == ["PAT-1", "PAT-1"]
     assert column(spark, [" pat-1 "], lambda c: ids.normalise_id(c, upper=False)) == ["pat-1"]
 
 
@@ -177,7 +177,8 @@ def test_parse_tests(spark):
     for parsed in column(spark, good, lab.parse_tests):
         assert [test.asDict() for test in parsed] == [iron]
     assert column(spark, ["[null]"], lab.parse_tests) == [[None]]
-    bad = ["[]", "nonsense", "{not json", "[{'test_name':'Iron'}]", '[{"test_name":', "[1]", "7", "", None]
+    bad = ['[{"test_name":"a"}] x', '{"test_name":"a"} {"test_name":"b"}', "[]", "nonsense", "{not json",
+        "[{'test_name':'Iron'}]", '[{"test_name":', "[1]", "7", "", None]
     assert column(spark, bad, lab.parse_tests) == [[]] * len(bad)
 
 
@@ -257,6 +258,7 @@ def test_drafts_from_answers(spark):
         '{"diagnosis": "a"} and {"diagnosis": "b"}',
         '{"diagnosis": "a"},{"diagnosis": "b"}',
         '{"note": {"deep": [1, 2]}, "dosage": "1"}',
+        '{"diagnosis": "flu", "diagnosis": "cold", "note": 1, "note": 2}',
         "{}",
         "",
         None,

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
+from wardbook.functions.transcript import stripped
 
 
 def document_id(prefix: str, at: Column, *content: Column) -> Column:
@@ -26,7 +27,7 @@ def file_stamp(at: Column) -> Column:
 
 def normalise_id(value: Column, upper: bool = True) -> Column:
     """trimmed and, unless told otherwise, upper-case id."""
-    trimmed = F.trim(value)
+    trimmed = stripped(value)
     return F.upper(trimmed) if upper else trimmed
 
 

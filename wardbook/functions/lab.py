@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
+from wardbook.functions.json_text import parsed_object
 from wardbook.schemas import LAB_TEST
 
 _TESTS_DDL = f"array<{LAB_TEST.simpleString()}>"
@@ -17,9 +18,13 @@ _MAY_BE_TESTS = r"^\s*(\[\s*[\[{\]n]|\{\s*[\"}])"
 
 
 def parse_tests(text: Column) -> Column:
-    """JSON text to an array of tests; unreadable or absent text gives ``[]``."""
+    """JSON text to an array of tests; unreadable or absent text gives ``[]``.
+
+    Text behind the JSON value makes it unreadable, which the reader alone would not see.
+    """
     parsed = F.from_json(text, _TESTS_DDL, {"allowSingleQuotes": "false"})
-    readable = F.when(text.rlike(_MAY_BE_TESTS), parsed)
+    one_value = text.rlike(_MAY_BE_TESTS) & parsed_object(text).isNotNull()
+    readable = F.when(one_value, parsed)
     return F.coalesce(readable, F.array().cast(_TESTS_DDL))
 
 

@@ -2,7 +2,8 @@
 
 ingest  LANDING TABLE CHECKPOINT              new documents into the audit table
 status  EVENTS LOG CHECKPOINT [--table TABLE] new status events into the log
-records LANDING TABLE OUT [--patient ID] [--status S]  the record view as JSON lines
+records LANDING TABLE OUT [--log LOG] [--patient ID] [--status S]  the current record
+                                              view as JSON lines
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from wardbook.session import ENGINE_CONF, configure
 from wardbook.sinks.json_rows import write_json
 from wardbook.sources.documents import LAYOUTS, scan_clinical
 from wardbook.sources.table import scan_audit_table
-from wardbook.streaming.ingest import committed_rows, ingest_folder
-from wardbook.streaming.queue import log_status_events
+from wardbook.streaming.ingest import committed_rows, ingest_folder, quarantined_rows
+from wardbook.streaming.queue import log_status_events, status_log
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument(place)
         job.add_argument("--layout", choices=LAYOUTS, default="lines")
     status.add_argument("--table")
+    records.add_argument("--log")
     records.add_argument("--patient")
     records.add_argument("--status")
     return top
@@ -47,6 +49,8 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         query = ingest_folder(spark, args.landing, args.table, args.checkpoint, args.layout)
         query.awaitTermination()
         print(f"{committed_rows(query)} records committed")
+        if quarantined_rows(query):
+            print(f"{quarantined_rows(query)} documents quarantined")
     elif args.job == "status":
         log_status_events(
             spark, args.events, args.log, args.checkpoint, args.table, args.layout
@@ -54,7 +58,8 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     else:
         landing = scan_clinical(spark, args.landing, args.layout)
         table = scan_audit_table(spark, args.table)
-        view = records_view(landing, table, args.patient, args.status, ordered=True)
+        log = status_log(spark, args.log) if args.log else None
+        view = records_view(landing, table, args.patient, args.status, ordered=True, log=log)
         write_json(view.drop("event_date"), args.out)
 
 

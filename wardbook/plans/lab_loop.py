@@ -15,13 +15,15 @@ from wardbook.functions.json_text import (
 from wardbook.functions.lab import lab_lines
 from wardbook.operators.dedup import by_date_desc
 from wardbook.operators.filters import of_patient, pending_requests
+from wardbook.operators.keyed import complete_requests
 from wardbook.plans.model_stage import Client, with_prompt_key, with_readings
 from wardbook.plans.prompts import ANALYSIS_PROMPT, analysis_prompt
 
 
-def request_queue(requests: DataFrame) -> DataFrame:
-    """Pending requests, latest date first."""
-    return by_date_desc(pending_requests(requests), "request_id")
+def request_queue(requests: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """Pending requests, latest date first; with ``reports``, those without one."""
+    current = requests if reports is None else complete_requests(requests, reports)
+    return by_date_desc(pending_requests(current), "request_id")
 
 
 def reports_of(reports: DataFrame, patient_id: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -81,6 +82,15 @@ def answers_in(spark: SparkSession, store: str) -> DataFrame:
     return last_per_key(given, ["prompt_key"], ["model", "attempts", "response"])
 
 
+def _tasks(batch: DataFrame, calls_per_task: int) -> int:
+    """Tasks enough for a batch that each reading task deals out in turn.
+
+    Each of them may give one row more than its share to a task.
+    """
+    spare = min(batch.rdd.getNumPartitions(), calls_per_task - 1)
+    return max(1, math.ceil(batch.count() / (calls_per_task - spare)))
+
+
 def answer_once(
     spark: SparkSession,
     prompts: DataFrame,
@@ -94,9 +104,10 @@ def answer_once(
     """E1 with memory: ask only what ``store`` does not answer yet.
 
     Equal prompts are asked once, however many rows share them. The open prompts
-    are written in files of ``calls_per_task`` and worked off as a stream: a lost
-    executor repeats the calls of its tasks, a failed job those of one batch, and
-    nothing that reads the answers makes a call again.
+    are written in files and worked off as a stream whose batches are dealt out again, so that
+    no task makes more than ``calls_per_task`` calls: a lost executor repeats the calls
+    of its tasks, a failed job those of one batch, and nothing that reads the answers
+    makes a call again.
     """
     spark.createDataFrame([], ANSWERS_DDL).write.mode("ignore").parquet(store)
     asked = prompts.select("prompt_key", "prompt").dropna().distinct()
@@ -108,7 +119,8 @@ def answer_once(
     stream = spark.readStream.schema(PROMPTS_DDL).option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, _: str) -> None:
-        ask(batch, client, models, **options).write.mode("append").parquet(store)
+        dealt = batch.repartition(_tasks(batch, calls_per_task))
+        ask(dealt, client, models, **options).write.mode("append").parquet(store)
 
     checkpoint = shared_folder(spark, "open-prompts-checkpoint")
     start_batches(stream.parquet(aside), checkpoint, write).awaitTermination()

@@ -9,6 +9,7 @@ from wardbook.functions.display import nan_to_null
 from wardbook.functions.timestamps import parse_timestamp, to_second, to_seconds_text
 from wardbook.operators.dedup import keep_newest, newest_first, row_digest, union_widened
 from wardbook.operators.filters import equal_if_given
+from wardbook.plans.status_log import fold_status
 
 _HELPERS = ("__source", "__ts")
 
@@ -22,13 +23,16 @@ def records_view(
     tie: list[str] | None = None,
     ordered: bool = False,
     resolution: str = "second",
+    log: DataFrame | None = None,
 ) -> DataFrame:
     """Records without their copies.
 
     Copies share the transcript and the second of their timestamp; the newest
     stays, a landing document before a table row, then by ``tie`` (by default a
     hash of the row). The filters run before the deduplication and reach both
-    scans. ``ordered`` sorts the result newest first, which costs a shuffle.
+    scans. With the status ``log``, landing documents and table rows both get their
+    current status before the status filter, so no record stands in two queues; without
+    it the statuses are those that were stored. ``ordered`` sorts the result newest first, which costs a shuffle.
     ``resolution`` widens the time part of the key, to a day for example.
     """
     if not keep_empty:
@@ -36,7 +40,10 @@ def records_view(
     rows = landing.withColumn("__source", F.lit(0))
     if table is not None:
         rows = union_widened(rows, table.withColumn("__source", F.lit(1)))
-    rows = equal_if_given(equal_if_given(rows, "patient_id", patient_id), "status", status)
+    rows = equal_if_given(rows, "patient_id", patient_id)
+    if log is not None:
+        rows = fold_status(rows, log)
+    rows = equal_if_given(rows, "status", status)
     rows = rows.withColumn("__ts", parse_timestamp(F.col("timestamp")))
     last: list[Column] = [F.col(c) for c in tie] if tie else [row_digest(rows, _HELPERS)]
     second = to_second(F.col("__ts")) if resolution == "second" else F.date_trunc(resolution, "__ts")
@@ -50,8 +57,10 @@ def records_view(
     )
 
 
-def register_audits(landing: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def register_audits(
+    landing: DataFrame, table: DataFrame | None = None, log: DataFrame | None = None
+) -> DataFrame:
     """C14: ``audits`` is the unfiltered record view under another name."""
-    view = records_view(landing, table)
+    view = records_view(landing, table, log=log)
     view.createOrReplaceTempView("audits")
     return view

@@ -19,6 +19,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Writes replace only the partitions they carry.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Of a key that a JSON object names twice, the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Ask for every join key when co-partitioning; see operators.keyed.
     "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }

@@ -18,11 +18,6 @@ PLAIN_APPEND = "append"
 UNDATED = "1970-01-01"
 
 
-def delta_available(spark: SparkSession) -> bool:
-    """Whether the session was started with the Delta catalog."""
-    return spark.conf.get("spark.sql.catalog.spark_catalog", "").endswith("DeltaCatalog")
-
-
 def with_audit_columns(df: DataFrame) -> DataFrame:
     """The two typed constants of every committed record."""
     return df.withColumns(
@@ -38,9 +33,9 @@ def audit_projection(df: DataFrame) -> DataFrame:
     return df.select("timestamp", "patient_id", "status")
 
 
-def with_event_date(df: DataFrame) -> DataFrame:
+def with_event_date(df: DataFrame, time: str = "timestamp") -> DataFrame:
     """The partition column, from the payload's own time; 1970-01-01 if unreadable."""
-    day = F.to_date(parse_timestamp(F.col("timestamp")))
+    day = F.to_date(parse_timestamp(F.col(time)))
     return df.withColumn(DATE_COLUMN, F.coalesce(day, F.lit(UNDATED).cast("date")))
 
 
@@ -79,9 +74,11 @@ def write_batch(df: DataFrame, path: str, batch: str, schema: StructType) -> Non
     """Write one numbered batch so that writing it again changes nothing.
 
     The batch name is a partition below the date; a replay replaces exactly the
-    partitions its first run wrote.
+    partitions its first run wrote. Status events lie under the day they happened, not that
+    of the record they name.
     """
-    rows = with_event_date(in_table_form(df, schema)).withColumn(BATCH_COLUMN, F.lit(batch))
+    time = "event_time" if "event_time" in schema.names else "timestamp"
+    rows = with_event_date(in_table_form(df, schema), time).withColumn(BATCH_COLUMN, F.lit(batch))
     _overwrite(rows.hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS)
 
 

@@ -1,15 +1,17 @@
 """Scans of JSON document folders.
 
-``layout`` tells how a folder stores its documents: ``"document"`` for files that
-hold one object or one array of objects, ``"lines"`` for one object per line.
-Only ``lines`` files can be split, so large landings should use it. One folder
-holds one layout: read as a document, a file of lines yields its first line only.
+``layout`` tells how a folder stores its documents: ``"lines"``, the default of every
+reader and of ``land``, for one object or array of objects per line, ``"document"`` for
+files whose object or array runs over several lines. Only ``lines`` files can be split, so
+large landings should use it. One folder holds one layout. Read as lines, a document over
+several lines is damaged, so ingest counts it as such; read as a document, a
+file of lines yields its first line only.
 Sub-folders are other collections and are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -37,48 +39,58 @@ def scan_documents(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    layout: str = "document",
+    layout: str = "lines",
     files: str = DOCUMENT_FILES,
 ) -> DataFrame:
     """Documents under an explicit schema, absent fields as null.
 
-    A document that cannot be read gives one row of nulls or of the fields before
-    the damage; ``readable`` leaves it out and ``quarantine`` keeps its text.
+    A document that cannot be read gives one row of nulls; ``readable`` leaves it out
+    and ``quarantine`` keeps its text. A field of another type than the schema's is null.
     """
     reader = spark.read.schema(schema).options(**reader_options(layout, files))
     return reader.json(path)
 
 
-def scan_clinical(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def scan_clinical(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Clinical records, with every field a record may hold."""
     return scan_documents(spark, path, schemas.CLINICAL_RECORD, layout)
 
 
-def scan_lab_reports(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def scan_lab_reports(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Lab reports; unreadable documents, which have no id, are left out."""
     return readable(spark, path, schemas.LAB_REPORT, layout)
 
 
-def scan_lab_requests(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def scan_lab_requests(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """S3: lab requests; unreadable documents are left out."""
     return readable(spark, path, schemas.LAB_REQUEST, layout)
 
 
-def scan_goods_receipts(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def scan_goods_receipts(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Goods-receipt voice logs."""
     return scan_documents(spark, path, schemas.GOODS_RECEIPT_LOG, layout)
 
 
-def scan_union_of_keys(spark: SparkSession, path: str, layout: str = "document") -> DataFrame:
+def scan_union_of_keys(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """S5, opt-in: the schema is the union of all keys, at the price of a full first read."""
     return spark.read.options(**reader_options(layout)).json(path)
 
 
+def with_corrupt(schema: StructType) -> StructType:
+    """The schema with room for the text of a document the reader stumbled over."""
+    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+
+
+def is_damaged() -> Column:
+    """Whether the text is no JSON at all, rather than JSON with a field of another type."""
+    text = F.col(CORRUPT)
+    return text.isNotNull() & F.try_parse_json(text).isNull()
+
+
 def _with_corrupt(
     spark: SparkSession, path: str, schema: StructType, layout: str, files: str
 ) -> DataFrame:
-    wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
-    reader = spark.read.schema(wide).options(**reader_options(layout, files))
+    reader = spark.read.schema(with_corrupt(schema)).options(**reader_options(layout, files))
     rows = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
     # Always true. The reader refuses a plan that needs the corrupt text alone,
     # as a count of the bad documents would, so a second column is kept in use.
@@ -89,23 +101,23 @@ def readable(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    layout: str = "document",
+    layout: str = "lines",
     files: str = DOCUMENT_FILES,
 ) -> DataFrame:
     """The documents that can be read."""
     rows = _with_corrupt(spark, path, schema, layout, files)
-    return rows.filter(F.col(CORRUPT).isNull()).select(*schema.names)
+    return rows.filter(~is_damaged()).select(*schema.names)
 
 
 def quarantine(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    layout: str = "document",
+    layout: str = "lines",
     files: str = DOCUMENT_FILES,
 ) -> DataFrame:
     """File and text of every document that cannot be read."""
     rows = _with_corrupt(spark, path, schema, layout, files)
-    return rows.filter(F.col(CORRUPT).isNotNull()).select(
+    return rows.filter(is_damaged()).select(
         F.col("_metadata.file_path").alias("file_path"), F.col(CORRUPT).alias("document")
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +15,7 @@ UNTIL_CAUGHT_UP = {"availableNow": True}
 def start_batches(
     rows: DataFrame,
     checkpoint: str,
-    write: Callable[[DataFrame, str], None],
+    write: Callable[[DataFrame, str], Mapping[str, int] | None],
     trigger: dict = UNTIL_CAUGHT_UP,
 ) -> StreamingQuery:
     """Run ``write(batch, batch_name)`` for every micro-batch.
@@ -22,13 +23,17 @@ def start_batches(
     The name is the query's id, which lives in the checkpoint, and the batch
     number: a replayed batch keeps its name, and a query that starts over with
     an empty checkpoint gets new ones and overwrites nothing.
+
+    What ``write`` returns is summed up in ``totals`` of the returned query, over all
+    batches of this run; Spark itself remembers the last hundred only.
     """
+    totals: Counter[str] = Counter()
     started = threading.Event()
     query_id: list[str] = []
 
     def on_batch(batch: DataFrame, number: int) -> None:
         started.wait()
-        write(batch, f"{query_id[0]}-{number:012d}")
+        totals.update(write(batch, f"{query_id[0]}-{number:012d}") or {})
 
     query = (
         rows.writeStream.foreachBatch(on_batch)
@@ -36,6 +41,7 @@ def start_batches(
         .trigger(**trigger)
         .start()
     )
+    query.totals = totals
     query_id.append(query.id)
     started.set()
     return query

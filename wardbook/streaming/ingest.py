@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -10,23 +12,43 @@ from pyspark.sql.types import StructType
 from wardbook import schemas
 from wardbook.plans.commit import records_to_commit
 from wardbook.sinks.table import write_batch
-from wardbook.sources.documents import reader_options
+from wardbook.sources.documents import (
+    CORRUPT,
+    DOCUMENT_FILES,
+    is_damaged,
+    reader_options,
+    with_corrupt,
+)
 from wardbook.streaming.batches import UNTIL_CAUGHT_UP, start_batches
 
 FILES_PER_BATCH = 10_000
-COMMITTED = "committed"
+# By default a file much older than the newest one seen would never be read.
+ANY_AGE = "36500d"
 
 
 def document_stream(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    layout: str = "document",
+    layout: str = "lines",
     files_per_batch: int = FILES_PER_BATCH,
+    archive: str | None = None,
+    files: str = DOCUMENT_FILES,
 ) -> DataFrame:
-    """Documents of a folder as a stream, sub-folders left out."""
-    reader = spark.readStream.schema(schema).options(**reader_options(layout))
-    return reader.option("maxFilesPerTrigger", files_per_batch).json(path)
+    """Documents of a folder as a stream, sub-folders left out, however old the files.
+
+    With ``archive``, files go there once their batch is done, which keeps the folder and
+    the list of files already seen short.
+    """
+    reader = spark.readStream.schema(schema).options(**reader_options(layout, files))
+    if archive is not None:
+        reader = reader.options(cleanSource="archive", sourceArchiveDir=archive)
+    return reader.options(maxFilesPerTrigger=files_per_batch, maxFileAge=ANY_AGE).json(path)
+
+
+def quarantine_of(table: str) -> str:
+    """Where ingest keeps the damaged documents of a table."""
+    return f"{table.rstrip('/')}-quarantine"
 
 
 def ingest_folder(
@@ -34,25 +56,55 @@ def ingest_folder(
     landing: str,
     table: str,
     checkpoint: str,
-    layout: str = "document",
+    layout: str = "lines",
     files_per_batch: int = FILES_PER_BATCH,
     trigger: dict | None = None,
+    quarantine: str | None = None,
+    archive: str | None = None,
+    files: str = DOCUMENT_FILES,
 ) -> StreamingQuery:
     """Take the documents that have arrived since the last run, then stop.
 
     Running it again adds nothing, and neither does the replay of a batch that
-    was cut short: its partitions are replaced by the same rows.
+    was cut short: its partitions are replaced by the same rows. Documents that are no JSON
+    go to ``quarantine`` in the same batch, by default beside the table, with their file.
     """
-    documents = document_stream(spark, landing, schemas.CLINICAL_RECORD, layout, files_per_batch)
+    bad_rows = quarantine or quarantine_of(table)
+    schema = with_corrupt(schemas.CLINICAL_RECORD)
+    stream = document_stream(spark, landing, schema, layout, files_per_batch, archive, files)
+    documents = stream.select("*", F.col("_metadata.file_path").alias("file_path"))
+
+    def write(batch: DataFrame, name: str) -> Mapping[str, int]:
+        bad = batch.filter(is_damaged()).select("file_path", F.col(CORRUPT).alias("document"))
+        rows = records_to_commit(batch.filter(~is_damaged()).drop("file_path", CORRUPT))
+        damaged = _counted(bad, lambda df: _set_aside(df, bad_rows, name))
+        committed = _counted(rows, lambda df: write_batch(df, table, name, schemas.AUDIT_RECORD))
+        return {"committed": committed, "quarantined": damaged}
 
-    def write(batch: DataFrame, name: str) -> None:
-        write_batch(batch, table, name, schemas.AUDIT_RECORD)
+    return start_batches(documents, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
 
-    rows = records_to_commit(documents).observe(COMMITTED, F.count(F.lit(1)).alias("rows"))
-    return start_batches(rows, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
+
+def _counted(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write rows and say how many they were; an empty frame has nothing to observe."""
+    if rows.isEmpty():
+        write(rows)
+        return 0
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
+def _set_aside(bad: DataFrame, path: str, batch: str) -> None:
+    """Write a batch's damaged documents under its name."""
+    writer = bad.withColumn("ingest_batch", F.lit(batch)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(path)
 
 
 def committed_rows(query: StreamingQuery) -> int:
-    """A1: rows the query's recent batches wrote, counted while they were written."""
-    batches = (progress.observedMetrics.get(COMMITTED) for progress in query.recentProgress)
-    return sum(row["rows"] for row in batches if row is not None)
+    """A1: rows that this run has written, counted while they were written."""
+    return query.totals["committed"]
+
+
+def quarantined_rows(query: StreamingQuery) -> int:
+    """A1: damaged documents that this run has set aside."""
+    return query.totals["quarantined"]
