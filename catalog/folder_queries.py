@@ -109,6 +109,32 @@ def array_documents(spark, sf_dir):
     return rows.select("patient_id", "status")
 
 
+@query(f"WITH {RECORDS} SELECT {_RECORD_COLUMNS} FROM records")
+def pretty_documents(spark, sf_dir):
+    """Files that each hold one array of documents over many lines."""
+    rows = records(spark, sf_dir)
+    pretty = F.to_json(
+        F.collect_list(F.struct(*schemas.CLINICAL_RECORD.names)), {"pretty": "true"}
+    )
+    files = rows.groupBy(F.pmod("event_id", F.lit(40))).agg(pretty.alias("value")).select("value")
+    path = shared_folder(spark, "pretty")
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return _flat(documents.readable(spark, path, schemas.CLINICAL_RECORD, "document", "*.txt"))
+
+
+@query(
+    f"""WITH {RECORDS} SELECT patient_id, raw_transcript, "timestamp" FROM records
+      WHERE status <> 'completed'"""
+)
+def commit_without_transcript(spark, sf_dir):
+    """Documents of one status lack their transcript and are not committed."""
+    rows = records(spark, sf_dir)
+    heard = F.when(F.col("status") != "completed", F.col("raw_transcript"))
+    table = shared_folder(spark, "audit")
+    commit_landing(rows.withColumn("raw_transcript", heard), table)
+    return scan_audit_table(spark, table).select("patient_id", "raw_transcript", "timestamp")
+
+
 @query("SELECT event_id, user_id, event_type AS kind, value FROM events")
 def union_of_keys(spark, sf_dir):
     """Documents of one folder that share no schema."""

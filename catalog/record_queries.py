@@ -247,6 +247,16 @@ def status_bucket(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", bucket)
 
 
+@query(
+    f"""WITH {RECORDS} SELECT event_id, CASE WHEN contains(status, 'pending') THEN 'pending'
+      WHEN contains(status, 'completed') OR contains(status, 'dispensed') THEN 'completed'
+      ELSE status END AS status_bucket FROM records"""
+)
+def status_bucket_of_records(spark, sf_dir):
+    bucket = display.status_bucket(F.col("status")).alias("status_bucket")
+    return records(spark, sf_dir).select("event_id", bucket)
+
+
 @query(f"WITH {RECORDS} SELECT event_id, {_defaults_sql(fv.PHARMACY_DEFAULTS)} FROM records")
 def pharmacy_cards(spark, sf_dir):
     cards = display.pharmacy_cards(records(spark, sf_dir))

@@ -298,6 +298,35 @@ def test_ingest_counts_every_batch(spark, landing, folder, conf):
     assert len(query.recentProgress) <= 2 and committed_rows(query) == 5
 
 
+def test_a_range_of_days_reads_their_partitions_only(spark, folder):
+    table = folder("audit")
+    rows = [record(i) for i in range(9)] + [record(20, timestamp="junk")]
+    append_to_table(spark.createDataFrame(rows, schemas.CLINICAL_RECORD), table)
+    some = scan_audit_table(spark, table, since="2026-03-02", until="2026-03-02")
+    assert {r.patient_id for r in some.collect()} == {"PAT-1", "PAT-4", "PAT-7"}
+    plan = some._jdf.queryExecution().toString()
+    filters = plan[plan.rindex("PartitionFilters") :]
+    assert ">= 2026-03-02" in filters and "<= 2026-03-02" in filters
+    assert scan_audit_table(spark, table, until="1970-01-01").count() == 1
+
+
+def test_rows_of_a_file_lie_by_patient(spark, folder):
+    table = folder("audit")
+    rows = [record(i, timestamp="2026-03-01T10:00:00") for i in (5, 3, 9, 1, 7)]
+    append_to_table(spark.createDataFrame(rows, schemas.CLINICAL_RECORD).coalesce(1), table)
+    found = [r.patient_id for r in scan_audit_table(spark, table).collect()]
+    assert found == sorted(found) and len(found) == 5
+
+
+def test_job_lists_open_requests(spark, folder):
+    requests, reports, out = folder("requests"), folder("reports"), folder("out")
+    asked = [(f"Q{i}", "P", "CBC", "D", "2026-01-01", "Pending") for i in range(3)]
+    land(spark.createDataFrame(asked, schemas.LAB_REQUEST), requests)
+    land(spark.createDataFrame([{"report_id": "R", "request_id": "Q1"}], schemas.LAB_REPORT), reports)
+    jobs.run(spark, ["requests", requests, reports, out])
+    assert sorted(r.request_id for r in spark.read.json(out).collect()) == ["Q0", "Q2"]
+
+
 def test_landed_records_are_read_by_default(spark, folder):
     path = folder("landed")
     land(spark.createDataFrame([record(i) for i in range(20)], schemas.CLINICAL_RECORD), path)

@@ -173,3 +173,23 @@ def test_analyses_of_reports(spark, folder):
     assert rows_of(analyse_reports(spark, reports, None)) == [
         (r, *fv.ANALYSIS_NOT_CONFIGURED) for r in ("R1", "R2", "R3")
     ]
+
+
+def test_no_task_makes_more_calls_than_allowed(spark, folder):
+    calls = folder("calls")
+    os.mkdir(calls)
+
+    def client(prompt, model):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        with open(f"{calls}/{task.stageId()}-{task.partitionId()}", "a") as made:
+            made.write("x")
+        return "ok"
+
+    texts = [f"prompt {i}" for i in range(600)]
+    asked = prompts(spark, texts).repartition(60)
+    answers = answer_once(spark, asked, client, ["a"], folder("store"), calls_per_task=20)
+    assert answers.count() == 600
+    sizes = [os.path.getsize(f"{calls}/{name}") for name in os.listdir(calls)]
+    assert sum(sizes) == 600 and max(sizes) <= 20

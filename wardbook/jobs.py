@@ -4,6 +4,7 @@ ingest  LANDING TABLE CHECKPOINT              new documents into the audit table
 status  EVENTS LOG CHECKPOINT [--table TABLE] new status events into the log
 records LANDING TABLE OUT [--log LOG] [--patient ID] [--status S]  the current record
                                               view as JSON lines
+requests REQUESTS REPORTS OUT                 lab requests still without a report
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from wardbook.plans.lab_loop import request_queue
 from wardbook.plans.records_view import records_view
 from wardbook.session import ENGINE_CONF, configure
 from wardbook.sinks.json_rows import write_json
-from wardbook.sources.documents import LAYOUTS, scan_clinical
+from wardbook.sources.documents import LAYOUTS, scan_clinical, scan_lab_reports, scan_lab_requests
 from wardbook.sources.table import scan_audit_table
 from wardbook.streaming.ingest import committed_rows, ingest_folder, quarantined_rows
 from wardbook.streaming.queue import log_status_events, status_log
@@ -27,10 +29,12 @@ def parser() -> argparse.ArgumentParser:
     ingest = jobs.add_parser("ingest")
     status = jobs.add_parser("status")
     records = jobs.add_parser("records")
+    requests = jobs.add_parser("requests")
     for job, places in (
         (ingest, ("landing", "table", "checkpoint")),
         (status, ("events", "log", "checkpoint")),
         (records, ("landing", "table", "out")),
+        (requests, ("requests", "reports", "out")),
     ):
         for place in places:
             job.add_argument(place)
@@ -55,6 +59,10 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         log_status_events(
             spark, args.events, args.log, args.checkpoint, args.table, args.layout
         ).awaitTermination()
+    elif args.job == "requests":
+        asked = scan_lab_requests(spark, args.requests, args.layout)
+        reports = scan_lab_reports(spark, args.reports, args.layout)
+        write_json(request_queue(asked, reports), args.out)
     else:
         landing = scan_clinical(spark, args.landing, args.layout)
         table = scan_audit_table(spark, args.table)

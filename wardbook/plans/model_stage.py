@@ -110,7 +110,9 @@ def answer_once(
     makes a call again.
     """
     spark.createDataFrame([], ANSWERS_DDL).write.mode("ignore").parquet(store)
-    asked = prompts.select("prompt_key", "prompt").dropna().distinct()
+    # The key is a digest of the prompt, so the shuffle needs the key alone.
+    given = prompts.select("prompt_key", "prompt").dropna()
+    asked = given.groupBy("prompt_key").agg(F.first("prompt").alias("prompt"))
     open_prompts = asked.join(
         answers_in(spark, store).select("prompt_key"), "prompt_key", "left_anti"
     )

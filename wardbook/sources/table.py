@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wardbook import schemas
-from wardbook.sinks.table import BATCH_COLUMN
+from wardbook.sinks.table import BATCH_COLUMN, DATE_COLUMN
 
 
 def scan_audit_table(
@@ -16,18 +17,27 @@ def scan_audit_table(
     table_format: str = "parquet",
     skip_corrupt: bool = False,
     keep_batch: bool = False,
+    since: str | None = None,
+    until: str | None = None,
 ) -> DataFrame:
     """The audit table under its newest schema.
 
     Files written before a column existed give null for it. The schema is given
     rather than merged, so no footer is read up front. ``skip_corrupt`` passes
-    over damaged files; leave it off where losing rows must not go unnoticed.
+    over damaged files; leave it off where losing rows must not go unnoticed. ``since``
+    and ``until`` (``YYYY-MM-DD``, both included) read the partitions of those days only;
+    undated records lie under the first day of 1970.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     if table_format == "delta":
-        return reader.format("delta").load(path)
-    wide = StructType([*schema.fields, schemas.AUDIT_PARTITION])
-    rows = reader.schema(wide).parquet(path)
+        rows = reader.format("delta").load(path)
+    else:
+        wide = StructType([*schema.fields, schemas.AUDIT_PARTITION])
+        rows = reader.schema(wide).parquet(path)
+    if since is not None:
+        rows = rows.filter(F.col(DATE_COLUMN) >= F.lit(since).cast("date"))
+    if until is not None:
+        rows = rows.filter(F.col(DATE_COLUMN) <= F.lit(until).cast("date"))
     return rows if keep_batch else rows.drop(BATCH_COLUMN)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from wardbook import schemas
+from wardbook.operators.counts import counted, has_rows
 from wardbook.plans.commit import records_to_commit
 from wardbook.sinks.table import write_batch
 from wardbook.sources.documents import (
@@ -86,11 +87,11 @@ def ingest_folder(
 
 def _counted(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
     """Write rows and say how many they were; an empty frame has nothing to observe."""
-    if rows.isEmpty():
+    if not has_rows(rows):
         write(rows)
         return 0
-    seen = Observation()
-    write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    observed, seen = counted(rows)
+    write(observed)
     return seen.get["rows"]
 
 
