@@ -16,12 +16,12 @@ ODD_TEXTS = [
     (None, "no number here", "b"),
     (7, "Überraschung! It’s a ſecret token = 'abcdefgh1234' 日本 \U0001f600", "c"),
 ]
-SCHEMA = "doc_id long, text string, source string, score string, spans int, size int"
+SCHEMA = "doc_id long, text string, source string, score string, spans int, size int, rate int, first int"
 
 
 def odd_documents(spark):
     """Nulls, empty and long texts, repeated rows, and columns named as results are."""
-    rows = [(i, t, s, "x", 1, 2) for i, t, s in ODD_TEXTS]
+    rows = [(i, t, s, "x", 1, 2, 3, 4) for i, t, s in ODD_TEXTS]
     return spark.createDataFrame(rows, SCHEMA)
 
 

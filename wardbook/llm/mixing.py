@@ -74,6 +74,69 @@ def _chance(row_key: Column, trial: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _copies(doc_id: Column) -> Column:
+    """Copies of a document with words, from its source's ``rate`` and ``seed``."""
+    fraction = F.col("rate") - F.floor("rate")
+    extra = F.when(_chance(_key(doc_id), F.col("seed")) < fraction, 1).otherwise(0)
+    return F.when(F.col("size") > 0, F.floor("rate") + extra).otherwise(0).cast("long")
+
+
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return staged(
+        docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes"
+    )
+
+
+def _of_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with what their source has; null sources are one source.
+
+    ``sources`` has one row each, so adaptive execution may split a hot one's rows.
+    """
+    named = sources.withColumnRenamed("source", "__source")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def plan_sources(
+    sizes: DataFrame, weights: Sequence[float], max_repeats: float, trials: int
+) -> DataFrame:
+    """``source, source_size, target, rate, seed``, one row per source, written aside.
+
+    Of ``trials`` seeds each source takes the one whose words come nearest its target, the
+    first of equals; the sums of all seeds are one aggregation.
+    """
+    filled = fill_targets(source_weights(sizes, weights), max_repeats)
+    share = F.col("target") / F.col("source_size")
+    sources = staged(
+        filled.select(
+            "source",
+            "source_size",
+            "target",
+            F.when(F.col("source_size") > 0, share).otherwise(0.0).alias("rate"),
+        ),
+        "targets",
+    )
+    fraction = F.col("rate") - F.floor("rate")
+    tried = _of_source(sizes, sources).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("seed")
+    )
+    taken = F.when(_chance(_key(F.col("doc_id")), F.col("seed")) < fraction, F.col("size"))
+    totals = tried.groupBy("source", "source_size", "target", "rate", "seed").agg(
+        F.sum(F.coalesce(taken, F.lit(0))).alias("extra")
+    )
+    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
+    miss = F.abs(F.col("extra") - wanted)
+    return staged(
+        totals.groupBy("source", "source_size", "target", "rate").agg(
+            F.min_by("seed", F.struct(miss, "seed")).alias("seed")
+        ),
+        "seeds",
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -84,67 +147,35 @@ def mix(
 
     ``docs`` has ``doc_id``, ``text`` and ``source``. A document of a source with rate
     ``target / source_size`` is taken ``floor(rate)`` times, plus once more if its hash,
-    seeded by a number of its source, falls below the rate's fraction. Of ``trials``
-    seeds each source takes the one whose words come nearest its target, the first of
-    equals; the sums of all seeds are one aggregation.
+    seeded by a number of its source, falls below the rate's fraction.
 
     Returns ``doc_id, source, size, source_size, target, copies, taken``. Null text has
     size 0, a null source is a source of its own, after the others. Sources without words have
     target 0 and rate 0: their documents, like all without words, are taken 0 times.
     Equal rows of one ``doc_id`` decide alike; an empty table gives an empty one.
     """
-    sizes = staged(
-        docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sizes"
-    )
-    sources = staged(
-        fill_targets(source_weights(sizes, weights), max_repeats).withColumn(
-            "rate",
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
-        ),
-        "targets",
-    )
-    # Null-safe and one row per source: skewed sources are split by adaptive joins.
-    rated = sizes.alias("d").join(
-        sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))
-    )
-    rated = rated.select("d.doc_id", "d.source", "d.size", "source_size", "target", "rate")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    fraction = F.col("rate") - F.floor("rate")
-    tried = rated.select(
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "rate",
-        key.alias("key"),
-        F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("seed"),
-    )
-    extra = F.when(_chance(F.col("key"), F.col("seed")) < fraction, F.col("size")).otherwise(0)
-    totals = tried.groupBy("source", "source_size", "target", "rate", "seed").agg(
-        F.sum(extra).alias("extra")
-    )
-    wanted = F.col("target") - F.floor("rate") * F.col("source_size")
-    miss = F.abs(F.col("extra") - wanted)
-    seeds = totals.groupBy("source").agg(F.min_by("seed", F.struct(miss, "seed")).alias("seed"))
-    seeds = staged(seeds, "seeds")
-    chosen = rated.alias("d").join(seeds.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    copies = F.floor("rate") + F.when(_chance(key, F.col("seed")) < fraction, 1).otherwise(0)
-    return chosen.select(
-        "doc_id",
-        "d.source",
-        "size",
-        "source_size",
-        "target",
-        F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"),
+    sizes = _sized(docs)
+    rated = _of_source(sizes, plan_sources(sizes, weights, max_repeats, trials))
+    return rated.select(
+        "doc_id", "source", "size", "source_size", "target", _copies(F.col("doc_id")).alias("copies")
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the mix, each as often as ``mix`` takes it."""
-    decided = (
-        mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
+def emit(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    max_repeats: float = MAX_REPEATS,
+    trials: int = TRIALS,
+) -> DataFrame:
+    """The rows of ``docs`` in the mix, each as often as ``mix`` takes it.
+
+    All columns stay, whatever their names.
+    """
+    plan = plan_sources(_sized(docs), weights, max_repeats, trials)
+    whole = F.struct(*docs.columns).alias("row")
+    rows = docs.select(
+        whole, "doc_id", "source", count_words(F.col("text")).alias("size")
     )
-    kept = docs.alias("d").join(decided.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-    return kept.select(
-        "d.*", F.explode(F.array_repeat(F.lit(True), F.col("mix_copies").cast("int"))).alias("__copy")
-    ).drop("__copy")
+    again = F.array_repeat(F.col("row"), _copies(F.col("doc_id")).cast("int"))
+    repeated = _of_source(rows, plan).select(F.explode(again).alias("row"))
+    return repeated.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.llm.components import component_labels
-from wardbook.llm.shared import staged
+from wardbook.llm.shared import staged, unused
 from wardbook.operators.keyed import left_join_unique
 
 SHINGLE = 3
@@ -141,10 +141,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     first = (
         found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     )
-    kept = left_join_unique(
-        docs.where(F.col("doc_id").isNotNull()), first.withColumn("__first", F.lit(True)), ["doc_id"]
-    ).where("__first").drop("__first")
     columns = docs.columns
+    mark = unused("first", columns)
+    kept = left_join_unique(
+        docs.where(F.col("doc_id").isNotNull()), first.withColumn(mark, F.lit(True)), ["doc_id"]
+    ).where(F.col(mark))
     one = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("__row"))
     nameless = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
     spare = docs.where(F.col("doc_id").isNull()) if nameless.limit(1).count() else None
