@@ -307,7 +307,9 @@ def ingest_with_damage(spark, sf_dir):
         F.lit("committed").alias("kind"), F.concat_ws(":", "patient_id", "raw_transcript").alias("text")
     )
     bad = spark.read.parquet(quarantine_of(table))
-    return committed.unionByName(bad.select(F.lit("quarantined").alias("kind"), F.col("document").alias("text")))
+    return committed.unionByName(
+        bad.select(F.lit("quarantined").alias("kind"), F.col("document").alias("text"))
+    )
 
 
 def _streamed_log(spark: SparkSession, rows: DataFrame, table: str | None = None) -> str:

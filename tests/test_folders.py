@@ -327,6 +327,18 @@ def test_job_lists_open_requests(spark, folder):
     assert sorted(r.request_id for r in spark.read.json(out).collect()) == ["Q0", "Q2"]
 
 
+def test_a_rewrite_leaves_no_copy_behind(spark, folder, monkeypatch):
+    from wardbook.sinks import table as sink
+
+    table, asides = folder("audit"), []
+    rows = spark.createDataFrame([record(i) for i in range(4)], schemas.CLINICAL_RECORD)
+    append_to_table(rows, table)
+    monkeypatch.setattr(sink, "shared_folder", lambda s, label: asides.append(folder(label)) or asides[-1])
+    replace_partitions(spark, scan_audit_table(spark, table, keep_batch=True), table)
+    assert len(asides) == 1 and not os.path.exists(asides[0])
+    assert scan_audit_table(spark, table).count() == 4
+
+
 def test_landed_records_are_read_by_default(spark, folder):
     path = folder("landed")
     land(spark.createDataFrame([record(i) for i in range(20)], schemas.CLINICAL_RECORD), path)

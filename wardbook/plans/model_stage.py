@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
 from wardbook.operators.keyed import last_per_key, left_join_unique
-from wardbook.session import shared_folder
+from wardbook.session import drop_folder, shared_folder
 from wardbook.streaming.batches import start_batches
 
 Client = Callable[[str, str], str]
@@ -126,6 +126,9 @@ def answer_once(
 
     checkpoint = shared_folder(spark, "open-prompts-checkpoint")
     start_batches(stream.parquet(aside), checkpoint, write).awaitTermination()
+    # The answers are stored; the prompts hold patients' words and are not kept.
+    drop_folder(spark, aside)
+    drop_folder(spark, checkpoint)
     return answers_in(spark, store)
 
 

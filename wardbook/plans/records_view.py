@@ -29,8 +29,8 @@ def records_view(
 
     Copies share the transcript and the second of their timestamp; the newest
     stays, a landing document before a table row, then by ``tie`` (by default a
-    hash of the row). The filters run before the deduplication and reach both
-    scans. With the status ``log``, landing documents and table rows both get their
+    hash of the row). The filters run before the deduplication and reach both scans.
+    With the status ``log``, landing documents and table rows both get their
     current status before the status filter, so no record stands in two queues; without
     it the statuses are those that were stored. ``ordered`` sorts the result newest first, which costs a shuffle.
     ``resolution`` widens the time part of the key, to a day for example.

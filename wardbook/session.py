@@ -48,3 +48,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             )
         root = tempfile.mkdtemp(prefix="wardbook-")
     return posixpath.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_folder`` named, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target.getFileSystem(conf).delete(target, True)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from wardbook import fixed_values as fv
 from wardbook import schemas
 from wardbook.functions.timestamps import parse_timestamp
-from wardbook.session import shared_folder
+from wardbook.session import drop_folder, shared_folder
 
 DATE_COLUMN = "event_date"
 BATCH_COLUMN = "ingest_batch"
@@ -106,9 +106,11 @@ def replace_partitions(
     """Replace the partitions that ``rows`` covers and leave all others alone.
 
     ``rows`` usually reads ``path`` itself, so it is first written aside to the
-    shared folder and read back from there. One writer at a time.
+    shared folder and read back from there. One writer at a time. The copy is removed
+    after the replacement; if that fails, it stays and holds what is missing.
     """
     aside = shared_folder(spark, "rewrite")
     rows.write.partitionBy(*partition_by).parquet(aside)
     staged = spark.read.schema(rows.schema).parquet(aside)
     _overwrite(staged.hint("rebalance", *partition_by), path, partition_by)
+    drop_folder(spark, aside)
