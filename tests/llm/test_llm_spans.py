@@ -96,6 +96,17 @@ def test_suffix_array_and_common_prefixes():
         assert own.tolist() == [least[s[i : i + 50]] for i in range(len(s) - 49)]
 
 
+@pytest.mark.parametrize("data", [b"ab\0\0", bytes(200), b"x\0\0y" * 30 + bytes(70), b"\0"])
+def test_suffixes_that_end_in_nuls(data):
+    order = spans.suffix_array(data, np.arange(len(data)))
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_texts_that_end_in_nuls(spark):
+    rows = [(i, f"{i:02d} before " + "\0" * (60 + i % 3)) for i in range(12)]
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
 def test_odd_rows(spark):
     rows = [(i, t) for i, t, _ in ODD_TEXTS]
     assert ours(odd_documents(spark)) == plain(rows)

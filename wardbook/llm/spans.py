@@ -130,8 +130,7 @@ def suffix_array(data: bytes, places: np.ndarray) -> np.ndarray:
     padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
     head = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
     order = np.argsort(head, kind="stable")
-    ranks = np.empty(n + 1, dtype=np.int64)
-    ranks[n] = -1
+    ranks = np.empty(n, dtype=np.int64)
     sorted_head = head[order]
     # A group's rank is the place of its last member, as sorted groups keep theirs.
     last = np.append(sorted_head[1:] != sorted_head[:-1], True)
@@ -145,7 +144,9 @@ def suffix_array(data: bytes, places: np.ndarray) -> np.ndarray:
         if not len(open_places):
             break
         members = order[open_places]
-        after = ranks[np.minimum(members + reach, n)]
+        behind = members + reach
+        # Suffixes that end before that are prefixes of the others; the shorter stands first.
+        after = np.where(behind < n, ranks[np.minimum(behind, n - 1)], n - 1 - behind)
         again = np.lexsort([after, group[open_places]])
         members, after = members[again], after[again]
         order[open_places] = members
