@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from conftest import TESTDATA
 from helpers import ODD_TEXTS, no_documents, odd_documents
 
@@ -66,6 +67,46 @@ def test_copies_edits_and_shards(spark, monkeypatch, seed):
     assert ours(docs) == plain(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_hot_anchors(spark, monkeypatch, hot):
+    draw = random.Random(hot)
+    passage = "".join(draw.choices("abcdefgh", k=130))
+    rows = []
+    for i in range(120):
+        around = ["".join(draw.choices("abcdefgh", k=draw.randrange(90))) for _ in range(2)]
+        text = around[0] + draw.choice([passage, passage[:30], passage[50:], ""]) + around[1]
+        rows.append((i if i % 17 else None, text + draw.choice(["", rows[i // 2][1] if rows else ""])))
+    rows += rows[5:9]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(spans, "HOT", hot)
+    assert ours(docs) == plain(rows)
+
+
+def test_no_task_gets_all_strings_of_a_hot_anchor(spark, monkeypatch):
+    draw = random.Random(5)
+    passage = "".join(draw.choices("abcdefgh", k=100))
+    # Characters of their own around it, so that each text has other strings at its edges.
+    rows = [(i, chr(0x4E00 + i) * 14 + passage + chr(0x4E00 + i) * 14) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    judged = spans._judged
+
+    def watched(group):
+        """Fails where a task gets more than 40 strings around one gram; blocks send equal ones once."""
+        met = {}
+        for row in group.to_dict("records"):
+            sizes = np.frombuffer(row["sizes"], dtype=np.uint8).astype(int)
+            data = zstandard.ZstdDecompressor().decompress(row["strings"], max_output_size=1_000_000)
+            for end, size, offset in zip(np.cumsum(sizes), sizes, row["offsets"], strict=True):
+                gram = data[end - size + offset :][: spans.GRAM]
+                met[gram] = met.get(gram, 0) + 1
+        assert max(met.values()) <= 40
+        return judged(group)
+
+    monkeypatch.setattr(spans, "_judged", watched)
+    monkeypatch.setattr(spans, "HOT", 40, raising=False)
+    assert ours(docs) == plain(rows)
+
+
 def test_passes_over_one_text_agree(monkeypatch):
     data = bytes(random.Random(1).choices(range(97, 101), k=5000))
     ends = np.array([1000, 1000, 1049, 5000])

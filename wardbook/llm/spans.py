@@ -25,16 +25,19 @@ PASS = 2_000_000
 #: Packed bytes that one task should get of what meets, and bytes of one suffix array.
 SHARD = 2_000_000
 ARRAY = 4_000_000
+#: Strings around one anchor, counted by block, that may meet in one task.
+HOT = 50_000
 _MASK = np.uint64((1 << 24) - 1)
 _KEY_BITS = 39
 _FLAG = 1 << _KEY_BITS
 
 
-def _mixed(data: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each of the first ``n`` places."""
+def _mixed(data: np.ndarray, n: int, places: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the ``GRAM`` bytes from each of the first ``n`` places, or from some."""
 
     def load(at: int) -> np.ndarray:
-        return np.ndarray((n,), "<u8", data, at, (1,)).copy()
+        words = np.ndarray((n,), "<u8", data, at, (1,))
+        return words.copy() if places is None else words[places]
 
     found = load(0) * np.uint64(0x9E3779B97F4A7C15)
     found ^= found >> np.uint64(29)
@@ -102,6 +105,26 @@ def runs_of(data: bytes, ends: np.ndarray) -> Runs:
     return Runs(start, count, offset, hashes, np.searchsorted(ends, start, side="right"))
 
 
+def _sketch(data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of strings of ``LENGTH`` to 80 bytes, by grams that cover them."""
+    padded = np.frombuffer(data + bytes(32), dtype=np.uint8)
+    found = length.astype(np.uint64)
+    for k in range(4):
+        found ^= _mixed(padded, len(data), start + np.minimum(k * GRAM, length - GRAM))
+        found *= np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(31)
+    return found
+
+
+def _single_windows(data: bytes, runs: Runs, picked: np.ndarray) -> Runs:
+    """The windows of some runs, each a run of its own that meets others by all its bytes."""
+    count = runs.count[picked]
+    before = np.cumsum(count) - count
+    start = np.repeat(runs.start[picked] - before, count) + np.arange(count.sum())
+    one = np.ones_like(start)
+    return Runs(start, one, one - 1, _sketch(data, start, one * LENGTH), np.repeat(runs.doc[picked], count))
+
+
 def _meeting(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Shard and key of a hash in one number: low bits choose the shard, high ones the key."""
     shard = ((hashes & _MASK) * np.uint64(shards)) >> np.uint64(24)
@@ -310,16 +333,38 @@ def _opened(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.cumsum(np.array(row["sizes"], dtype=np.int64)), ids
 
 
-def _announced(shards: int):
-    """Each block's anchor keys, once each, packed by shard; a flag marks those of several ids."""
+def _among(keys: np.ndarray, told: list, hot: bool) -> np.ndarray:
+    """Which of ``keys`` are among those that a block was told of, the hot ones or the others."""
+    wanted = np.concatenate([_unpack(t["keys"]) | np.uint64(t["shard"] << (_KEY_BITS + 1)) for t in told])
+    wanted = wanted[((wanted & np.uint64(_FLAG)) > 0) == hot] & ~np.uint64(_FLAG)
+    if not len(wanted):
+        return np.zeros(len(keys), dtype=bool)
+    wanted.sort()
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
+
+
+def _asked(row: dict, shards: int) -> tuple[bytes, np.ndarray, Runs]:
+    """Texts, ids and runs of a block; of one with ``hot`` keys the single windows around those."""
+    data, ends, ids = _opened(row)
+    runs = runs_of(data, ends)
+    if "hot" in row:
+        hot = _among(_meeting(runs.hash, shards), row["hot"], True)
+        runs = _single_windows(data, runs, np.flatnonzero(hot))
+    return data, ids, runs
+
+
+def _announced(shards: int, anchors: int):
+    """Each block's keys, once each, packed by shard, and how many strings each has there.
+
+    A flag marks the keys of several ids. ``anchors`` is the number of shards of the anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends, ids = _opened(row)
-                runs = runs_of(data, ends)
+                data, ids, runs = _asked(row, anchors)
                 owner = ids[runs.doc]
-                named = owner != _RANKLESS
+                named = np.flatnonzero(owner != _RANKLESS)
                 keys, owner = _meeting(runs.hash[named], shards), owner[named]
                 order = np.argsort(keys, kind="stable")
                 keys, owner = keys[order], owner[order]
@@ -327,46 +372,87 @@ def _announced(shards: int):
                 if not len(heads):
                     continue
                 several = np.maximum.reduceat(owner, heads) != np.minimum.reduceat(owner, heads)
+                strings = _strings(data, runs, named[order], heads)
                 keys = keys[heads] | (several.astype(np.uint64) << np.uint64(_KEY_BITS))
                 shard = (keys >> np.uint64(_KEY_BITS + 1)).astype(np.int64)
                 cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
                 parts = [_pack(p) for p in np.split(keys, cuts[1:])]
+                counts = [c.tobytes() for c in np.split(strings, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard[cuts].astype(np.int32)),
                         pa.array([row["block"]] * len(parts), pa.int64()),
                         pa.array(parts, pa.binary()),
+                        pa.array(counts, pa.binary()),
                     ],
-                    names=["shard", "block", "keys"],
+                    names=["shard", "block", "keys", "strings"],
                 )
 
     return run
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard, the keys that another block or another document has too, by block."""
-    keys = [_unpack(k) for k in group["keys"]]
-    source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    flat = np.concatenate(keys)
-    flag = (flat & np.uint64(_FLAG)) > 0
-    flat = flat & np.uint64(_FLAG - 1)
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    same = ranked[1:] == ranked[:-1]
-    met = np.zeros(len(flat), dtype=bool)
-    met[order] = np.append(same, False) | np.append(False, same)
-    met |= flag
-    chosen = np.split(flat[met], np.cumsum(np.bincount(source[met], minlength=len(keys)))[:-1])
-    rows = [
-        (shard, block, _pack(own))
-        for shard, block, own in zip(group["shard"], group["block"], chosen, strict=True)
-        if len(own)
-    ]
-    return pd.DataFrame(rows, columns=["shard", "block", "keys"]).astype({"shard": "int32", "block": "int64"})
-
-
-def _sent(shards: int):
-    """The strings around shared anchors, by shard, equal strings of a block once.
+_ANNOUNCED = "shard int, block long, keys binary, strings binary"
+
+
+def _strings(data: bytes, runs: Runs, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """How many different strings each key has; ``order`` has the runs by key, from ``heads`` on."""
+    sizes = np.diff(np.append(heads, len(order)))
+    key = np.repeat(np.arange(len(heads)), sizes)
+    met = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    found = (sizes == 1).astype(np.int64)
+    if len(met):
+        own, key = order[met], key[met]
+        sketch = _sketch(data, runs.start[own], runs.count[own] + LENGTH - 1)
+        ranked = np.lexsort([sketch, key])
+        key, sketch = key[ranked], sketch[ranked]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (sketch[1:] != sketch[:-1]))
+        found += np.bincount(key[fresh], minlength=len(heads))
+    return np.minimum(found, np.iinfo(np.uint16).max).astype("<u2")
+
+
+def _shared(hot: int):
+    """Of one shard, the keys that another block or another document has too, by block.
+
+    A flag marks those of more than ``hot`` strings, which ``n_hot`` counts.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [_unpack(k) for k in group["keys"]]
+        source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        flat = np.concatenate(keys)
+        strings = np.concatenate([np.frombuffer(s, dtype="<u2") for s in group["strings"]]).astype(np.int64)
+        flag = (flat & np.uint64(_FLAG)) > 0
+        flat = flat & np.uint64(_FLAG - 1)
+        order = np.argsort(flat, kind="stable")
+        ranked = flat[order]
+        same = ranked[1:] == ranked[:-1]
+        met = np.zeros(len(flat), dtype=bool)
+        met[order] = np.append(same, False) | np.append(False, same)
+        met |= flag
+        heads = np.flatnonzero(np.append(True, ~same))
+        many = np.zeros(len(flat), dtype=bool)
+        many[order] = np.repeat(
+            np.add.reduceat(strings[order], heads) > hot, np.diff(np.append(heads, len(flat)))
+        )
+        flat |= many.astype(np.uint64) << np.uint64(_KEY_BITS)
+        chosen = np.split(flat[met], np.cumsum(np.bincount(source[met], minlength=len(keys)))[:-1])
+        n_hot = np.bincount(source, np.where(met & many, strings, 0), minlength=len(keys)).astype(np.int64)
+        rows = [
+            (shard, block, _pack(own), n)
+            for shard, block, own, n in zip(
+                group["shard"], group["block"], chosen, n_hot.tolist(), strict=True
+            )
+            if len(own)
+        ]
+        return pd.DataFrame(rows, columns=["shard", "block", "keys", "n_hot"]).astype(
+            {"shard": "int32", "block": "int64", "n_hot": "int64"}
+        )
+
+    return run
+
+
+def _sent(shards: int, anchors: int):
+    """The strings around shared keys that are not hot, by shard, equal strings of a block once.
 
     Of equal strings the smallest document's is asked about; those of other documents in the
     block are ``settled``: an earlier document has all their windows.
@@ -376,34 +462,26 @@ def _sent(shards: int):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
-                data, ends, ids = _opened(row)
-                runs = runs_of(data, ends)
-                wanted = np.sort(
-                    np.concatenate(
-                        [
-                            _unpack(s["keys"]) | np.uint64(s["shard"] << (_KEY_BITS + 1))
-                            for s in row["shared"]
-                        ]
-                    )
-                )
+                data, ids, runs = _asked(row, anchors)
                 keys = _meeting(runs.hash, shards)
-                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                hit = np.flatnonzero((wanted[at] == keys) & (ids[runs.doc] != _RANKLESS))
+                hit = np.flatnonzero(_among(keys, row["shared"], False) & (ids[runs.doc] != _RANKLESS))
                 # Smaller documents first, so the first of equal strings is the one to ask about.
-                hit = hit[np.argsort(ids[runs.doc[hit]], kind="stable")]
-                found: dict[int, dict[bytes, tuple]] = defaultdict(dict)
-                for shard, start, count, offset, doc in zip(
-                    (keys[hit] >> np.uint64(_KEY_BITS + 1)).tolist(),
-                    runs.start[hit].tolist(),
-                    runs.count[hit].tolist(),
-                    runs.offset[hit].tolist(),
-                    ids[runs.doc[hit]].tolist(),
-                    strict=True,
-                ):
-                    string = data[start : start + count + LENGTH - 1]
-                    entry = found[shard].setdefault(string, (doc, offset, [], []))
-                    entry[2 if doc == entry[0] else 3].append(start)
-                for shard, strings in found.items():
+                place = (keys[hit] >> np.uint64(_KEY_BITS + 1)).astype(np.int64)
+                hit = hit[np.lexsort([ids[runs.doc[hit]], place])]
+                place.sort()
+                for own in np.split(hit, np.flatnonzero(np.diff(place)) + 1) if len(hit) else []:
+                    shard = int(keys[own[0]] >> np.uint64(_KEY_BITS + 1))
+                    strings: dict[bytes, tuple] = {}
+                    for start, count, offset, doc in zip(
+                        runs.start[own].tolist(),
+                        runs.count[own].tolist(),
+                        runs.offset[own].tolist(),
+                        ids[runs.doc[own]].tolist(),
+                        strict=True,
+                    ):
+                        string = data[start : start + count + LENGTH - 1]
+                        entry = strings.setdefault(string, (doc, offset, [], []))
+                        entry[2 if doc == entry[0] else 3].append(start)
                     entries = list(strings.values())
                     starts = [s for e in entries for s in e[2]]
                     settled = [s for e in entries for s in e[3]]
@@ -528,8 +606,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     (see ``Runs``), so blocks first exchange packed anchor keys and learn which of theirs
     others have, and then send the strings around those to the shards of the anchors.
     There, strings that meet different ones go into suffix arrays, whose common prefixes
-    give the smallest document of every window. A block sends equal strings once, so a
-    passage that a third of all documents share reaches its shard once per block.
+    give the smallest document of every window. A block sends equal strings once.
+
+    At the edges of a passage that many documents share, each of them has a string of its
+    own around the same anchor, and so it is around any frequent gram. Blocks therefore tell
+    how many strings a key has; where these are more than ``HOT``, the windows in them are
+    exchanged in the same way a second time, each by a key of all its bytes. Then only
+    equal windows meet, one of each block.
 
     A null text is empty. Rows with one ``doc_id`` do not shorten each other; a document
     with a null ``doc_id`` has no place in the order, stays whole and shortens none. An
@@ -539,16 +622,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     # A key of five bytes for every sixteen or so of text.
     shards = max(1, total * 5 // 16 // SHARD)
-    announced = blocks.mapInArrow(_announced(shards), "shard int, block long, keys binary")
-    shared = announced.groupBy("shard").applyInPandas(_shared, "shard int, block long, keys binary")
-    wanted = staged(
-        shared.groupBy("block").agg(F.collect_list(F.struct("shard", "keys")).alias("shared")), "shared"
-    )
+    wanted = _wanted(blocks, shards, shards, HOT)
     # Shared keys stand for about 80 bytes of text each.
     asking = left_join_unique(wanted, blocks, ["block"])
-    sent = asking.mapInArrow(_sent(shards), _SENT)
-    judged = sent.groupBy("shard").applyInPandas(_judged, "block long, gone binary")
+    judged = _removed(asking, shards, shards)
+    n_hot = wanted.agg(F.sum("n_hot")).first()[0] or 0
+    if n_hot:
+        hot = wanted.where("n_hot > 0").select("block", F.col("shared").alias("hot"))
+        hot = left_join_unique(hot, blocks, ["block"])
+        # A key of five bytes for every window of a string.
+        finer = max(1, n_hot * (LENGTH - GRAM + 1) * 5 // SHARD)
+        met = _wanted(hot, finer, shards, _RANKLESS).drop("n_hot")
+        asking = left_join_unique(met, hot, ["block"])
+        judged = judged.unionByName(_removed(asking, finer, shards))
     gone = staged(judged.groupBy("block").agg(F.collect_list("gone").alias("gone")), "gone")
     return left_join_unique(blocks, gone, ["block"]).mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+
+
+def _wanted(blocks: DataFrame, shards: int, anchors: int, hot: int) -> DataFrame:
+    """``block, shared, n_hot``: by block, the keys that others have too."""
+    announced = blocks.mapInArrow(_announced(shards, anchors), _ANNOUNCED)
+    shared = announced.groupBy("shard").applyInPandas(
+        _shared(hot), "shard int, block long, keys binary, n_hot long"
+    )
+    told = F.collect_list(F.struct("shard", "keys")).alias("shared")
+    return staged(shared.groupBy("block").agg(told, F.sum("n_hot").alias("n_hot")), "shared")
+
+
+def _removed(asking: DataFrame, shards: int, anchors: int) -> DataFrame:
+    """``block, gone``: the windows that smaller documents have, of blocks with ``shared`` keys."""
+    sent = asking.mapInArrow(_sent(shards, anchors), _SENT)
+    return sent.groupBy("shard").applyInPandas(_judged, "block long, gone binary")
