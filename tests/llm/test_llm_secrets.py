@@ -71,6 +71,30 @@ def test_other_rules_add_spans():
     assert secrets.find(["ghp_" + "a" * 36])[0] == [("repository", 0, 40), ("hex", 4, 40)]
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    draw = random.Random(3)
+    alphabet = "ABCXYZabcxyz019+/"
+    lines = ["".join(draw.choices(alphabet, k=64)) for _ in range(5)] + ["Zz9+/a=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    encrypted = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D", "", *lines]
+    texts = [
+        f"é before {nl.join([head, *body, *foot])}{after}"
+        for nl in ("\n", "\r\n", "\\n", " ", "\n    ", "\n> ")
+        for body in (lines, encrypted, lines[:3] + ["Qq7"])
+        for foot, after in (([end], " after."), ([end], f"\n{head}"), ([], ""))
+    ]
+    texts += ["\n".join([head, *lines, "", "That was the key, said the text. It stays."])]
+    texts += [f"a {head} is how it starts, says the text.", f"{head}\n", f"{head}\nAb1\nCd2\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    for old, new in zip(texts[:-4], cleaned, strict=False):
+        after = old.partition(end)[2].replace(head, "[private_key]")
+        assert new == f"é before [private_key]{after}", old
+    assert cleaned[-4].split() == "[private_key] That was the key, said the text. It stays.".split()
+    assert cleaned[-3] == "a [private_key] is how it starts, says the text."
+    assert [t.strip() for t in cleaned[-2:]] == ["[private_key]"] * 2
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,13 +27,15 @@ class Rule:
 
     ``pattern`` must end in a run of one set or in a byte of its own, so that a match
     ends where the run does. Where the whole match is such a run, ``run`` may say how long
-    it must be, which spares a look at shorter ones.
+    it must be, which spares a look at shorter ones. What ``tail`` matches right behind a
+    match belongs to it.
     """
 
     kind: str
     pattern: au.Pattern
     check: Callable[[bytes], bool] = _always
     run: int = 1
+    tail: re.Pattern[bytes] | None = None
 
 
 def _longer(n: int) -> Callable[[bytes], bool]:
@@ -59,6 +62,23 @@ _NAME = au.alt(
 )
 _LETTERS = au.span("AZ", "az", "09", more="_-")
 
+# A key's body: up to its END line, with any plain characters but no other marker between. Where
+# that line is missing, its headers, long runs of base64 and short ones that fill their line or
+# end the text; line breaks may be written out or lost.
+_GAP = rb"""(?:[\s"',>#*|]|\\[nrt]?)"""
+_KEY_BODY = re.compile(
+    rb"""
+    (?:(?!-----)[\t-\r\x20-\x7e])*+ -----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY-----
+    | (?:GAP*+ (?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++)*+
+      (?:
+        GAP*+ [A-Za-z0-9+/=]{16,}+
+        | (?:(?!\n|\\n)GAP)*+ (?:\n|\\n) GAP*+ [A-Za-z0-9+/=]++ (?=[\t\x20]*+(?:[\r\n\\"'<\xff]|\Z))
+      )*+
+      (?:GAP*+ [A-Za-z0-9+/]++ (?:={1,2}|(?=\s*+(?:\xff|\Z))))?
+    """.replace(b"GAP", _GAP),
+    re.X,
+)
+
 # The first three are the base, in the order of their kinds.
 RULES = (
     Rule(
@@ -84,6 +104,7 @@ RULES = (
         au.seq(
             au.text("-----BEGIN "), au.any_number(au.span("AZ", more=" ")), au.text("PRIVATE KEY-----")
         ),
+        tail=_KEY_BODY,
     ),
 )
 BASE = ("assign", "access", "hex")
@@ -115,6 +136,8 @@ def find(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[s
             found = au.starts_of(reverse[k], joined, end, free)
             if not found:
                 continue
+            if rule.tail:
+                end = rule.tail.match(joined, end).end()
             free = end
             if rule.check(joined[found[-1] : end]):
                 spans[doc].append((found[-1], k, end))
