@@ -73,5 +73,41 @@ def test_blocks_travel_along_links(spark):
     assert [r.verdict for r in both] == ["block", "block"]
 
 
+def test_blocks_reach_aliases_however_links_are_written(spark):
+    bad = "http://bad.net/x"
+    rows = [
+        (1, "http://a.com/d/1", link("2.html"), ""),
+        (2, "http://a.com/d/2.html", link(bad), ""),
+        (3, "http://a.com/d/e/3", link("../2.html#top"), ""),
+        (4, "http://a.com/d/4?id=1", link("?id=2"), ""),
+        (5, "http://a.com/d/4?id=2", link("./2.html"), ""),
+        (6, "http://a.com/6", link("/7?a=1&amp;b=2&copy=3"), ""),
+        (7, "http://a.com/7?a=1&b=2&copy=3", link(bad), ""),
+        (8, "http://A.com/8#part", None, ""),
+        (9, "http://a.com/9", link("HTTP://a.COM/8") + link(bad), ""),
+        (10, "http://a.com/10", '<meta http-equiv="refresh" content="9">'
+         '<meta http-equiv="refresh" content="0; url=d/2.html">', ""),
+        (11, "http://a.com/11", link("mailto:x@bad.net") + link("#x") + link("login?to=http://bad.net/x"), ""),
+        (12, "no scheme", link("2.html"), ""),
+    ]
+    got = judged(spark, rows)
+    assert [got[i].verdict for i in range(1, 13)] == ["block"] * 10 + ["allow"] * 2
+    assert got[8].component == got[9].component == "http://a.com/10"
+    assert got[8].url == "http://A.com/8#part"
+
+
+def test_targets_are_resolved():
+    page = "http://h.com/a/b/c?q#f"
+    known = {
+        "d": "http://h.com/a/b/d", "./d": "http://h.com/a/b/d", "../d?x#y": "http://h.com/a/d?x#y",
+        "..": "http://h.com/a/", "../../../d": "http://h.com/d", "?y": "http://h.com/a/b/c?y",
+        "/x/../d": "http://h.com/d", "//g.org/d": "http://g.org/d", "https://g.org": "https://g.org",
+        "#z": None, "": None, "javascript:go()": None, "d&#47;e&#x2F;f": "http://h.com/a/b/d/e/f",
+    }
+    assert {t: url_rules.resolved(page, t) for t in known} == known
+    assert url_rules.resolved("http://h.com", "d") == "http://h.com/d"
+    assert url_rules.resolved("no scheme", "d") is None
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from html import unescape
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +39,13 @@ RULES = (
 )
 
 
+def _lowered(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first ``://`` and ``/ ? #`` or the end, A-Z lower-cased."""
-    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    lowered = F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lowered, F.lit(""))
+    return F.coalesce(_lowered(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -47,6 +53,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def key_of(url: Column) -> Column:
+    """The url by which aliases meet: scheme and host lower-cased, without fragment."""
+    origin = _lowered(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1))
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(origin, rest)).otherwise(url)
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule that fits as ``struct(name, verdict)``, null if none does."""
     chosen = F.lit(None)
@@ -63,31 +76,72 @@ _HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\s\"'>]+)"
 _TO = r"(?is)\burl\s*=\s*[\"']?\s*([^\s\"'>]+)"
 
 
+# A name without its semicolon is text where a parameter or a longer name could go on.
+_ENTITY = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9]))))")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_PARTS = re.compile(r"(?s)((.*?:)//[^/?#]*)([^?#]*)")
+
+
+def decoded(value: str) -> str:
+    """The value of an attribute with its character references replaced."""
+    return _ENTITY.sub(lambda m: html5.get(m[1], m[0]) if m[1] else unescape(m[0]), value)
+
+
+def _without_dots(path: str) -> str:
+    kept: list[str] = []
+    steps = path.split("/")[1:]
+    for step in steps:
+        if step == "..":
+            del kept[-1:]
+        elif step != ".":
+            kept.append(step)
+    if steps[-1] in (".", ".."):
+        kept.append("")
+    return "/" + "/".join(kept)
+
+
+def resolved(page: str, target: str) -> str | None:
+    """The url that a link of ``page`` leads to; null if it names no page or ``page`` itself."""
+    target = decoded(target).strip()
+    scheme, own = _SCHEME.match(target), _PARTS.match(page)
+    if scheme:
+        return target if target.startswith("//", scheme.end()) else None
+    if not own or target[:1] in ("", "#"):
+        return None
+    if target.startswith("//"):
+        return own[2] + target
+    if target.startswith("?"):
+        return own[0] + target
+    path, rest = re.match(r"(?s)([^?#]*)(.*)", target).groups()
+    folder = "" if path.startswith("/") else own[3][: own[3].rfind("/") + 1] or "/"
+    return own[1] + _without_dots(folder + path) + rest
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages, targets = batch.column("url").to_pylist(), batch.column("target").to_pylist()
+        found = [resolved(p, t) for p, t in zip(pages, targets, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("url"), pa.array(found, pa.string())], names=["url", "target"]
+        )
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """``url, target`` of the canonical links and meta refreshes in ``html``.
+    """``url, target`` of all canonical links and meta refreshes in ``html``.
 
-    Targets that start with ``/`` are completed by the page's own scheme and host; other
-    relative targets name no page and are left out.
+    Relative targets are resolved against the page's url.
     """
     html = F.col("html")
-    canonical = F.when(
-        F.lower(html).contains("canonical"),
-        F.regexp_extract(F.regexp_extract(html, _LINK_TAG, 0), _HREF, 1),
-    )
-    refresh = F.when(
-        F.lower(html).contains("refresh"),
-        F.regexp_extract(F.regexp_extract(html, _META_TAG, 0), _TO, 1),
-    )
-    links = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target"))
-    origin = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
-    whole = (
-        F.when(F.col("target").startswith("//"), F.concat(scheme, "target"))
-        .when(F.col("target").startswith("/"), F.concat(origin, "target"))
-        .otherwise(F.col("target"))
-    )
-    links = links.select("url", whole.alias("target"))
-    return links.where(F.col("target").contains("://") & (F.col("url") != F.col("target")))
+
+    def targets(word: str, tag: str, value: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        found = F.transform(tags, lambda t: F.regexp_extract(t, value, 1))
+        return F.when(F.lower(html).contains(word), found).otherwise(F.array().cast("array<string>"))
+
+    both = F.concat(targets("canonical", _LINK_TAG, _HREF), targets("refresh", _META_TAG, _TO))
+    named = pages.where(F.col("url").isNotNull()).select("url", F.explode(both).alias("target"))
+    links = named.mapInArrow(_resolve, "url string, target string")
+    return links.where(F.col("target").isNotNull())
 
 
 def judge(
@@ -99,30 +153,32 @@ def judge(
     either direction and over any number of hops, also through urls that are no page, are
     aliases: where no own rule fits, an alias of a blocked url is blocked unless another
     alias is allowed by a rule, and all others are allowed. ``redirects`` may add
-    ``url, target`` rows, say from a crawl log.
+    ``url, target`` rows, say from a crawl log. Urls that differ in their fragment or the case
+    of scheme and host are one alias; rules are judged on the url as it is.
 
     Null urls and urls without ``://`` have empty host and path, no rule and no alias;
-    they are allowed. ``component`` is the smallest url of the aliases. Repeated rows get
+    they are allowed. ``component`` is the smallest url of the aliases, as ``key_of`` writes it. Repeated rows get
     equal verdicts, one row each; an empty table gives an empty one.
     """
     links = alias_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("url", "target"))
-    links = staged(links.where(F.col("url").isNotNull() & F.col("target").isNotNull()), "links")
-    labels = component_labels(links.select(F.col("url").alias("a"), F.col("target").alias("b")))
-    members = labels.select(F.col("node").alias("url"), "component").withColumn(
-        "own", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
+    links = links.select(key_of(F.col("url")).alias("a"), key_of(F.col("target")).alias("b"))
+    labels = component_labels(staged(links.dropna(), "links"))
+    members = labels.withColumn(
+        "own", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     )
     carried = members.groupBy("component").agg(
         F.coalesce(F.max(F.col("own") == "allow"), F.lit(False)).alias("any_allow"),
         F.coalesce(F.max(F.col("own") == "block"), F.lit(False)).alias("any_block"),
     )
     aliases = left_join_unique(labels, carried, ["component"]).select(
-        F.col("node").alias("url"),
+        F.col("node").alias("key"),
         "component",
         F.when(F.col("any_block") & ~F.col("any_allow"), "block").otherwise("allow").alias("alias"),
     )
-    found = left_join_unique(pages.select("page_id", "url"), aliases, ["url"])
+    keyed = pages.select("page_id", "url", key_of(F.col("url")).alias("key"))
+    found = left_join_unique(keyed, aliases, ["key"])
     judged = found.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     judged = judged.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     return judged.select(
