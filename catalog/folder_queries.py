@@ -109,14 +109,23 @@ def array_documents(spark, sf_dir):
     return rows.select("patient_id", "status")
 
 
+#: Documents of a pretty-printed file, some 500 bytes each.
+_PRETTY = 2_000
+
+
 @query(f"WITH {RECORDS} SELECT {_RECORD_COLUMNS} FROM records")
 def pretty_documents(spark, sf_dir):
-    """Files that each hold one array of documents over many lines."""
-    rows = records(spark, sf_dir)
+    """Files that each hold one array of documents over many lines.
+
+    Row numbers are distinct, so a file has at most ``_PRETTY`` documents, and larger tables
+    have more files.
+    """
+    row = F.monotonically_increasing_id()
+    rows = records(spark, sf_dir).withColumn("file", F.floor(row / F.lit(_PRETTY)))
     pretty = F.to_json(
         F.collect_list(F.struct(*schemas.CLINICAL_RECORD.names)), {"pretty": "true"}
     )
-    files = rows.groupBy(F.pmod("event_id", F.lit(40))).agg(pretty.alias("value")).select("value")
+    files = rows.groupBy("file").agg(pretty.alias("value")).select("value")
     path = shared_folder(spark, "pretty")
     files.write.option("maxRecordsPerFile", 1).text(path)
     return _flat(documents.readable(spark, path, schemas.CLINICAL_RECORD, "document", "*.txt"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from catalog import folder_queries
 from catalog.registry import ORACLES, QUERIES
 
 TABLES = (
@@ -45,5 +49,18 @@ def test_query_agrees_with_sql(spark, database, name):
     assert _sorted_rows(ours) == _sorted_rows(theirs)
 
 
+def test_pretty_files_stay_small(spark, folder, monkeypatch):
+    """Ids that agree modulo 40, ten times as many rows as a file may have."""
+    ids = spark.range(20_000).select((F.col("id") * 40).alias("event_id"))
+    shape = folder_queries.records(spark, str(TESTDATA))
+    rows = shape.limit(1).drop("event_id").crossJoin(ids).coalesce(2).select(*shape.columns)
+    path = folder()
+    monkeypatch.setattr(folder_queries, "records", lambda *_: rows)
+    monkeypatch.setattr(folder_queries, "shared_folder", lambda *_: path)
+    assert folder_queries.pretty_documents(spark, "").count() == 20_000
+    sizes = [f.read_text().count('"patient_id"') for f in Path(path).glob("*.txt")]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2_000 and len(sizes) >= 10
+
+
 def test_entry_has_rows(spark):
     assert not entry_points.entry(spark).isEmpty()
