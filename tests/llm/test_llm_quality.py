@@ -8,7 +8,7 @@ from conftest import TESTDATA
 from helpers import ODD_TEXTS, no_documents, odd_documents, words_of
 from pyspark.sql import functions as F
 
-from wardbook.llm import quality_rules, ranking
+from wardbook.llm import learning, quality_rules, ranking
 
 SF = str(TESTDATA).replace("sf0.001", "sf0.01")
 
@@ -86,6 +86,18 @@ def test_ranking_ignores_held_out_labels_and_other_columns(spark):
     assert {tuple(r) for r in first.collect()} == {tuple(r) for r in second.collect()}
 
 
+def test_sample_has_one_row_of_a_repeated_id(spark):
+    often = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t"), 5000 - F.col("id")).alias("text"))
+    docs = often.unionByName(spark.createDataFrame([(1, "a"), (2, None), (2, "b")], "doc_id int, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (7, 1)], "doc_id int, quality int")
+    rows = {tuple(r) for r in learning.labelled_sample(docs, labels, "quality").collect()}
+    known = {1: (1, "a", 0), 2: (2, "", 1), 7: (7, "t2001", 1)}
+    learned = labels.where(~learning.held_out(F.col("doc_id"))).select("doc_id").collect()
+    assert 7 in {r.doc_id for r in learned}
+    assert rows == {known[r.doc_id] for r in learned}
+    assert learning.labelled_sample(docs, labels, "quality").count() == len(learned)
+
+
 def test_ranking_odd_rows(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame(

@@ -24,7 +24,7 @@ def labelled_sample(
 
     Held-out documents, null ids and null labels take no part, nor do ids that are
     labelled both ways. The ids are at most ``bound`` numbers, which is why they may be
-    broadcast; of repeated documents every row counts.
+    broadcast. Of rows with one id the smallest text counts, reduced before the shuffle.
     """
     one = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
@@ -36,7 +36,8 @@ def labelled_sample(
     )
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def logistic(
