@@ -17,6 +17,7 @@ def start_batches(
     checkpoint: str,
     write: Callable[[DataFrame, str], Mapping[str, int] | None],
     trigger: dict = UNTIL_CAUGHT_UP,
+    mode: str = "append",
 ) -> StreamingQuery:
     """Run ``write(batch, batch_name)`` for every micro-batch.
 
@@ -24,6 +25,9 @@ def start_batches(
     number: a replayed batch keeps its name, and a query that starts over with
     an empty checkpoint gets new ones and overwrites nothing.
 
+    ``mode`` is the stream's output mode: with ``"update"`` a batch of an aggregated stream
+    holds the groups it changed.
+
     What ``write`` returns is summed up in ``totals`` of the returned query, over all
     batches of this run; Spark itself remembers the last hundred only.
     """
@@ -37,6 +41,7 @@ def start_batches(
 
     query = (
         rows.writeStream.foreachBatch(on_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
