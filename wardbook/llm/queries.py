@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm import (
+    exact_dedup,
     mixing,
     neighbours,
     packing,
+    prefix_trie,
     quality_rules,
     ranking,
     secrets,
@@ -18,9 +20,10 @@ from wardbook.llm import (
     spans,
     toxicity,
     url_rules,
+    whitening,
 )
 from wardbook.llm.shared import read
-from wardbook.session import configure
+from wardbook.session import configure, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -296,3 +299,83 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coordinates of every vector along the first components."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+EXACT_DEDUP_SQL = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') AS own
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(own) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY own)
+"""
+
+
+@query(EXACT_DEDUP_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which copy of every document stays.
+
+    The files of the table come in four batches (a single file in one), so later ones meet
+    the state that earlier ones left.
+    """
+    path = f"{sf_dir}/documents.parquet"
+    files = len(spark.read.parquet(path).inputFiles())
+    store = shared_folder(spark, "exact-dedup")
+    return exact_dedup.deduplicate(spark, path, store, files_per_batch=max(1, -(-files // 4)))
+
+
+TRIE_SQL = """
+WITH
+raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (
+  SELECT conv_id, list(struct_pack(id := md5(len(role) || ':' || role || text),
+                                   n := CAST(strlen(text) AS BIGINT))
+                       ORDER BY turn NULLS FIRST, role, text) AS s
+  FROM raw GROUP BY conv_id),
+crc AS (
+  SELECT conv_id,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT,
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: ord(ch)::UBIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT) AS crc
+  FROM seq),
+reb AS (
+  SELECT q.conv_id, list_concat(coalesce(list_slice(b.s, 1, CAST(crc % 9 AS BIGINT)), []),
+                                list_slice(q.s, CAST(crc % 9 AS BIGINT) + 1, len(q.s))) AS r
+  FROM seq q JOIN crc USING (conv_id) LEFT JOIN seq b ON b.conv_id = q.conv_id - q.conv_id % 5),
+ids AS (SELECT conv_id, r, list_transform(r, lambda t: t.id) AS i FROM reb),
+mem AS (
+  SELECT conv_id, d AS depth, md5(array_to_string(list_slice(i, 1, d), ',')) AS k,
+    CASE WHEN d > 0 THEN md5(array_to_string(list_slice(i, 1, d - 1), ',')) END AS up,
+    CASE WHEN d > 0 THEN r[d].n ELSE 0 END AS n, d = len(r) AS ends
+  FROM ids, unnest(range(CAST(len(r) AS BIGINT) + 1)) AS x(d)),
+node AS (
+  SELECT depth, k, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * min(n) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                    FILTER (WHERE ends), '')) AS ends_sha256
+  FROM mem GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (depth, k)),
+sums AS (
+  SELECT m.depth, m.k, sum(v.saved) AS saved, count(*) FILTER (WHERE v.n_children = 0) AS leaves
+  FROM own v JOIN mem m ON m.conv_id = v.conv_id AND m.depth <= v.depth GROUP BY m.depth, m.k)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children,
+  leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums USING (depth, k) LEFT JOIN own p ON p.depth = o.depth - 1 AND p.k = o.up
+"""
+
+
+@query(TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversation prefixes."""
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
