@@ -25,6 +25,8 @@ _STATE_CONF = {
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # Otherwise each open store sets aside megabytes of disk that it does not write.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 Digest = Callable[[Column], Column]
