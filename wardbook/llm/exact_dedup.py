@@ -33,9 +33,13 @@ Digest = Callable[[Column], Column]
 
 
 def normalised(text: Column) -> Column:
-    """The text with A-Z lower-cased; null is empty."""
+    """The text with A-Z lower-cased; null is empty.
+
+    In a text of plain characters nothing else has a lower case, and ``lower`` is far faster.
+    """
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(lowered, F.lit(""))
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(text.isNull(), "").when(plain, F.lower(text)).otherwise(lowered)
 
 
 def sha256(text: Column) -> Column:
@@ -127,10 +131,12 @@ def known(spark: SparkSession, store: str) -> DataFrame:
 def _sharing_digests(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """The digests that different texts share, by comparing the bytes of all hits.
 
-    Equal texts of a task are one row before the shuffle.
+    The hash of the digest joins too, so that adaptive execution may split a digest that many
+    rows have (as in ``left_join_unique``); equal texts of a task are one row after that.
     """
-    hits = groups.where(F.col("n") > 1).select("digest")
-    found = rows.select("digest", "text").join(hits.hint("shuffle_hash"), "digest", "left_semi")
+    key = F.xxhash64("digest").alias("key")
+    hits = groups.where(F.col("n") > 1).select("digest", key).hint("shuffle_hash")
+    found = rows.select("digest", key, "text").join(hits, ["digest", "key"], "left_semi")
     texts = found.groupBy("digest", "text").agg(F.count("*").alias("n"))
     return texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
