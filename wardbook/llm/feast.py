@@ -8,6 +8,8 @@ import numpy as np
 
 #: Eigenvalues looked for in one interval, where the spectrum can be cut so.
 SLICE = 8
+#: The largest quotient of the eigenvalues in an interval.
+SPAN = 32
 #: Points of the Gauss-Legendre rule on the half circle over an interval.
 NODES = 12
 ROUNDS = 40
@@ -52,7 +54,7 @@ def count_above(matrix: np.ndarray, shift: float) -> int:
 def _cut(matrix: np.ndarray, number: int, low: float, high: float) -> float | None:
     """A point in the middle of the gap with ``number`` eigenvalues above it, if there is one.
 
-    ``low`` has at least ``number`` eigenvalues above it and ``high`` fewer or none.
+    A gap of the size of rounding errors is none. ``low`` has at least ``number`` eigenvalues above it and ``high`` fewer or none.
     """
     under, over = low, high
     for _ in range(_HALVINGS):
@@ -69,7 +71,8 @@ def _cut(matrix: np.ndarray, number: int, low: float, high: float) -> float | No
         under, bottom = (under, tried) if count_above(matrix, tried) == number else (tried, bottom)
         tried = (over + top) / 2
         over, top = (over, tried) if count_above(matrix, tried) == number else (tried, top)
-    return (bottom + top) / 2
+    wide = top - bottom > 64 * len(matrix) * _EPS * float(np.abs(matrix).sum(axis=1).max())
+    return (bottom + top) / 2 if wide else None
 
 
 def intervals(matrix: np.ndarray, wanted: int) -> list[tuple[float, float, int]]:
@@ -87,7 +90,10 @@ def intervals(matrix: np.ndarray, wanted: int) -> list[tuple[float, float, int]]
     positive = count_above(matrix, floor)
     cuts, done, upper = [], 0, high
     while done < min(wanted, positive):
-        number = min(done + SLICE, wanted, positive)
+        # A slice spans eigenvalues of like size only: those below it must be far on its scale.
+        while (like := count_above(matrix, max(floor, upper / SPAN))) == done:
+            upper /= SPAN
+        number = min(done + SLICE, wanted, like)
         while number < positive and (cut := _cut(matrix, number, floor, upper)) is None:
             number += 1
         low = floor if number >= positive else cut

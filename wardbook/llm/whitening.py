@@ -74,10 +74,10 @@ def counted_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and rows of the vectors ``x`` of a batch, one length at a time."""
+    """Places and rows of the vectors ``x`` of a batch, one length above zero at a time."""
     column = batch.column("x")
     sizes = np.diff(column.offsets.to_numpy())
-    for size in np.unique(sizes):
+    for size in np.unique(sizes[sizes > 0]):
         places = np.flatnonzero(sizes == size)
         flat = column.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False)
         yield places, flat.reshape(len(places), int(size))
