@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from catalog.keyed_queries import FOLDED, status_events
 from catalog.registry import query
 from catalog.standins import (
+    HISTORY,
     LAB_REPORTS,
     RECORDS,
     lab_reports,
@@ -23,13 +24,16 @@ from catalog.standins import (
 from wardbook import fixed_values as fv
 from wardbook import schemas
 from wardbook.functions.transcript import keyword_risk
+from wardbook.plans import recent_visits
 from wardbook.plans.commit import commit_landing
+from wardbook.plans.records_view import current_records
 from wardbook.plans.status_log import pending_queue as pending_of
-from wardbook.session import shared_folder
+from wardbook.session import Folder, shared_folder
+from wardbook.sinks.compaction import compact
 from wardbook.sinks.landing import approved_records, lab_reports_from, lab_requests_from, land
 from wardbook.sinks.table import append_to_table
 from wardbook.sources import documents
-from wardbook.sources.inventory import area_totals, inventory
+from wardbook.sources.inventory import area_totals, folder_files, table_files
 from wardbook.sources.table import scan_audit_table
 from wardbook.streaming.ingest import ingest_folder, quarantine_of
 from wardbook.streaming.queue import log_status_events, status_log
@@ -131,6 +135,43 @@ def pretty_documents(spark, sf_dir):
     return _flat(documents.readable(spark, path, schemas.CLINICAL_RECORD, "document", "*.txt"))
 
 
+def _mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Lines, pretty-printed arrays and single pretty documents in one folder."""
+    rows = records(spark, sf_dir)
+    path = shared_folder(spark, "mixed")
+    land(rows.filter(F.col("event_id") % 2 == 0).drop("event_id"), path)
+    odd = rows.filter(F.col("event_id") % 2 == 1).withColumn(
+        "file", F.floor(F.monotonically_increasing_id() / F.lit(_PRETTY))
+    )
+    pretty = F.to_json(
+        F.collect_list(F.struct(*schemas.CLINICAL_RECORD.names)), {"pretty": "true"}
+    )
+    files = odd.groupBy("file").agg(pretty.alias("value")).select("value")
+    aside = shared_folder(spark, "pretty")
+    files.write.option("maxRecordsPerFile", 1).text(aside)
+    for file in Folder(spark, aside).children():
+        if "/part-" in file:
+            name = file.rsplit("/", 1)[1].replace(".txt", ".json")
+            Folder(spark, file).move_to(f"{path}/{name}")
+    return path
+
+
+@query(f"WITH {RECORDS} SELECT {_RECORD_COLUMNS} FROM records")
+def mixed_documents(spark, sf_dir):
+    """A folder of several layouts; each file's is found."""
+    return _flat(documents.scan_clinical(spark, _mixed_folder(spark, sf_dir), "auto"))
+
+
+@query(
+    f"""WITH {RECORDS} SELECT {_RECORD_COLUMNS} FROM records WHERE raw_transcript IS NOT NULL"""
+)
+def ingest_mixed(spark, sf_dir):
+    """The same folder through the stream."""
+    landing, table = _mixed_folder(spark, sf_dir), shared_folder(spark, "audit")
+    ingest_folder(spark, landing, table, shared_folder(spark, "checkpoint")).awaitTermination()
+    return _flat(scan_audit_table(spark, table).select(*schemas.CLINICAL_RECORD.names))
+
+
 @query(
     f"""WITH {RECORDS} SELECT patient_id, raw_transcript, "timestamp" FROM records
       WHERE status <> 'completed'"""
@@ -155,19 +196,39 @@ def union_of_keys(spark, sf_dir):
     return documents.scan_union_of_keys(spark, path, "lines")
 
 
+#: Documents of one kind that a named file holds at most.
+_NAMED = 20_000
+
+
 @query(
-    """SELECT 'clinical' AS area, count(*) AS records FROM events UNION ALL
-      SELECT 'lab_requests', count(*) FROM orders"""
+    f"""SELECT 'clinical' AS area, event_type || '-' || (event_id // {_NAMED}) || '.json' AS file_name,
+        count(*) FILTER (WHERE event_id % 10 > 0) AS records,
+        count(*) FILTER (WHERE event_id % 10 = 0) AS damaged
+      FROM events GROUP BY event_type, event_id // {_NAMED}
+      UNION ALL SELECT 'clinical', 'empty.json', 0, 0
+      UNION ALL SELECT 'table', 'all', count(*), 0 FROM orders"""
 )
 def source_inventory(spark, sf_dir):
-    requests = _landed(spark, lab_requests(spark, sf_dir), "requests")
-    files = inventory(
-        {
-            "clinical": documents.scan_clinical(spark, _clinical_folder(spark, sf_dir), "lines"),
-            "lab_requests": documents.scan_lab_requests(spark, requests, "lines"),
-        }
+    """Files by name, with damaged documents, one without a byte, and a table's total."""
+    name = F.concat_ws("-", "event_type", F.floor(F.col("event_id") / _NAMED).cast("string"))
+    document = F.to_json(F.struct(F.col("user_id").cast("string").alias("patient_id")))
+    cut = F.when(F.col("event_id") % 10 == 0, F.lit('{"patient_id": ')).otherwise(document)
+    texts = read(spark, sf_dir, "events").select(cut.alias("value"), name.alias("name"))
+    path, aside = shared_folder(spark, "named"), shared_folder(spark, "unnamed")
+    texts.repartition("name").write.partitionBy("name").text(aside)
+    for step in Folder(spark, aside).partitions():
+        (file,) = [f for f in Folder(spark, f"{aside}/{step}").children() if "/part-" in f]
+        Folder(spark, file).move_to(f"{path}/{step.removeprefix('name=')}.json")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{aside}/empty")
+    (file,) = [f for f in Folder(spark, f"{aside}/empty").children() if "/part-" in f]
+    Folder(spark, file).move_to(f"{path}/empty.json")
+    table = shared_folder(spark, "table")
+    lab_requests(spark, sf_dir).write.parquet(table)
+    clinical = folder_files(spark, "clinical", path, schemas.CLINICAL_RECORD, "lines")
+    total = area_totals(table_files(spark, "table", table)).select(
+        "area", F.lit("all").alias("file_name"), "records", "damaged"
     )
-    return area_totals(files).select("area", "records")
+    return clinical.drop("length").unionByName(total)
 
 
 @query(
@@ -321,6 +382,57 @@ def ingest_with_damage(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {RECORDS} SELECT * EXCLUDE (rn) REPLACE (
+        strftime(CAST("timestamp" AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS "timestamp")
+      FROM (SELECT patient_id, raw_transcript, "timestamp", status, row_number() OVER (
+          PARTITION BY date_trunc('second', CAST("timestamp" AS TIMESTAMP)), raw_transcript
+          ORDER BY CAST("timestamp" AS TIMESTAMP) DESC) AS rn FROM records)
+      WHERE rn = 1"""
+)
+def records_view_half_ingested(spark, sf_dir):
+    """Half of the documents are in the table, the others land later; both are seen once."""
+    rows = records(spark, sf_dir)
+    landing, table = shared_folder(spark, "clinical"), shared_folder(spark, "audit")
+    half = F.col("event_id") % 2 == 0
+    land(rows.filter(half).drop("event_id"), landing)
+    ingest_folder(spark, landing, table, shared_folder(spark, "checkpoint")).awaitTermination()
+    land(rows.filter(~half).drop("event_id"), landing)
+    view = current_records(spark, landing, table)
+    return view.select("patient_id", "raw_transcript", "timestamp", "status")
+
+
+@query(f"WITH {RECORDS}, {HISTORY} SELECT patient_id, history FROM history")
+def kept_history(spark, sf_dir):
+    """The last visits kept by three arrivals, cut together in between."""
+    rows = records(spark, sf_dir)
+    landing, table, visits = (shared_folder(spark, x) for x in ("clinical", "audit", "visits"))
+    checkpoint = shared_folder(spark, "checkpoint")
+    for part in range(3):
+        land(rows.filter(F.col("event_id") % 3 == part).drop("event_id"), landing)
+        ingest_folder(spark, landing, table, checkpoint, visits=visits).awaitTermination()
+        if part == 1:
+            recent_visits.compact_visits(spark, visits)
+    return recent_visits.kept_history(spark, visits)
+
+
+@query(
+    f"""WITH {RECORDS} SELECT {_RECORD_COLUMNS},
+      strftime(CAST("timestamp" AS TIMESTAMP), '%Y-%m-%d') AS event_date FROM records"""
+)
+def compacted_table(spark, sf_dir):
+    """The table after the batches of all but the newest arrival are brought together."""
+    rows = records(spark, sf_dir)
+    landing, table = shared_folder(spark, "clinical"), shared_folder(spark, "audit")
+    checkpoint = shared_folder(spark, "checkpoint")
+    for part in range(3):
+        land(rows.filter(F.col("event_id") % 3 == part).drop("event_id"), landing)
+        ingest_folder(spark, landing, table, checkpoint).awaitTermination()
+    compact(spark, table, schema=schemas.AUDIT_TABLE)
+    found = scan_audit_table(spark, table)
+    return _flat(found.select(*schemas.CLINICAL_RECORD.names, F.col("event_date").cast("string")))
+
+
 def _streamed_log(spark: SparkSession, rows: DataFrame, table: str | None = None) -> str:
     events = _landed(spark, status_events(rows), "events")
     log, checkpoint = shared_folder(spark, "log"), shared_folder(spark, "checkpoint")

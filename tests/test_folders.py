@@ -17,7 +17,7 @@ from wardbook.sinks.json_rows import json_rows, write_json
 from wardbook.sinks.landing import approved_records, lab_reports_from, lab_requests_from, land
 from wardbook.sinks.table import append_to_table, replace_partitions, write_batch
 from wardbook.sources import documents
-from wardbook.sources.inventory import area_totals, inventory
+from wardbook.sources.inventory import area_totals, folder_files, inventory, table_files
 from wardbook.sources.table import scan_any_columns, scan_audit_table
 from wardbook.streaming.batches import start_batches
 from wardbook.streaming.ingest import (
@@ -106,12 +106,25 @@ def test_union_of_keys(spark, landing):
     assert documents.scan_union_of_keys(spark, str(landing), "document").columns == ["x", "y"]
 
 
-def test_inventory(spark, landing):
+def test_inventory(spark, landing, folder):
     put(landing, "a.json", [record(1), record(2)])
     put(landing, "b.json", record(3))
-    files = inventory({"clinical": documents.scan_clinical(spark, str(landing), "document")})
-    assert rows_of(files) == [("clinical", "a.json", 2), ("clinical", "b.json", 1)]
-    assert rows_of(area_totals(files)) == [("clinical", 2, 3)]
+    put(landing, "empty.json", "")
+    put(landing, "broken.json", '{"patient_id": "PAT-9", "raw_tr')
+    put(landing, "mixed [1].json", json.dumps(record(4)) + "\n{cut")
+    table = folder("audit")
+    commit_landing(spark.createDataFrame([record(5), record(6)], schemas.CLINICAL_RECORD).coalesce(1), table)
+    clinical = folder_files(spark, "clinical", str(landing), schemas.CLINICAL_RECORD)
+    found = rows_of(clinical.select("area", "file_name", "records", "damaged"))
+    assert found == [
+        ("clinical", "a.json", 2, 0), ("clinical", "b.json", 1, 0), ("clinical", "broken.json", 0, 1),
+        ("clinical", "empty.json", 0, 0), ("clinical", "mixed [1].json", 1, 1),
+    ]
+    sizes = {r.file_name: r.length for r in clinical.collect()}
+    assert sizes["empty.json"] == 0 and sizes["a.json"] == (landing / "a.json").stat().st_size
+    files = inventory([clinical, table_files(spark, "table", table)])
+    days = len(list(Path(table).glob("event_date=*/ingest_batch=*/*.parquet")))
+    assert rows_of(area_totals(files)) == [("clinical", 5, 4, 2), ("table", days, 2, 0)]
 
 
 # -- landing sinks --------------------------------------------------------------------
@@ -280,9 +293,9 @@ def test_ingest_sets_damaged_documents_aside(spark, landing, folder):
         assert (committed_rows(query), quarantined_rows(query)) == (bad, bad)
     row = spark.read.parquet(quarantine_of(table)).first()
     assert row.document == '{"patient_id": "cut' and row.file_path.endswith("a.json")
-    # Documents over several lines in a folder that is read as lines do not vanish unseen.
+    # Read as lines, documents over several lines are set aside.
     put(landing, "pretty.json", record(2))
-    query = ingest_folder(spark, str(landing), table, checkpoint)
+    query = ingest_folder(spark, str(landing), table, checkpoint, "lines")
     query.awaitTermination()
     assert committed_rows(query) == 0 and quarantined_rows(query) > 0
 

@@ -1,10 +1,12 @@
 """Jobs for ``spark-submit``.
 
-ingest  LANDING TABLE CHECKPOINT              new documents into the audit table
+ingest  LANDING TABLE CHECKPOINT [--archive FOLDER] [--visits STORE]
+                                              new documents into the audit table
 status  EVENTS LOG CHECKPOINT [--table TABLE] new status events into the log
-records LANDING TABLE OUT [--log LOG] [--patient ID] [--status S]  the current record
-                                              view as JSON lines
+records LANDING TABLE OUT [--log LOG] [--patient ID] [--status S] [--since DAY] [--until DAY]
+                                              the current record view as JSON lines
 requests REQUESTS REPORTS OUT                 lab requests still without a report
+compact TABLE                                 small files of closed batches brought together
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 from wardbook.plans.lab_loop import request_queue
-from wardbook.plans.records_view import records_view
+from wardbook.plans.records_view import current_records
+from wardbook.schemas import AUDIT_TABLE
 from wardbook.session import ENGINE_CONF, configure
+from wardbook.sinks.compaction import compact
 from wardbook.sinks.json_rows import write_json
-from wardbook.sources.documents import LAYOUTS, scan_clinical, scan_lab_reports, scan_lab_requests
-from wardbook.sources.table import scan_audit_table
+from wardbook.sinks.table import BATCH_COLUMN
+from wardbook.sources.documents import LAYOUTS, scan_lab_reports, scan_lab_requests
+from wardbook.sources.ledger import ledger_of
 from wardbook.streaming.ingest import committed_rows, ingest_folder, quarantined_rows
 from wardbook.streaming.queue import log_status_events, status_log
 
@@ -26,23 +31,25 @@ from wardbook.streaming.queue import log_status_events, status_log
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wardbook.jobs")
     jobs = top.add_subparsers(dest="job", required=True)
-    ingest = jobs.add_parser("ingest")
-    status = jobs.add_parser("status")
-    records = jobs.add_parser("records")
-    requests = jobs.add_parser("requests")
-    for job, places in (
-        (ingest, ("landing", "table", "checkpoint")),
-        (status, ("events", "log", "checkpoint")),
-        (records, ("landing", "table", "out")),
-        (requests, ("requests", "reports", "out")),
-    ):
-        for place in places:
-            job.add_argument(place)
-        job.add_argument("--layout", choices=LAYOUTS, default="lines")
-    status.add_argument("--table")
-    records.add_argument("--log")
-    records.add_argument("--patient")
-    records.add_argument("--status")
+    places = {
+        "ingest": ("landing", "table", "checkpoint"),
+        "status": ("events", "log", "checkpoint"),
+        "records": ("landing", "table", "out"),
+        "requests": ("requests", "reports", "out"),
+        "compact": ("table",),
+    }
+    options = {
+        "ingest": ("archive", "visits"),
+        "status": ("table",),
+        "records": ("log", "patient", "status", "since", "until"),
+    }
+    for name, folders in places.items():
+        job = jobs.add_parser(name)
+        for folder in folders:
+            job.add_argument(folder)
+        for option in options.get(name, ()):
+            job.add_argument(f"--{option}")
+        job.add_argument("--layout", choices=LAYOUTS, default="auto")
     return top
 
 
@@ -50,7 +57,15 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     """Run one job; errors propagate, so that a failed job fails."""
     args = parser().parse_args(arguments)
     if args.job == "ingest":
-        query = ingest_folder(spark, args.landing, args.table, args.checkpoint, args.layout)
+        query = ingest_folder(
+            spark,
+            args.landing,
+            args.table,
+            args.checkpoint,
+            args.layout,
+            archive=args.archive,
+            visits=args.visits,
+        )
         query.awaitTermination()
         print(f"{committed_rows(query)} records committed")
         if quarantined_rows(query):
@@ -63,12 +78,25 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
         asked = scan_lab_requests(spark, args.requests, args.layout)
         reports = scan_lab_reports(spark, args.reports, args.layout)
         write_json(request_queue(asked, reports), args.out)
+    elif args.job == "compact":
+        folders = compact(spark, args.table, schema=AUDIT_TABLE)
+        compact(spark, ledger_of(args.table), [BATCH_COLUMN])
+        print(f"{folders} folders brought together")
     else:
-        landing = scan_clinical(spark, args.landing, args.layout)
-        table = scan_audit_table(spark, args.table)
         log = status_log(spark, args.log) if args.log else None
-        view = records_view(landing, table, args.patient, args.status, ordered=True, log=log)
-        write_json(view.drop("event_date"), args.out)
+        view = current_records(
+            spark,
+            args.landing,
+            args.table,
+            args.layout,
+            args.since,
+            args.until,
+            patient_id=args.patient,
+            status=args.status,
+            ordered=True,
+            log=log,
+        )
+        write_json(view, args.out)
 
 
 def main() -> None:

@@ -42,6 +42,13 @@ def patient_history(
     rows = visit_columns(records.filter(F.col("patient_id").isNotNull()))
     if patients is not None:
         rows = rows_with_keys(rows, patients, ["patient_id"])
+    return history_of(rows, visits, indented)
+
+
+def history_of(
+    rows: DataFrame, visits: int = fv.HISTORY_VISITS, indented: bool = True
+) -> DataFrame:
+    """``(patient_id, history)`` from the columns of visits."""
     tie = row_digest(rows, ("patient_id",))
     last = last_visits(rows, "patient_id", F.col("date"), [tie], visits, rank_as="rank")
     visit = F.struct("date", "diagnosis", "medication", "symptoms").alias("visit")

@@ -120,6 +120,13 @@ def unmatched_events(events: DataFrame, records: DataFrame) -> DataFrame:
     return asked.join(known, "patient_id", "left_anti")
 
 
+def transcript_key(rows: DataFrame) -> Column:
+    """SHA-256 of the transcript; rows that were stored with it are not hashed again."""
+    hashed = F.sha2("raw_transcript", 256)
+    stored = "transcript_digest"
+    return F.coalesce(F.col(stored), hashed) if stored in rows.columns else hashed
+
+
 def match_updates(
     records: DataFrame, events: DataFrame, order: list[str], event_time: str | None = None
 ) -> DataFrame:
@@ -138,12 +145,11 @@ def match_updates(
     sit at the start of a stamp with no date further on, which leaves one piece per
     stamp in the usual case. Transcripts travel as SHA-256 digests.
     """
-    transcript = F.sha2("raw_transcript", 256)
     day = r"\d{4}-\d{2}-\d{2}"
     # One latest status per transcript and token.
     tokens = last_per_key(
         events.select(
-            transcript.alias("__text"),
+            transcript_key(events).alias("__text"),
             first_token(F.col("timestamp")).alias("__token"),
             F.col("status").alias("__status"),
             F.struct(*order).alias("__order"),
@@ -160,7 +166,7 @@ def match_updates(
         ).alias("__shapes")
     )
     stamps = records.select(
-        transcript.alias("__text"), F.col("timestamp").alias("__stamp")
+        transcript_key(records).alias("__text"), F.col("timestamp").alias("__stamp")
     ).dropna()
     later_date = F.col("__stamp").substr(F.lit(2), F.length("__stamp")).rlike(day)
 
@@ -189,7 +195,7 @@ def match_updates(
         ["__order"],
     )
     return left_join_unique(
-        records.withColumns({"__text": transcript, "__stamp": F.col("timestamp")}),
+        records.withColumns({"__text": transcript_key(records), "__stamp": F.col("timestamp")}),
         latest,
         ["__text", "__stamp"],
     ).drop("__text", "__stamp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.functions.display import nan_to_null
@@ -10,8 +10,11 @@ from wardbook.functions.timestamps import parse_timestamp, to_second, to_seconds
 from wardbook.operators.dedup import keep_newest, newest_first, row_digest, union_widened
 from wardbook.operators.filters import equal_if_given
 from wardbook.plans.status_log import fold_status
+from wardbook.sinks.table import DATE_COLUMN, DIGEST_COLUMN, with_event_date
+from wardbook.sources.ledger import scan_uncommitted
+from wardbook.sources.table import scan_audit_table
 
-_HELPERS = ("__source", "__ts")
+_HELPERS = ("__source", "__ts", DIGEST_COLUMN)
 
 
 def records_view(
@@ -64,3 +67,28 @@ def register_audits(
     view = records_view(landing, table, log=log)
     view.createOrReplaceTempView("audits")
     return view
+
+
+def current_records(
+    spark: SparkSession,
+    landing: str,
+    table: str,
+    layout: str = "lines",
+    since: str | None = None,
+    until: str | None = None,
+    **choices,
+) -> DataFrame:
+    """The record view over an ingested landing folder and its table.
+
+    Landing files whose documents the table holds already are not opened; a document stands
+    for itself until its file is ingested. ``since`` and ``until`` (``YYYY-MM-DD``, both
+    included) keep the records of those days and read their partitions only; copies share
+    their day. ``choices`` are those of ``records_view``.
+    """
+    fresh = with_event_date(scan_uncommitted(spark, landing, table, layout=layout).dropna(how="all"))
+    if since is not None:
+        fresh = fresh.filter(F.col(DATE_COLUMN) >= F.lit(since).cast("date"))
+    if until is not None:
+        fresh = fresh.filter(F.col(DATE_COLUMN) <= F.lit(until).cast("date"))
+    stored = scan_audit_table(spark, table, since=since, until=until, keep_digest=True)
+    return records_view(fresh, stored, **choices).drop(DATE_COLUMN)

@@ -6,13 +6,21 @@ rewritten only by ``fold_into_table``, in the partitions that changed.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook import fixed_values as fv
-from wardbook.functions.timestamps import parse_timestamp
-from wardbook.operators.keyed import match_dispenses, match_updates
-from wardbook.sinks.table import PARTITION_COLUMNS, replace_partitions
+from wardbook.functions.timestamps import first_token, parse_timestamp
+from wardbook.operators.keyed import (
+    match_dispenses,
+    match_updates,
+    rows_with_keys,
+    transcript_key,
+)
+from wardbook.session import drop_folder, shared_folder
+from wardbook.sinks.table import DATE_COLUMN, PARTITION_COLUMNS, UNDATED, overwrite_partitions
 from wardbook.sources.table import scan_audit_table
 
 
@@ -48,13 +56,63 @@ def pending_queue(records: DataFrame, log: DataFrame | None = None) -> DataFrame
     return current.filter(F.col("status") == fv.STATUS_PENDING_PHARMACY)
 
 
-def fold_into_table(spark: SparkSession, table: str, log: DataFrame) -> None:
-    """Write the folded states into the partitions of the table that change."""
-    rows = scan_audit_table(spark, table, keep_batch=True)
+def touched_days(spark: SparkSession, table: str, events: DataFrame) -> list[date]:
+    """The days on which the table has records that one of the events may reach.
+
+    Only keys and days are read, no records: patients for dispenses, stored digests for
+    updates. Where no event but updates with a date has come, the days around those dates
+    are all that is looked at. The days themselves, a few thousand at most, go to the driver.
+    """
+    updates = events.filter(F.col("raw_transcript").isNotNull())
+    dispenses = events.filter(F.col("raw_transcript").isNull() & F.col("patient_id").isNotNull())
+    keys = scan_audit_table(spark, table, keep_digest=True)
+    named = updates.select(F.to_date(F.regexp_extract(
+        first_token(F.col("timestamp")), r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd").alias("day")
+    )
+    if dispenses.isEmpty() and not (near := _around(named)) is None:
+        keys = keys.filter(F.col(DATE_COLUMN).isin(near))
+    of_patients = rows_with_keys(
+        keys.select(DATE_COLUMN, "patient_id"), dispenses.select("patient_id"), ["patient_id"]
+    )
+    digests = updates.select(transcript_key(updates).alias("key"))
+    of_texts = rows_with_keys(
+        keys.select(DATE_COLUMN, transcript_key(keys).alias("key")), digests, ["key"]
+    )
+    days = of_patients.select(DATE_COLUMN).union(of_texts.select(DATE_COLUMN)).distinct()
+    return sorted(r[0] for r in days.collect())
+
+
+def _around(named: DataFrame) -> list[date] | None:
+    """The named days, the ones beside them (a stamp may name another zone) and the undated
+    partition; None if an event names no day."""
+    found = [r["day"] for r in named.distinct().collect()]
+    if None in found:
+        return None
+    near = {day + timedelta(days=step) for day in found for step in (-1, 0, 1)}
+    return sorted(near | {date.fromisoformat(UNDATED)})
+
+
+def fold_into_table(
+    spark: SparkSession, table: str, log: DataFrame, days: list[date] | None = None
+) -> None:
+    """Write the folded states into the partitions of the table that change.
+
+    With ``days`` (``touched_days`` of the events that have come) no other day is read. The
+    fold is written aside once; what changed is taken from there.
+    """
+    if days is not None and not days:
+        return
+    rows = scan_audit_table(spark, table, keep_batch=True, keep_digest=True)
+    if days is not None:
+        rows = rows.filter(F.col(DATE_COLUMN).isin(days))
     states = ["status", "pharmacy_status"]
-    before = F.struct(*states).alias("before")
-    folded = fold_status(rows.select("*", before), log)
-    changed = folded.filter(F.struct(*states) != F.col("before"))
-    touched = changed.select(*PARTITION_COLUMNS).distinct()
-    current = fold_status(rows.join(touched, PARTITION_COLUMNS, "left_semi"), log)
-    replace_partitions(spark, current, table)
+    changed = F.struct(*states) != F.col("__before")
+    folded = fold_status(rows.select("*", F.struct(*states).alias("__before")), log)
+    aside = shared_folder(spark, "folded")
+    marked = folded.withColumn("__changed", changed).drop("__before")
+    marked.write.partitionBy(*PARTITION_COLUMNS).parquet(aside)
+    written = spark.read.schema(marked.schema).parquet(aside)
+    touched = written.filter("__changed").select(*PARTITION_COLUMNS).distinct()
+    current = written.join(touched, PARTITION_COLUMNS, "left_semi").drop("__changed")
+    overwrite_partitions(current.hint("rebalance", *PARTITION_COLUMNS), table, PARTITION_COLUMNS)
+    drop_folder(spark, aside)

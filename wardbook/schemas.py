@@ -54,8 +54,12 @@ AUDIT_COLUMNS = [
 # The oldest committed form of the audit table; later columns read as null.
 AUDIT_RECORD_V0 = StructType([*GOODS_RECEIPT_LOG.fields, *AUDIT_COLUMNS])
 AUDIT_RECORD = StructType([*CLINICAL_RECORD.fields, *AUDIT_COLUMNS])
+AUDIT_DIGEST = StructField("transcript_digest", StringType())
+AUDIT_TABLE = StructType([*AUDIT_RECORD.fields, AUDIT_DIGEST])
 AUDIT_PARTITION = StructField("event_date", DateType())
 
+VISIT = StructType([*_texts("patient_id", "date", "diagnosis", "medication"), _text_list("symptoms")])
+
 TRANSCRIPT_LINE = StructType(
     [
         *_texts("consult_id"),

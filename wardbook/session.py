@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -50,8 +51,59 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return posixpath.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
+class Folder:
+    """A path in whatever store it names, for the few things that are done to names alone."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._as_text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString
+        self._path = self._hadoop.Path(path)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._store = self._path.getFileSystem(conf)
+
+    def exists(self) -> bool:
+        return self._store.exists(self._path)
+
+    def children(self) -> list[str]:
+        """Full names of what lies in the folder; none if it is missing."""
+        if not self.exists():
+            return []
+        return [str(s.getPath().toString()) for s in self._store.listStatus(self._path)]
+
+    def empty_files(self, ending: str) -> list[str]:
+        """Names of the files without a byte, which no scan and no listing of Spark shows.
+
+        One call brings the whole listing over as text.
+        """
+        if not self.exists():
+            return []
+        listed = self._as_text(self._store.listStatus(self._path))
+        found = re.findall(r"path=([^;]*/[^;]*); isDirectory=false; length=0;", listed)
+        names = [posixpath.basename(path) for path in found]
+        return [n for n in names if n.endswith(ending) and n[0] not in "._"]
+
+    def partitions(self, above: str = "") -> list[str]:
+        """Relative names of the deepest folders named ``column=value``."""
+        found = []
+        for status in self._store.listStatus(self._path):
+            name = status.getPath().getName()
+            if status.isDirectory() and "=" in name:
+                step = posixpath.join(above, name)
+                inner = Folder.__new__(Folder)
+                inner.__dict__.update(self.__dict__, _path=status.getPath())
+                found += inner.partitions(step) or [step]
+        return found
+
+    def move_to(self, path: str) -> None:
+        target = self._hadoop.Path(path)
+        self._store.mkdirs(target.getParent())
+        if not self._store.rename(self._path, target):
+            raise OSError(f"cannot move {self._path.toString()} to {path}")
+
+    def delete(self) -> None:
+        self._store.delete(self._path, True)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that ``shared_folder`` named, once nothing reads it any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target.getFileSystem(conf).delete(target, True)
+    Folder(spark, path).delete()

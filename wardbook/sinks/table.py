@@ -14,6 +14,7 @@ from wardbook.session import drop_folder, shared_folder
 DATE_COLUMN = "event_date"
 BATCH_COLUMN = "ingest_batch"
 PARTITION_COLUMNS = [DATE_COLUMN, BATCH_COLUMN]
+DIGEST_COLUMN = "transcript_digest"
 PLAIN_APPEND = "append"
 UNDATED = "1970-01-01"
 
@@ -49,6 +50,11 @@ def in_table_form(df: DataFrame, schema: StructType = schemas.AUDIT_RECORD) -> D
     return df.select(*columns)
 
 
+def with_digest(rows: DataFrame) -> DataFrame:
+    """The key by which updates find transcripts, made once when a row is stored."""
+    return rows.withColumn(DIGEST_COLUMN, F.sha2("raw_transcript", 256))
+
+
 def clustered(rows: DataFrame, partition_by: list[str]) -> DataFrame:
     """Each file's rows by patient, so that a patient's lookup skips most row groups.
 
@@ -72,6 +78,8 @@ def append_to_table(
     rows = with_event_date(in_table_form(df, schema)).withColumn(
         BATCH_COLUMN, F.lit(PLAIN_APPEND)
     )
+    if schema is not schemas.AUDIT_RECORD_V0:
+        rows = with_digest(rows)
     rows = rows.hint("rebalance", DATE_COLUMN)
     writer = clustered(rows, PARTITION_COLUMNS).write.mode("append").format(table_format)
     writer = writer.partitionBy(*PARTITION_COLUMNS)
@@ -89,10 +97,11 @@ def write_batch(df: DataFrame, path: str, batch: str, schema: StructType) -> Non
     """
     time = "event_time" if "event_time" in schema.names else "timestamp"
     rows = with_event_date(in_table_form(df, schema), time).withColumn(BATCH_COLUMN, F.lit(batch))
-    _overwrite(rows.hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS)
+    overwrite_partitions(with_digest(rows).hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS)
 
 
-def _overwrite(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+def overwrite_partitions(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write rows in place of the partitions they lie in."""
     writer = clustered(rows, partition_by).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
@@ -112,5 +121,5 @@ def replace_partitions(
     aside = shared_folder(spark, "rewrite")
     rows.write.partitionBy(*partition_by).parquet(aside)
     staged = spark.read.schema(rows.schema).parquet(aside)
-    _overwrite(staged.hint("rebalance", *partition_by), path, partition_by)
+    overwrite_partitions(staged.hint("rebalance", *partition_by), path, partition_by)
     drop_folder(spark, aside)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wardbook import schemas
-from wardbook.sinks.table import BATCH_COLUMN, DATE_COLUMN
+from wardbook.sinks.table import BATCH_COLUMN, DATE_COLUMN, DIGEST_COLUMN
 
 
 def scan_audit_table(
@@ -17,6 +17,7 @@ def scan_audit_table(
     table_format: str = "parquet",
     skip_corrupt: bool = False,
     keep_batch: bool = False,
+    keep_digest: bool = False,
     since: str | None = None,
     until: str | None = None,
 ) -> DataFrame:
@@ -26,19 +27,21 @@ def scan_audit_table(
     rather than merged, so no footer is read up front. ``skip_corrupt`` passes
     over damaged files; leave it off where losing rows must not go unnoticed. ``since``
     and ``until`` (``YYYY-MM-DD``, both included) read the partitions of those days only;
-    undated records lie under the first day of 1970.
+    undated records lie under the first day of 1970. ``keep_batch`` and ``keep_digest`` add the
+    name of a row's batch and the stored digest of its transcript, null in older files.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     if table_format == "delta":
         rows = reader.format("delta").load(path)
     else:
-        wide = StructType([*schema.fields, schemas.AUDIT_PARTITION])
+        wide = StructType([*schema.fields, schemas.AUDIT_DIGEST, schemas.AUDIT_PARTITION])
         rows = reader.schema(wide).parquet(path)
     if since is not None:
         rows = rows.filter(F.col(DATE_COLUMN) >= F.lit(since).cast("date"))
     if until is not None:
         rows = rows.filter(F.col(DATE_COLUMN) <= F.lit(until).cast("date"))
-    return rows if keep_batch else rows.drop(BATCH_COLUMN)
+    hidden = [c for c, kept in ((BATCH_COLUMN, keep_batch), (DIGEST_COLUMN, keep_digest)) if not kept]
+    return rows.drop(*hidden)
 
 
 def scan_any_columns(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:

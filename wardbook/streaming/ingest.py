@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,16 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from wardbook import schemas
-from wardbook.operators.counts import counted, has_rows
 from wardbook.plans.commit import records_to_commit
+from wardbook.plans.recent_visits import merge_visits
 from wardbook.sinks.table import write_batch
 from wardbook.sources.documents import (
     CORRUPT,
     DOCUMENT_FILES,
+    FILE,
+    checked_layout,
     is_damaged,
     reader_options,
+    routed,
+    whole_documents,
     with_corrupt,
 )
+from wardbook.sources.ledger import write_files
 from wardbook.streaming.batches import UNTIL_CAUGHT_UP, start_batches
 
 FILES_PER_BATCH = 10_000
@@ -31,20 +36,31 @@ def document_stream(
     spark: SparkSession,
     path: str,
     schema: StructType,
-    layout: str = "lines",
     files_per_batch: int = FILES_PER_BATCH,
     archive: str | None = None,
     files: str = DOCUMENT_FILES,
 ) -> DataFrame:
-    """Documents of a folder as a stream, sub-folders left out, however old the files.
+    """The lines of a folder's files as a stream of documents with their ``FILE``.
 
-    With ``archive``, files go there once their batch is done, which keeps the folder and
-    the list of files already seen short.
+    Sub-folders are left out, and files are read however old they are. With ``archive``,
+    files go there once their batch is done, which keeps the folder and the list of files
+    already seen short.
     """
-    reader = spark.readStream.schema(schema).options(**reader_options(layout, files))
+    reader = spark.readStream.schema(with_corrupt(schema)).options(**reader_options(False, files))
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
     if archive is not None:
         reader = reader.options(cleanSource="archive", sourceArchiveDir=archive)
-    return reader.options(maxFilesPerTrigger=files_per_batch, maxFileAge=ANY_AGE).json(path)
+    rows = reader.options(maxFilesPerTrigger=files_per_batch, maxFileAge=ANY_AGE).json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias(FILE))
+
+
+def batch_documents(
+    spark: SparkSession, lines: DataFrame, schema: StructType, layout: str, files: str = DOCUMENT_FILES
+) -> DataFrame:
+    """A batch of lines, but of files that are one JSON value the documents they are."""
+    if not checked_layout(layout):
+        return lines
+    return routed(spark, lines, whole_documents(spark, lines.where(is_damaged())), schema, files)
 
 
 def quarantine_of(table: str) -> str:
@@ -57,42 +73,54 @@ def ingest_folder(
     landing: str,
     table: str,
     checkpoint: str,
-    layout: str = "lines",
+    layout: str = "auto",
     files_per_batch: int = FILES_PER_BATCH,
     trigger: dict | None = None,
     quarantine: str | None = None,
     archive: str | None = None,
     files: str = DOCUMENT_FILES,
+    visits: str | None = None,
 ) -> StreamingQuery:
     """Take the documents that have arrived since the last run, then stop.
 
     Running it again adds nothing, and neither does the replay of a batch that
     was cut short: its partitions are replaced by the same rows. Documents that are no JSON
     go to ``quarantine`` in the same batch, by default beside the table, with their file.
+    The files of the batch go to the table's ledger (``sources.ledger``). With ``visits``,
+    the last visits per patient kept there are brought up to date.
+
+    A batch is parsed once, and held while its parts are counted and written. An executor
+    lost meanwhile costs the parsing of its part.
     """
+    checked_layout(layout)
     bad_rows = quarantine or quarantine_of(table)
-    schema = with_corrupt(schemas.CLINICAL_RECORD)
-    stream = document_stream(spark, landing, schema, layout, files_per_batch, archive, files)
-    documents = stream.select("*", F.col("_metadata.file_path").alias("file_path"))
+    schema = schemas.CLINICAL_RECORD
+    lines = document_stream(spark, landing, schema, files_per_batch, archive, files)
 
     def write(batch: DataFrame, name: str) -> Mapping[str, int]:
-        bad = batch.filter(is_damaged()).select("file_path", F.col(CORRUPT).alias("document"))
-        rows = records_to_commit(batch.filter(~is_damaged()).drop("file_path", CORRUPT))
-        damaged = _counted(bad, lambda df: _set_aside(df, bad_rows, name))
-        committed = _counted(rows, lambda df: write_batch(df, table, name, schemas.AUDIT_RECORD))
-        return {"committed": committed, "quarantined": damaged}
-
-    return start_batches(documents, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
-
-
-def _counted(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
-    """Write rows and say how many they were; an empty frame has nothing to observe."""
-    if not has_rows(rows):
-        write(rows)
-        return 0
-    observed, seen = counted(rows)
-    write(observed)
-    return seen.get["rows"]
+        lines = batch.persist()
+        parsed = batch_documents(spark, lines, schema, layout, files)
+        rows = parsed.withColumn("damaged", F.coalesce(is_damaged(), F.lit(False)))
+        held = rows if parsed is lines else rows.persist()
+        try:
+            good = records_to_commit(held.where("NOT damaged").drop(FILE, CORRUPT, "damaged"))
+            bad = held.where("damaged").select(F.col(FILE).alias("file_path"), F.col(CORRUPT).alias("document"))
+            committed = ~F.col("damaged") & F.col("raw_transcript").isNotNull()
+            counts = held.agg(F.count_if(committed), F.count_if("damaged")).first()
+            if counts[1]:
+                _set_aside(bad, bad_rows, name)
+            if counts[0]:
+                write_batch(good, table, name, schemas.AUDIT_RECORD)
+                if visits is not None:
+                    merge_visits(good, visits, name)
+            # Last, so that a file in the ledger is in the table too.
+            write_files(held, table, name)
+        finally:
+            held.unpersist()
+            lines.unpersist()
+        return {"committed": counts[0], "quarantined": counts[1]}
+
+    return start_batches(lines, checkpoint, write, trigger or UNTIL_CAUGHT_UP)
 
 
 def _set_aside(bad: DataFrame, path: str, batch: str) -> None:
@@ -102,7 +130,7 @@ def _set_aside(bad: DataFrame, path: str, batch: str) -> None:
 
 
 def committed_rows(query: StreamingQuery) -> int:
-    """A1: rows that this run has written, counted while they were written."""
+    """A1: rows that this run has written."""
     return query.totals["committed"]
 
 
