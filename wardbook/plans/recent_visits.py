@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from wardbook import fixed_values as fv
 from wardbook import schemas
@@ -35,8 +34,7 @@ def merge_visits(records: DataFrame, store: str, batch: str) -> None:
 
 def visits_in(spark: SparkSession, store: str) -> DataFrame:
     """The kept visits, up to a few per patient and batch."""
-    fields = [f for f in schemas.VISIT.fields]
-    return spark.read.schema(StructType(fields)).parquet(store)
+    return spark.read.schema(schemas.VISIT).parquet(store).select(*schemas.VISIT.names)
 
 
 def kept_history(

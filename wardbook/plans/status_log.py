@@ -66,9 +66,8 @@ def touched_days(spark: SparkSession, table: str, events: DataFrame) -> list[dat
     updates = events.filter(F.col("raw_transcript").isNotNull())
     dispenses = events.filter(F.col("raw_transcript").isNull() & F.col("patient_id").isNotNull())
     keys = scan_audit_table(spark, table, keep_digest=True)
-    named = updates.select(F.to_date(F.regexp_extract(
-        first_token(F.col("timestamp")), r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd").alias("day")
-    )
+    start = F.regexp_extract(first_token(F.col("timestamp")), r"^\d{4}-\d{2}-\d{2}", 0)
+    named = updates.select(parse_timestamp(start).cast("date").alias("day"))
     if dispenses.isEmpty() and not (near := _around(named)) is None:
         keys = keys.filter(F.col(DATE_COLUMN).isin(near))
     of_patients = rows_with_keys(
