@@ -12,7 +12,7 @@ from wardbook.operators.filters import equal_if_given
 from wardbook.plans.status_log import fold_status
 from wardbook.sinks.table import DATE_COLUMN, DIGEST_COLUMN, with_event_date
 from wardbook.sources.ledger import scan_uncommitted
-from wardbook.sources.table import scan_audit_table
+from wardbook.sources.table import in_days, scan_audit_table
 
 _HELPERS = ("__source", "__ts", DIGEST_COLUMN)
 
@@ -86,9 +86,6 @@ def current_records(
     their day. ``choices`` are those of ``records_view``.
     """
     fresh = with_event_date(scan_uncommitted(spark, landing, table, layout=layout).dropna(how="all"))
-    if since is not None:
-        fresh = fresh.filter(F.col(DATE_COLUMN) >= F.lit(since).cast("date"))
-    if until is not None:
-        fresh = fresh.filter(F.col(DATE_COLUMN) <= F.lit(until).cast("date"))
+    fresh = in_days(fresh, since, until)
     stored = scan_audit_table(spark, table, since=since, until=until, keep_digest=True)
     return records_view(fresh, stored, **choices).drop(DATE_COLUMN)

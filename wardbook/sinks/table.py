@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,21 +90,30 @@ def append_to_table(
     writer.save(path)
 
 
-def write_batch(df: DataFrame, path: str, batch: str, schema: StructType) -> None:
+def write_batch(
+    df: DataFrame, path: str, batch: str, schema: StructType, bloom: Sequence[str] = ()
+) -> None:
     """Write one numbered batch so that writing it again changes nothing.
 
     The batch name is a partition below the date; a replay replaces exactly the
     partitions its first run wrote. Status events lie under the day they happened, not that
-    of the record they name.
+    of the record they name. Columns in ``bloom`` get a filter by which a lookup passes over
+    row groups.
     """
-    time = "event_time" if "event_time" in schema.names else "timestamp"
+    time = next(c for c in ("event_time", "timestamp", "date") if c in schema.names)
     rows = with_event_date(in_table_form(df, schema), time).withColumn(BATCH_COLUMN, F.lit(batch))
-    overwrite_partitions(with_digest(rows).hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS)
+    if "raw_transcript" in schema.names:
+        rows = with_digest(rows)
+    overwrite_partitions(rows.hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS, bloom)
 
 
-def overwrite_partitions(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+def overwrite_partitions(
+    rows: DataFrame, path: str, partition_by: list[str], bloom: Sequence[str] = ()
+) -> None:
     """Write rows in place of the partitions they lie in."""
     writer = clustered(rows, partition_by).write.mode("overwrite")
+    for column in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 

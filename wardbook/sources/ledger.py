@@ -17,16 +17,16 @@ def ledger_of(table: str) -> str:
     return f"{table.rstrip('/')}-files"
 
 
-def write_files(rows: DataFrame, table: str, batch: str) -> None:
-    """List the files of a batch: documents that can be read, and those with a transcript.
+def write_files(rows: DataFrame, table: str, batch: str, needed: str) -> None:
+    """List the files of a batch: documents that can be read, and those with what they need.
 
-    ``rows`` has ``FILE``, ``damaged`` and ``raw_transcript``. Only the counts travel; a
+    ``rows`` has ``FILE``, ``damaged`` and the ``needed`` column. Only the counts travel; a
     replayed batch replaces its list.
     """
     readable = ~F.col("damaged")
     counts = rows.groupBy(F.col(FILE).alias("file_path")).agg(
         F.count_if(readable).alias("documents"),
-        F.count_if(readable & F.col("raw_transcript").isNotNull()).alias("committed"),
+        F.count_if(readable & F.col(needed).isNotNull()).alias("committed"),
     )
     writer = counts.withColumn("ingest_batch", F.lit(batch)).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch").parquet(

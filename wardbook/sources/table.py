@@ -30,18 +30,37 @@ def scan_audit_table(
     undated records lie under the first day of 1970. ``keep_batch`` and ``keep_digest`` add the
     name of a row's batch and the stored digest of its transcript, null in older files.
     """
-    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
     if table_format == "delta":
-        rows = reader.format("delta").load(path)
+        reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+        rows = in_days(reader.format("delta").load(path), since, until)
     else:
-        wide = StructType([*schema.fields, schemas.AUDIT_DIGEST, schemas.AUDIT_PARTITION])
-        rows = reader.schema(wide).parquet(path)
+        wide = StructType([*schema.fields, schemas.AUDIT_DIGEST])
+        rows = scan_partitions(spark, path, wide, since, until, skip_corrupt)
+    hidden = [c for c, kept in ((BATCH_COLUMN, keep_batch), (DIGEST_COLUMN, keep_digest)) if not kept]
+    return rows.drop(*hidden)
+
+
+def in_days(rows: DataFrame, since: str | None, until: str | None) -> DataFrame:
+    """Rows of a range of event dates, both included."""
     if since is not None:
         rows = rows.filter(F.col(DATE_COLUMN) >= F.lit(since).cast("date"))
     if until is not None:
         rows = rows.filter(F.col(DATE_COLUMN) <= F.lit(until).cast("date"))
-    hidden = [c for c, kept in ((BATCH_COLUMN, keep_batch), (DIGEST_COLUMN, keep_digest)) if not kept]
-    return rows.drop(*hidden)
+    return rows
+
+
+def scan_partitions(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    since: str | None = None,
+    until: str | None = None,
+    skip_corrupt: bool = False,
+) -> DataFrame:
+    """Rows of a table that ``write_batch`` keeps, with its partition columns."""
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    wide = StructType([*schema.fields, schemas.AUDIT_PARTITION])
+    return in_days(reader.schema(wide).parquet(path), since, until)
 
 
 def scan_any_columns(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,13 +88,43 @@ def ingest_folder(
     go to ``quarantine`` in the same batch, by default beside the table, with their file.
     The files of the batch go to the table's ledger (``sources.ledger``). With ``visits``,
     the last visits per patient kept there are brought up to date.
+    """
+    schema = schemas.CLINICAL_RECORD
+
+    def commit(good: DataFrame, name: str) -> None:
+        rows = records_to_commit(good)
+        write_batch(rows, table, name, schemas.AUDIT_RECORD)
+        if visits is not None:
+            merge_visits(rows, visits, name)
+
+    return ingest_documents(
+        spark, landing, table, checkpoint, schema, "raw_transcript", commit, layout,
+        files_per_batch, trigger, quarantine, archive, files,
+    )
+
+
+def ingest_documents(
+    spark: SparkSession,
+    landing: str,
+    table: str,
+    checkpoint: str,
+    schema: StructType,
+    needed: str,
+    commit: Callable[[DataFrame, str], None],
+    layout: str = "auto",
+    files_per_batch: int = FILES_PER_BATCH,
+    trigger: dict | None = None,
+    quarantine: str | None = None,
+    archive: str | None = None,
+    files: str = DOCUMENT_FILES,
+) -> StreamingQuery:
+    """``commit(documents, batch_name)`` for the new documents of a folder that have ``needed``.
 
     A batch is parsed once, and held while its parts are counted and written. An executor
     lost meanwhile costs the parsing of its part.
     """
     checked_layout(layout)
     bad_rows = quarantine or quarantine_of(table)
-    schema = schemas.CLINICAL_RECORD
     lines = document_stream(spark, landing, schema, files_per_batch, archive, files)
 
     def write(batch: DataFrame, name: str) -> Mapping[str, int]:
@@ -103,18 +133,16 @@ def ingest_folder(
         rows = parsed.withColumn("damaged", F.coalesce(is_damaged(), F.lit(False)))
         held = rows if parsed is lines else rows.persist()
         try:
-            good = records_to_commit(held.where("NOT damaged").drop(FILE, CORRUPT, "damaged"))
+            good = held.where("NOT damaged").where(F.col(needed).isNotNull())
             bad = held.where("damaged").select(F.col(FILE).alias("file_path"), F.col(CORRUPT).alias("document"))
-            committed = ~F.col("damaged") & F.col("raw_transcript").isNotNull()
-            counts = held.agg(F.count_if(committed), F.count_if("damaged")).first()
+            has = ~F.col("damaged") & F.col(needed).isNotNull()
+            counts = held.agg(F.count_if(has), F.count_if("damaged")).first()
             if counts[1]:
                 _set_aside(bad, bad_rows, name)
             if counts[0]:
-                write_batch(good, table, name, schemas.AUDIT_RECORD)
-                if visits is not None:
-                    merge_visits(good, visits, name)
+                commit(good.drop(FILE, CORRUPT, "damaged"), name)
             # Last, so that a file in the ledger is in the table too.
-            write_files(held, table, name)
+            write_files(held, table, name, needed)
         finally:
             held.unpersist()
             lines.unpersist()
