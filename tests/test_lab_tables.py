@@ -55,6 +55,8 @@ def test_damaged_and_empty_reports(spark, landing, folder):  # noqa: F811
     assert rows.columns == schemas.LAB_REPORT.names
     assert [r.report_id for r in reports_of(rows, "P1").collect()] == ["R1", "R3", "R2"]
     assert scan_lab(spark, "reports", table, since="2026-03-01").count() == 2
+    assert scan_lab(spark, "reports", table, since="2026-03-02").count() == 0
+    assert scan_lab(spark, "reports", table, until="2026-03-01").count() == 2
     assert spark.read.parquet(quarantine_of(table)).count() == 1
 
 

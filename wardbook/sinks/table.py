@@ -91,19 +91,27 @@ def append_to_table(
 
 
 def write_batch(
-    df: DataFrame, path: str, batch: str, schema: StructType, bloom: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    batch: str,
+    schema: StructType,
+    bloom: Sequence[str] = (),
+    period: str = "day",
 ) -> None:
     """Write one numbered batch so that writing it again changes nothing.
 
     The batch name is a partition below the date; a replay replaces exactly the
     partitions its first run wrote. Status events lie under the day they happened, not that
-    of the record they name. Columns in ``bloom`` get a filter by which a lookup passes over
+    of the record they name. A ``period`` of a month lays its days together under the first
+    one, for tables that are looked up by other things than days. Columns in ``bloom`` get a filter by which a lookup passes over
     row groups.
     """
     time = next(c for c in ("event_time", "timestamp", "date") if c in schema.names)
     rows = with_event_date(in_table_form(df, schema), time).withColumn(BATCH_COLUMN, F.lit(batch))
     if "raw_transcript" in schema.names:
         rows = with_digest(rows)
+    if period != "day":
+        rows = rows.withColumn(DATE_COLUMN, F.trunc(DATE_COLUMN, period))
     overwrite_partitions(rows.hint("rebalance", DATE_COLUMN), path, PARTITION_COLUMNS, bloom)
 
 
@@ -112,6 +120,8 @@ def overwrite_partitions(
 ) -> None:
     """Write rows in place of the partitions they lie in."""
     writer = clustered(rows, partition_by).write.mode("overwrite")
+    # Sized by what a file holds.
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)

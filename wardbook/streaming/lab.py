@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -18,6 +19,8 @@ KINDS: dict[str, tuple[StructType, str]] = {
 }
 #: Columns by which documents are looked up.
 LOOKUPS = ("patient_id", "request_id")
+#: Days that lie together; a patient's documents are spread over years.
+PERIOD = "month"
 
 
 def ingest_lab(
@@ -25,13 +28,13 @@ def ingest_lab(
 ) -> StreamingQuery:
     """Lab documents of a kind into a table, each once, as ``ingest_folder`` does.
 
-    They lie by date, in a file by patient, with filters on patient and request, so that a
+    They lie by month, in a file by patient, with filters on patient and request, so that a
     lookup skips most row groups. What is ingested stays when the folder is emptied.
     """
     schema, needed = KINDS[kind]
 
     def commit(good: DataFrame, name: str) -> None:
-        write_batch(good, table, name, schema, LOOKUPS)
+        write_batch(good, table, name, schema, LOOKUPS, PERIOD)
 
     return ingest_documents(spark, landing, table, checkpoint, schema, needed, commit, **options)
 
@@ -39,6 +42,15 @@ def ingest_lab(
 def scan_lab(
     spark: SparkSession, kind: str, table: str, since: str | None = None, until: str | None = None
 ) -> DataFrame:
-    """P5: the documents of such a table; filters on patient and request reach its files."""
+    """P5: the documents of such a table; filters on patient and request reach its files.
+
+    ``since`` and ``until`` (``YYYY-MM-DD``, both included) read the months of those days only.
+    """
     schema, _ = KINDS[kind]
-    return scan_partitions(spark, table, schema, since, until).select(*schema.names)
+    first = None if since is None else f"{since[:7]}-01"
+    rows = scan_partitions(spark, table, schema, first, until)
+    if since is not None:
+        rows = rows.filter(F.col("date") >= since)
+    if until is not None:
+        rows = rows.filter(F.col("date") <= until)
+    return rows.select(*schema.names)
