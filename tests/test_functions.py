@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from wardbook.functions import display, ids, json_text, lab, timestamps, transcr
 from wardbook.plans.extraction import add_requested_test, with_drafts
 from wardbook.plans.lab_loop import with_analysis
 from wardbook.plans.prompts import analysis_prompt, extraction_prompt
+from wardbook.schemas import LAB_TEST
 
 
 def column(spark, values, expression, type_="string"):
@@ -305,3 +307,36 @@ def test_indented_visits_is_the_usual_two_space_form(spark):
         spark, [[tuple(v.values()) for v in visits], []], json_text.indented_visits, ddl
     )
     assert got == [json.dumps(visits, indent=2, ensure_ascii=False), "[]"]
+
+
+def test_tests_are_parsed_as_the_whole_text_says(spark):
+    """Generated and damaged texts: the one reading of a list against a check of all text."""
+    draw = random.Random(4)
+
+    def value(depth=0):
+        kind = draw.random()
+        if depth > 3 or kind < 0.4:
+            return draw.choice(['"a"', "1", "2.5", "null", "true", '""', '"x\\"y"', '"ü"'])
+        if kind < 0.75:
+            keys = ["test_name", "value", "normal_range", "status", "other"]
+            return "{" + ",".join(f'"{draw.choice(keys)}" :{value(depth + 1)}' for _ in range(draw.randrange(4))) + "}"
+        return "[" + draw.choice(["", " ", "\n"]) + ",".join(value(depth + 1) for _ in range(draw.randrange(4))) + "]"
+
+    def text():
+        made = draw.choice(["", " ", "\n\t"])
+        made += value() if draw.random() < 0.3 else "[" + ",".join(value(1) for _ in range(draw.randrange(4))) + "]"
+        for _ in range(draw.choice([0, 0, 0, 1, 2])):
+            at = draw.randrange(len(made) + 1)
+            made = made[:at] + draw.choice("[]{},:\"' x1\n") + made[at + draw.randrange(2) :]
+        return made + draw.choice(["", "", "", " ", "x", ",[]", "[]", "{}", ",1", "]", "}"])
+
+    kind = f"array<{LAB_TEST.simpleString()}>"
+    column = F.col("text")
+    strict = F.from_json(column, kind, {"allowSingleQuotes": "false"})
+    plain = F.coalesce(F.when(json_text.parsed_object(column).isNotNull(), strict), F.array().cast(kind))
+    texts = [text() for _ in range(6000)]
+    texts += ['[{"value": "a"}]],"x":[[1]', '[],"x":[]', '[]],"lists":[[]', '[{"value": [[1]],"status": "s"}]', "[null]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = rows.select("text", lab.parse_tests(column).alias("ours"), plain.alias("plain"))
+    assert both.where("ours != plain").collect() == []
+    assert both.where("size(ours) > 0").count() > 300

@@ -15,17 +15,32 @@ _TESTS_DDL = f"array<{LAB_TEST.simpleString()}>"
 # How every list of tests, or a single one, starts. Each text the JSON reader has to
 # give up on costs an exception; this spares most of them.
 _MAY_BE_TESTS = r"^\s*(\[\s*[\[{\]n]|\{\s*[\"}])"
+_STRICT = {"allowSingleQuotes": "false"}
+# A list inside a list inside an object, with room for the text if it is damaged anywhere.
+_WHOLE_DDL = f"struct<lists: array<{_TESTS_DDL}>, damaged: string>"
+_WHOLE = {**_STRICT, "columnNameOfCorruptRecord": "damaged"}
 
 
 def parse_tests(text: Column) -> Column:
     """JSON text to an array of tests; unreadable or absent text gives ``[]``.
 
-    Text behind the JSON value makes it unreadable, which the reader alone would not see.
+    A list whose only closing bracket is its last character is read once, in brackets, where
+    text behind it is damage or a second element. What is no plain list of tests is looked at a
+    second time, to tell damaged text from values of another type: the reader keeps what it
+    can of either.
     """
-    parsed = F.from_json(text, _TESTS_DDL, {"allowSingleQuotes": "false"})
-    one_value = text.rlike(_MAY_BE_TESTS) & parsed_object(text).isNotNull()
-    readable = F.when(one_value, parsed)
-    return F.coalesce(readable, F.array().cast(_TESTS_DDL))
+    maybe = F.when(text.rlike(_MAY_BE_TESTS), text)
+    simple = F.when(F.instr(maybe, "]") == F.length(F.rtrim(maybe)), maybe)
+    wrapped = F.concat(F.lit('{"lists":['), simple, F.lit("]}"))
+    whole = F.from_json(wrapped, _WHOLE_DDL, _WHOLE)
+
+    def only_list(read: Column) -> Column:
+        return F.when(read["damaged"].isNull() & (F.size(read["lists"]) == 1), read["lists"][0])
+
+    # As the one element of an array, so that it is read once for all its uses.
+    plain = F.transform(F.array(whole), only_list)[0]
+    checked = F.when(parsed_object(maybe).isNotNull(), F.from_json(maybe, _TESTS_DDL, _STRICT))
+    return F.coalesce(plain, checked, F.array().cast(_TESTS_DDL))
 
 
 def lab_lines(tests: Column, separator: str = fv.LAB_LINE_SEPARATOR) -> Column:
