@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from conftest import TESTDATA
+from helpers import Groups
+
 from wardbook.llm import url_rules
 
 
@@ -111,3 +114,102 @@ def test_targets_are_resolved():
 
 def test_no_pages(spark):
     assert judged(spark, []) == {}
+
+
+def test_addresses_and_tags_as_browsers_read_them(spark):
+    """Each page leads to a blocked one in another way of writing; the odd ones lead nowhere."""
+    blocked = "http://bad.net/x"
+    pages = {
+        "http://a.com": '<link rel=canonical href="http://bad.net/x">',
+        "http://b.com:80/": link(blocked),
+        "http://c.com/1": f'<link data-href="/no" href="{blocked}" rel="canonical">',
+        "http://d.com/1": '<base href="http://bad.net/"><link rel="canonical" href="x">',
+        "http://e.com/1": f'<link rel="alternate canonical" href="{blocked}">',
+        "http://f.com/1": f'<link title="a > b" rel="canonical" href="{blocked}">',
+        "http://g.com/1": f'<meta http-equiv="refresh" content="0;{blocked}">',
+        "http://h.com/1": f"<meta content=\"5; URL='{blocked}'\" http-equiv=refresh>",
+        "http://i.com/1": '<META HTTP-EQUIV = "Refresh" CONTENT = "0;url=http://BAD.net:80/x#part">',
+        "http://j.com/1": link("HTTP://BAD.NET/x"),
+    }
+    aliases = {"http://a.com/": "http://a.com", "http://b.com": "http://b.com:80/"}
+    nowhere = {
+        "http://k.com/1": f'<!-- <link rel="canonical" href="{blocked}"> -->',
+        "http://l.com/1": f'<script>var x = \'<link rel="canonical" href="{blocked}">\'</script>',
+        "http://m.com/1": f'<linkx rel="canonical" href="{blocked}">',
+        "http://n.com/1": f'<link rel="canonicals" href="{blocked}">',
+        "http://o.com/1": '<meta http-equiv="refresh" content="30">',
+        "http://p.com/1": f'<link rel="canonical" data-href="{blocked}">',
+        "http://q.com/1": f'<link rel="canonical" href="{blocked}',
+        "http://r.com:8080/": link("http://r.com/"),
+    }
+    urls = [*pages, *aliases, *nowhere]
+    html = {**pages, **nowhere}
+    got = judged(spark, [(i, u, html.get(u), "") for i, u in enumerate(urls)])
+    verdicts = {u: got[i].verdict for i, u in enumerate(urls)}
+    assert {u for u, v in verdicts.items() if v == "block"} == {*pages, *aliases}
+
+
+def test_very_long_pages(spark):
+    filler = "<p class='x'>text & more</p>" * 40_000
+    rows = [
+        (1, "http://a.com/1", filler + link("http://bad.net/x") + filler, ""),
+        (2, "http://a.com/2", "<!--" + filler + link("http://bad.net/x"), ""),
+        (3, "http://a.com/3", "<link " * 2000 + link("http://bad.net/x"), ""),
+    ]
+    got = judged(spark, rows)
+    assert [got[i].verdict for i in (1, 2)] == ["block", "allow"]
+
+
+def test_links_over_all_pages_against_plain_components(spark):
+    """Chains, cycles and rings of redirects derived from the given pages."""
+    pages = spark.read.parquet(f"{TESTDATA}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.select("page_id", "url").collect()]
+    urls = sorted({u for _, u in rows if u})
+    edges = []
+    for i, url in enumerate(urls):
+        if i % 3 and i % 17:
+            edges.append((url, urls[i - 1]))  # chains
+        if i % 29 == 0:
+            edges.append((url, urls[(i * 7) % len(urls)] + "#x"))
+        if i % 41 == 0:
+            edges += [(url, f"http://ring.example/{i}"), (f"http://ring.example/{i}", url)]
+    plain = Groups([])
+    own = {}
+
+    def key(url):
+        url = url.split("#")[0]
+        scheme, _, rest = url.partition("://")
+        host, slash, path = rest.partition("/")
+        host, mark, query = (host.partition("?") if "?" in host else (host, "", ""))
+        return f"{scheme}://{host}".lower() + ("/" + path if slash else "/" + mark + query)
+
+    def rule(url):
+        host = url.partition("://")[2]
+        host, path = (host.split("/", 1) + [None])[:2]
+        path = "/" + path.split("?")[0].split("#")[0] if path is not None else ""
+        host = host.split("?")[0].lower()
+        fits = [
+            r for r in url_rules.RULES
+            if ("." + host).endswith("." + r.host) and path.startswith(r.path)
+        ]
+        return max(fits, key=lambda r: len(r.name)).verdict if fits else None
+
+    for a, b in edges:
+        for u in (a, b):
+            plain.parent.setdefault(key(u), key(u))
+            own[key(u)] = rule(key(u))
+        plain.join(key(a), key(b))
+    members = {}
+    for node in plain.parent:
+        members.setdefault(plain.find(node), set()).add(own[node])
+    expected = {}
+    for page_id, url in rows:
+        verdict = rule(url) if url and "://" in url else None
+        if verdict is None and url and key(url) in plain.parent:
+            seen = members[plain.find(key(url))]
+            verdict = "block" if "block" in seen and "allow" not in seen else None
+        expected[page_id] = verdict or "allow"
+    redirects = spark.createDataFrame(edges, "url string, target string")
+    found = {r.page_id: r.verdict for r in url_rules.judge(pages, redirects=redirects).collect()}
+    without = {r.page_id: r.verdict for r in url_rules.judge(pages).collect()}
+    assert found == expected and found != without

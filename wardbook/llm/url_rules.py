@@ -54,10 +54,13 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """The url by which aliases meet: scheme and host lower-cased, without fragment."""
+    """The url by which aliases meet: scheme and host lower-cased, without fragment and without
+    the port its scheme has anyway, an empty path as ``/``."""
     origin = _lowered(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1))
+    origin = F.regexp_replace(origin, r"(?s)^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(origin, rest)).otherwise(url)
+    slash = F.when(rest.startswith("/"), "").otherwise("/")
+    return F.when(url.contains("://"), F.concat(origin, slash, rest)).otherwise(url)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -70,10 +73,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return chosen
 
 
-_LINK_TAG = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META_TAG = r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\s\"'>]+)"
-_TO = r"(?is)\burl\s*=\s*[\"']?\s*([^\s\"'>]+)"
+# What holds no tags: comments, scripts and styles, to their end or that of the page.
+_NO_TAGS = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)")
+# Quoted values may hold any character, ``>`` too.
+_TAG = re.compile(r"(?is)<(link|meta|base)(?=[\s/>])((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_REFRESH = re.compile(r"(?is)\s*[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?(.+)")
 
 
 # A name without its semicolon is text where a parameter or a longer name could go on.
@@ -117,31 +122,57 @@ def resolved(page: str, target: str) -> str | None:
     return own[1] + _without_dots(folder + path) + rest
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-cased name, as written; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def targets_in(page: str, html: str) -> list[str]:
+    """The urls that the canonical links and refreshes of a page lead to.
+
+    Tags in comments, scripts and styles do not count. ``rel`` is a list of words; the first
+    ``<base href>`` is what relative targets stand by.
+    """
+    base, raw = None, []
+    for tag, text in _TAG.findall(_NO_TAGS.sub(" ", html)):
+        own = _attributes(text)
+        if tag.lower() == "base":
+            base = base or own.get("href")
+        elif tag.lower() == "link":
+            if "canonical" in decoded(own.get("rel", "")).lower().split():
+                raw.append(own.get("href", ""))
+        elif decoded(own.get("http-equiv", "")).strip().lower() == "refresh":
+            to = _REFRESH.fullmatch(decoded(own.get("content", "")))
+            if to:
+                value = to[1].strip()
+                quote = value[:1]
+                raw.append(value[1:].split(quote)[0] if quote in ("'", '"') else value)
+    stands_by = (base and resolved(page, base)) or page
+    return [to for value in raw if (to := resolved(stands_by, value))]
+
+
+def _find_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, targets = batch.column("url").to_pylist(), batch.column("target").to_pylist()
-        found = [resolved(p, t) for p, t in zip(pages, targets, strict=True)]
+        urls, pages = batch.column("url").to_pylist(), batch.column("html").to_pylist()
+        pairs = [(u, to) for u, html in zip(urls, pages, strict=True) for to in targets_in(u, html)]
+        columns = zip(*pairs, strict=True) if pairs else ([], [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("url"), pa.array(found, pa.string())], names=["url", "target"]
+            [pa.array(c, pa.string()) for c in columns], names=["url", "target"]
         )
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """``url, target`` of all canonical links and meta refreshes in ``html``.
 
-    Relative targets are resolved against the page's url.
+    Relative targets are resolved against the page's url, or its ``<base href>``. Pages without
+    either word are never taken apart.
     """
-    html = F.col("html")
-
-    def targets(word: str, tag: str, value: str) -> Column:
-        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
-        found = F.transform(tags, lambda t: F.regexp_extract(t, value, 1))
-        return F.when(F.lower(html).contains(word), found).otherwise(F.array().cast("array<string>"))
-
-    both = F.concat(targets("canonical", _LINK_TAG, _HREF), targets("refresh", _META_TAG, _TO))
-    named = pages.where(F.col("url").isNotNull()).select("url", F.explode(both).alias("target"))
-    links = named.mapInArrow(_resolve, "url string, target string")
-    return links.where(F.col("target").isNotNull())
+    may_link = F.lower("html").rlike("canonical|refresh|&#")
+    named = pages.where(F.col("url").isNotNull() & may_link).select("url", "html")
+    return named.mapInArrow(_find_targets, "url string, target string")
 
 
 def judge(
@@ -153,8 +184,9 @@ def judge(
     either direction and over any number of hops, also through urls that are no page, are
     aliases: where no own rule fits, an alias of a blocked url is blocked unless another
     alias is allowed by a rule, and all others are allowed. ``redirects`` may add
-    ``url, target`` rows, say from a crawl log. Urls that differ in their fragment or the case
-    of scheme and host are one alias; rules are judged on the url as it is.
+    ``url, target`` rows, say from a crawl log. Urls that differ in their fragment, the case
+    of scheme and host, the usual port or an empty path are one alias; rules are judged on the
+    url as it is. Other columns, whatever their names, are not read.
 
     Null urls and urls without ``://`` have empty host and path, no rule and no alias;
     they are allowed. ``component`` is the smallest url of the aliases, as ``key_of`` writes it. Repeated rows get
