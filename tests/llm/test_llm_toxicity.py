@@ -14,12 +14,16 @@ SF = str(TESTDATA).replace("sf0.001", "sf0.1")
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
+    """Letters put in, left out or changed, and swaps of neighbours."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        row = [i]
         for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[j - 1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def plain_match(word, terms):
@@ -36,10 +40,38 @@ def plain_match(word, terms):
 def test_lexicon_matches_are_those_by_edit_distance():
     draw = random.Random(3)
     terms = ["abcab", "abc*", "bcabca*", "ca", "ab*", "abcabc", "cabba*"]
-    lexicon = toxicity.Lexicon(terms)
-    for _ in range(4000):
-        word = "".join(draw.choices("abc", k=draw.randrange(1, 10)))
-        assert lexicon.match(word) == plain_match(word, terms), word
+    long = ["abcdabcd", "dcbaabcdd*", "cabdcabda", "bbbbdddd", "acbd*"]
+    for letters, most, lexicon in (
+        ("abc", 10, toxicity.Lexicon(terms)),
+        ("abcd", 12, toxicity.Lexicon(long)),
+    ):
+        for _ in range(4000):
+            word = "".join(draw.choices(letters, k=draw.randrange(1, most)))
+            if draw.random() < 0.5:
+                word = list(draw.choice(lexicon.terms).rstrip("*"))
+                for _ in range(draw.randrange(3)):
+                    at = draw.randrange(len(word))
+                    word[at : at + 2] = draw.choice([word[at : at + 2][::-1], [], ["a"], ["b", *word[at : at + 2]]])
+                    word = word or ["a"]
+                word = "".join(word)
+            assert lexicon.match(word) == plain_match(word, lexicon.terms), word
+
+
+def test_misspellings():
+    lexicon = toxicity.Lexicon(["idiot", "scum", "disgusting"])
+    found = {w: lexicon.match(w) for w in ("idoit", "disgutsing", "dissgustng", "disgusting", "sucm", "scun")}
+    assert found == {
+        "idoit": (0, 1), "disgutsing": (2, 1), "dissgustng": (2, 2), "disgusting": (2, 0),
+        "sucm": None, "scun": None,
+    }
+
+
+def test_no_term_is_left_out_for_number():
+    """Three thousand terms that each mark toxic texts alone are all in the lexicon."""
+    words = [f"term{a}{b}{c}" for a in "abcdefghijklmno" for b in "abcdefghijklmn" for c in "abcdefghijklmno"][:3000]
+    lexicon = toxicity.Lexicon(words)
+    assert all(lexicon.match(w) == (i, 0) for i, w in enumerate(words))
+    assert not hasattr(toxicity, "MAX_TERMS")
 
 
 def test_full_caches_are_emptied(monkeypatch):

@@ -19,7 +19,6 @@ CUT = 0.5
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 8
 STEM_LENGTHS = range(3, 9)
-MAX_TERMS = 2_000
 #: Words and automaton states a worker process remembers.
 CACHE_WORDS = 300_000
 CACHE_STATES = 50_000
@@ -36,16 +35,20 @@ ADDRESS = frozenset("you your yours du dich dein dir tu te toi vous votre tú ti
 
 
 def allowed_edits(term: str) -> int:
-    """Edits a term may be away from a word: long terms one, short terms none."""
-    return 1 if len(term) >= 5 else 0
+    """Edits a term may be away from a word: none below five letters, one below eight, then two.
+
+    An edit is a letter put in, left out or changed, or two neighbours swapped.
+    """
+    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
 class Lexicon:
     """Terms that words match exactly or misspelled; a term ending in ``*`` is a stem.
 
-    The terms' trie is walked by a Levenshtein automaton: a state is the set of trie nodes
-    a word's beginning may have led to, with the edits spent. Sets are numbered as they are met
-    and their moves kept, so a word costs one look-up a letter.
+    The terms' trie is walked by a Levenshtein automaton with swaps: a state is the set of trie
+    nodes a word's beginning may have led to, with the edits spent and, within a swap, the
+    letter that has to come next. Sets are numbered as they are met and their moves kept, so a
+    word costs one look-up a letter.
     """
 
     def __init__(self, terms: list[str]):
@@ -77,23 +80,25 @@ class Lexicon:
         self._moves: list[dict[str, int]] = []
         self._best: list[tuple[int, int] | None] = []
         self._words: dict[str, tuple[int, int] | None] = {}
-        self._start = self._number(self._spread({(0, 0)}))
+        self._start = self._number(self._spread({(0, 0, "")}))
 
-    def _spread(self, places: set[tuple[int, int]]) -> frozenset:
+    def _spread(self, places: set[tuple[int, int, str]]) -> frozenset:
         """Add what skipping letters of terms reaches, and stems that are complete."""
         todo = list(places)
         while todo:
-            node, spent = todo.pop()
+            node, spent, due = todo.pop()
+            if due:
+                continue
             for letter, child in self._children[node].items():
                 cost = 0 if letter == "*" else 1
-                after = (child, spent + cost)
+                after = (child, spent + cost, "")
                 if after not in places and spent + cost <= self._edits[child]:
                     places.add(after)
                     todo.append(after)
-        least: dict[int, int] = {}
-        for node, spent in places:
-            least[node] = min(spent, least.get(node, spent))
-        return frozenset(least.items())
+        least: dict[tuple[int, str], int] = {}
+        for node, spent, due in places:
+            least[node, due] = min(spent, least.get((node, due), spent))
+        return frozenset((node, spent, due) for (node, due), spent in least.items())
 
     def _number(self, places: frozenset) -> int:
         if places not in self._numbers:
@@ -102,24 +107,31 @@ class Lexicon:
             self._moves.append({})
             ends = [
                 (spent, self._term[n])
-                for n, spent in places
-                if self._term[n] >= 0 and spent <= allowed_edits(self.terms[self._term[n]].rstrip("*"))
+                for n, spent, due in places
+                if not due and self._term[n] >= 0 and spent <= allowed_edits(self.terms[self._term[n]].rstrip("*"))
             ]
             self._best.append(min(ends)[::-1] if ends else None)
         return self._numbers[places]
 
     def _move(self, state: int, letter: str) -> int:
-        after: set[tuple[int, int]] = set()
-        for node, spent in self._sets[state]:
+        after: set[tuple[int, int, str]] = set()
+        for node, spent, due in self._sets[state]:
+            if due:
+                if due == letter:
+                    after.add((node, spent, ""))
+                continue
             if self._stem[node]:
-                after.add((node, spent))
+                after.add((node, spent, ""))
                 continue
             if spent < self._edits[node]:
-                after.add((node, spent + 1))
+                after.add((node, spent + 1, ""))
             for other, child in self._children[node].items():
                 cost = spent + (other != letter)
                 if other != "*" and cost <= self._edits[child]:
-                    after.add((child, cost))
+                    after.add((child, cost, ""))
+                swapped = self._children[child].get(letter) if other not in ("*", letter) else None
+                if swapped is not None and spent < self._edits[swapped]:
+                    after.add((swapped, spent + 1, other))
         return self._number(self._spread(after))
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -256,9 +268,7 @@ def pick_terms(
         return shorter or (not term.endswith("*") and term in stems)
 
     own = [t for t in kept if strength[t] >= least and not covered(t)]
-    # The strongest come first should there be too many.
-    most = sorted(own, key=lambda t: (-strength[t], t))[:MAX_TERMS]
-    return {t: strength[t] for t in sorted(most)}
+    return {t: strength[t] for t in sorted(own)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
