@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest import TESTDATA
 from helpers import words_of
 from test_llm_packing import tokenizer  # noqa: F401 - a fixture
@@ -16,6 +17,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from wardbook.llm import mixing, ranking, secrets
 from wardbook.llm.queries import ORACLES, QUERIES
+from wardbook.llm.shared import staged
 
 SF = str(TESTDATA)
 
@@ -75,3 +77,62 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
     assert words_of(" a\tb ") == ["a", "b"]
+
+
+def odd_columns(spark, docs):
+    """Names with dots, blanks and back-ticks, nested and map columns, a text ``n_chars``."""
+    rows = docs.withColumns(
+        {
+            "meta.lang": F.lit("en"),
+            "a `b` c": F.lit(1.5),
+            "tags": F.array(F.lit("x"), F.lit(None).cast("string")),
+            "notes": F.create_map(F.lit("k"), F.col("source")),
+            "nested": F.struct(F.lit(1).alias("x.y"), F.lit("z").alias("doc_id")),
+            "n_chars": F.length("text").cast("string"),
+            "predicted": F.lit("mine"),
+            "first": F.lit(True),
+            "several": F.lit(False),
+            "rate": F.lit(2),
+            "row": F.lit(None).cast("binary"),
+        }
+    )
+    # A repeated row, a changed one under the same id, and texts that are null or empty.
+    again = rows.orderBy("doc_id").limit(1)
+    odd = [again, again.withColumn("a `b` c", F.lit(2.5))]
+    for doc_id, text in ((-1, None), (-2, ""), (None, "no number")):
+        odd.append(
+            again.withColumns({"doc_id": F.lit(doc_id).cast("long"), "text": F.lit(text).cast("string")})
+        )
+    for one in odd:
+        rows = rows.unionByName(one)
+    return rows
+
+
+def test_every_stage_takes_any_columns(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = staged(odd_columns(spark, given), "odd")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, rows, SF)
+        assert found.columns == rows.columns, name
+        assert found.dtypes == rows.dtypes, name
+        collected = found.collect()
+        assert collected, name
+        if name == "secret scan":
+            assert len(collected) == rows.count()
+            assert all(r.n_chars == str(len(r.text)) for r in collected if r.text is not None)
+        if name == "near duplicates":
+            ids = [r.doc_id for r in collected if r.doc_id is not None]
+            assert len(ids) == len(set(ids))
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() > 0
+
+
+def test_stages_in_a_row_on_odd_and_on_empty_tables(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for rows in (odd_columns(spark, given), odd_columns(spark, given.limit(0)).limit(0)):
+        rows = staged(rows, "odd")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = rows.columns
+            rows = staged(stage(spark, rows, SF), "stage")
+            assert rows.columns == columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
+        assert (packed.count() == 0) == (rows.count() == 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.llm.shared import count_words, staged
+from wardbook.llm.shared import count_words, quoted, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3.0
@@ -172,7 +172,7 @@ def emit(
     All columns stay, whatever their names.
     """
     plan = plan_sources(_sized(docs), weights, max_repeats, trials)
-    whole = F.struct(*docs.columns).alias("row")
+    whole = F.struct(*quoted(docs.columns)).alias("row")
     rows = docs.select(
         whole, "doc_id", "source", count_words(F.col("text")).alias("size")
     )

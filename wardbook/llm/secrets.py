@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardbook.llm import automaton as au
+from wardbook.llm.shared import numbered
 
 #: Bytes scanned at once, the memory bound of a task beside its Arrow batch.
 BLOCK = 2_000_000
@@ -216,20 +217,30 @@ def redacted(value: str, spans: list[tuple[str, int, int]]) -> str:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced, and ``n_chars`` counted anew.
 
-    All other columns stay. A null text stays null.
+    All other columns stay, and so does an ``n_chars`` that is neither a whole number nor text.
+    A null text stays null.
     """
 
+    def counted(kind: pa.DataType):
+        if pa.types.is_integer(kind):
+            return len
+        return (lambda text: str(len(text))) if pa.types.is_string(kind) else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(text).to_pylist()
             found = _found([t or "" for t in texts], rules)
             new = [t and redacted(t, s) for t, s in zip(texts, found, strict=True)]
             columns = {n: batch.column(n) for n in batch.schema.names}
-            columns["text"] = pa.array(new, batch.schema.field("text").type)
-            if "n_chars" in columns:
-                counts = [old if t is None else len(t) for t, old in
-                          zip(new, columns["n_chars"].to_pylist(), strict=True)]
-                columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
+            columns[text] = pa.array(new, batch.schema.field(text).type)
+            size = n_chars in columns and counted(batch.schema.field(n_chars).type)
+            if size:
+                counts = [old if t is None else size(t) for t, old in
+                          zip(new, columns[n_chars].to_pylist(), strict=True)]
+                columns[n_chars] = pa.array(counts, batch.schema.field(n_chars).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    places = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    text, n_chars = places["text"], places.get("n_chars")
+    plain = numbered(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

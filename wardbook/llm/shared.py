@@ -33,6 +33,19 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns of these names, whatever characters are in them."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with columns ``c0, c1, ...``: functions over batches take no odd names.
+
+    ``toDF`` gives the names back.
+    """
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def unused(name: str, taken: list[str]) -> str:
     """``name``, with underscores before it until no column in ``taken`` has it."""
     lower = {column.lower() for column in taken}

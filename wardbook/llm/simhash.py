@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.llm.components import component_labels
-from wardbook.llm.shared import staged, unused
+from wardbook.llm.shared import quoted, staged, unused
+from wardbook.operators.counts import has_rows
+from wardbook.operators.dedup import top_per_key
 from wardbook.operators.keyed import left_join_unique
 
 SHINGLE = 3
@@ -134,20 +136,22 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) ->
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group: that with the smallest ``doc_id``.
 
-    Rows repeated under that ``doc_id`` are dropped too, so one row of each group stays:
-    the first by all its columns. Groups without any ``doc_id`` stay whole.
+    Of rows repeated under that ``doc_id`` one stays, that with the least hash of all its
+    columns; only those are compared. Groups without any ``doc_id`` stay whole. The columns
+    may have any names and types.
     """
     found = groups(docs, shingle, max_bits)
-    first = (
-        found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    )
-    columns = docs.columns
-    mark = unused("first", columns)
-    kept = left_join_unique(
-        docs.where(F.col("doc_id").isNotNull()), first.withColumn(mark, F.lit(True)), ["doc_id"]
-    ).where(F.col(mark))
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("__row"))
-    nameless = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
-    spare = docs.where(F.col("doc_id").isNull()) if nameless.limit(1).count() else None
-    rows = one.select(*(F.col("__row")[c].alias(c) for c in columns))
-    return rows if spare is None else rows.unionByName(spare)
+    own = found.where(F.col("doc_id") == F.col("component_id"))
+    mark = unused("several", docs.columns)
+    first = staged(own.groupBy("doc_id").agg((F.count("*") > 1).alias(mark)), "first-ids")
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = left_join_unique(named, first, ["doc_id"])
+    columns = quoted(docs.columns)
+    rows = kept.where(~F.col(mark)).select(*columns)
+    if has_rows(first.where(F.col(mark))):
+        digest = F.xxhash64(F.to_json(F.struct(*columns)))
+        one = top_per_key(kept.where(F.col(mark)), ["doc_id"], [digest], 1)
+        rows = rows.unionByName(one.select(*columns))
+    if has_rows(found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())):
+        rows = rows.unionByName(docs.where(F.col("doc_id").isNull()))
+    return rows
