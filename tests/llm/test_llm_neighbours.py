@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from conftest import TESTDATA
+from pyspark.sql import functions as F
 
 from wardbook.llm import neighbours
 
@@ -76,3 +77,22 @@ def test_every_vector_is_indexed_and_lists_are_even():
     exact = neighbours._distances(rows, index.centroids).argmin(axis=1)
     assert np.mean(places[:, 0] == exact) >= 0.95
     assert np.bincount(places[:, 0], minlength=20).max() <= 250
+
+
+def test_recall_where_lists_are_many_and_small(spark):
+    """800 lists, of which a query reads a seventh at most; odd extra columns are not read."""
+    given = spark.read.parquet(f"{TESTDATA}/../sf0.1/embeddings.parquet").orderBy("vec_id")
+    base = np.array([r.embedding for r in given.collect()], dtype=float)
+    draw = np.random.default_rng(0)
+    rows = np.vstack([base, *(base + draw.normal(0, 0.3 * base.std(), base.shape) for _ in range(3))])
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+    frame = frame.repartition(8).withColumns({c: F.lit(1) for c in ("list", "rep", "score", "rank", "place")})
+    found = {}
+    for r in neighbours.search(frame, frame.where("vec_id % 50 = 0"), list_size=10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for query, near in found.items():
+        gaps = ((rows - rows[query]) ** 2).sum(axis=1)
+        gaps[query] = np.inf
+        hits += len(near & set(np.argsort(gaps, kind="stable")[:10].tolist()))
+    assert len(found) == 160 and hits / 1600 >= 0.93

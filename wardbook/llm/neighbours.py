@@ -24,9 +24,11 @@ MAX_LISTS = 8_192
 #: Lists a vector is written to at most, and how much farther than the nearest they may be.
 COPIES = 4
 COPY_RATIO = 1.15
-#: Lists a query reads at most, and how much farther than the nearest they may be.
+#: Lists a query reads at most: so many, or so many times the root of the number of lists where
+#: that is more; and how much farther than the nearest they may be.
 PROBES = 48
-PROBE_RATIO = 1.6
+PROBES_BY_ROOT = 4
+PROBE_RATIO = 2.0
 #: Vectors of one list that are compared in one task.
 PART = 4_000
 #: Neighbours of a centroid in the graph, and the beam that walks it.
@@ -238,7 +240,7 @@ def search(
     queries: DataFrame,
     k: int = 10,
     list_size: int = LIST_SIZE,
-    probes: int = PROBES,
+    probes: int | None = None,
     bound: int = SAMPLE,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query.
@@ -252,6 +254,8 @@ def search(
     answer. Centroids are fitted on at most ``bound`` vectors; every vector is then written to
     its nearest lists, those at a boundary to several. The index itself is bounded by
     ``MAX_LISTS``, so it may be broadcast; lists are split into parts of ``PART`` vectors.
+    A query reads more lists where there are more, up to the distance ratio. Other columns,
+    whatever their names, are not read.
 
     Rows that ``usable`` leaves out take no part. Empty tables give no rows.
     """
@@ -289,7 +293,8 @@ def search(
     ).select("query_id", "query", "vector")
     asking = staged(asking, "queries")
     once = asking.groupBy(F.col("query").alias("rep")).agg(F.first("vector").alias("vector"))
-    asked = _probe(once, index, sizes, probes, PROBE_RATIO, 4 * COPIES * (k + 1))
+    read = probes or max(PROBES, math.ceil(PROBES_BY_ROOT * math.sqrt(lists)))
+    asked = _probe(once, index, sizes, read, PROBE_RATIO, 4 * COPIES * (k + 1))
     table = spark.createDataFrame(
         pd.DataFrame({"list": np.arange(lists, dtype=np.int32), "parts": parts.astype(np.int32)})
     )
