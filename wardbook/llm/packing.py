@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.llm.shared import releasing
+
 MAX_LENGTH = 2048
 END_ID = 1
 # Words kept per worker process; the most memory a worker needs beside its batch.
@@ -144,7 +146,7 @@ def pack(
     schema = (
         f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, bucket int"
     )
-    packed = docs.select("doc_id", "text").mapInArrow(run, schema)
+    packed = docs.select("doc_id", "text").mapInArrow(releasing(run), schema)
     return packed.select(
         "*",
         F.monotonically_increasing_id().alias("sequence_id"),

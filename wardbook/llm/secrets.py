@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardbook.llm import automaton as au
-from wardbook.llm.shared import numbered
+from wardbook.llm.shared import numbered, releasing
 
 #: Bytes scanned at once, the memory bound of a task beside its Arrow batch.
 BLOCK = 2_000_000
@@ -243,4 +243,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     places = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     text, n_chars = places["text"], places.get("n_chars")
     plain = numbered(docs)
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(releasing(run), plain.schema).toDF(*docs.columns)

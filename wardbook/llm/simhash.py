@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.llm.components import component_labels
-from wardbook.llm.shared import quoted, staged, unused
+from wardbook.llm.shared import quoted, releasing, staged, unused
 from wardbook.operators.counts import has_rows
 from wardbook.operators.dedup import top_per_key
 from wardbook.operators.keyed import left_join_unique
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, fp long")
 
 
 def _ball(segment: int, part: Column, bits: int) -> Column:
