@@ -145,7 +145,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     mark = unused("several", docs.columns)
     first = staged(own.groupBy("doc_id").agg((F.count("*") > 1).alias(mark)), "first-ids")
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = left_join_unique(named, first, ["doc_id"])
+    # Never broadcast: the ids grow with the documents, and the plan stays the same at any size.
+    kept = left_join_unique(named, first.hint("merge"), ["doc_id"])
     columns = quoted(docs.columns)
     rows = kept.where(~F.col(mark)).select(*columns)
     if has_rows(first.where(F.col(mark))):
