@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ SHARD = 2_000_000
 ARRAY = 4_000_000
 #: Strings around one anchor, counted by block, that may meet in one task.
 HOT = 50_000
+#: Strings that a block sends at a time, but whole shards.
+PORTION = 50_000
 _MASK = np.uint64((1 << 24) - 1)
 _KEY_BITS = 39
 _FLAG = 1 << _KEY_BITS
@@ -142,48 +144,67 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def suffix_array(data: bytes, places: np.ndarray) -> np.ndarray:
-    """``places`` sorted by the suffixes of ``data`` that start there.
+def suffix_array(data: bytes, places: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """``places`` sorted by the suffixes of ``data`` that start there, or by their first ``depth`` bytes.
 
     Larsson and Sadakane's refinement: all suffixes get the rank of their first eight bytes;
     then groups of equal rank, and these alone, are sorted by the rank of what follows,
-    so that the depth that ranks tell apart doubles each round.
+    so that the depth that ranks tell apart doubles each round. With a ``depth``, of eight or more,
+    the last round ends there, and each round ranks only the suffixes that later ones ask for;
+    places that agree so far stand in any order.
     """
     n = len(data)
+    wanted = np.zeros(n, dtype=bool)
+    wanted[places] = True
+    needed, rounds = _rounds(wanted, depth)
     padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
-    head = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    order = np.argsort(head, kind="stable")
-    ranks = np.empty(n, dtype=np.int64)
-    sorted_head = head[order]
+    order = np.flatnonzero(needed)
+    head = np.ndarray((n,), ">u8", padded, 0, (1,))[order].astype(np.uint64)
+    first = np.argsort(head)
+    order, head = order[first], head[first]
+    slots = np.arange(len(order))
+    ranks = np.zeros(n, dtype=np.int64)
     # A group's rank is the place of its last member, as sorted groups keep theirs.
-    last = np.append(sorted_head[1:] != sorted_head[:-1], True)
-    top = np.flatnonzero(last)
-    ranks[order] = top[np.cumsum(np.append(0, last[:-1]))]
-    reach = 8
-    while True:
+    last = np.append(head[1:] != head[:-1], True)[: len(head)]
+    ranks[order] = np.flatnonzero(last)[np.cumsum(last) - last]
+    for step, later in rounds:
+        kept = later[order]
+        order, slots = order[kept], slots[kept]
         group = ranks[order]
-        alone = np.append(True, group[1:] != group[:-1]) & np.append(group[1:] != group[:-1], True)
-        open_places = np.flatnonzero(~alone)
+        new = group[1:] != group[:-1]
+        open_places = np.flatnonzero(~(np.append(True, new) & np.append(new, True)))
         if not len(open_places):
             break
-        members = order[open_places]
-        behind = members + reach
+        members, own = order[open_places], group[open_places]
+        behind = members + step
         # Suffixes that end before that are prefixes of the others; the shorter stands first.
         after = np.where(behind < n, ranks[np.minimum(behind, n - 1)], n - 1 - behind)
-        again = np.lexsort([after, group[open_places]])
-        members, after = members[again], after[again]
+        both = own * (4 * n) + after
+        again = np.argsort(both)
+        members, both = members[again], both[again]
         order[open_places] = members
-        own = group[open_places]
-        edge = np.append((own[1:] != own[:-1]) | (after[1:] != after[:-1]), True)
-        top = open_places[edge]
-        fresh = top[np.cumsum(np.append(0, edge[:-1]))]
-        ranks[members] = fresh
-        reach *= 2
-    wanted = np.zeros(n, dtype=bool)
-    wanted[places] = True
+        edge = np.append(both[1:] != both[:-1], True)
+        ranks[members] = slots[open_places[edge]][np.cumsum(edge) - edge]
     return order[wanted[order]]
 
 
+def _rounds(wanted: np.ndarray, depth: int | None) -> tuple[np.ndarray, Iterable[tuple[int, np.ndarray]]]:
+    """The suffixes to rank by eight bytes; then how far behind each round looks, and which it ranks."""
+    if depth is None:
+        every = np.ones_like(wanted)
+        return every, ((8 << k, every) for k in itertools.count())
+    steps, reach = [], 8
+    while reach < depth:
+        steps.append(min(reach, depth - reach))
+        reach += steps[-1]
+    needed = [wanted]
+    for step in reversed(steps):
+        earlier = needed[0].copy()
+        earlier[step:] |= needed[0][:-step]
+        needed.insert(0, earlier)
+    return needed[0], zip(steps, needed[1:], strict=True)
+
+
 def common_prefixes(
     data: bytes, order: np.ndarray, strings: tuple[np.ndarray, np.ndarray], most: int
 ) -> np.ndarray:
@@ -191,13 +212,13 @@ def common_prefixes(
 
     Kasai's rule, that a suffix shares at most one byte less than the suffix one place
     earlier, is walked for all strings at once: ``strings`` holds their first suffixes and
-    how many suffixes follow each other from there.
+    how many suffixes follow each other from there. ``order`` need only tell ``most`` bytes apart.
     """
     text = np.frombuffer(data + bytes(most), dtype=np.uint8)
     before = np.full(len(data) + 1, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    placed = np.zeros(len(data) + 2, dtype=bool)
-    placed[order] = True
+    placed = np.full(len(data) + 2, len(data))
+    placed[order] = np.arange(len(order))
     shared = np.zeros(len(data) + 1, dtype=np.int64)
     first, count = strings
     length = np.zeros(len(first), dtype=np.int64)
@@ -206,8 +227,8 @@ def common_prefixes(
         live = np.flatnonzero(count > step)
         own = first[live] + step
         other = before[own]
-        # The rule holds where the earlier suffix's neighbour has a next one in the order.
-        holds = (other >= 0) & (last[live] >= 0) & placed[last[live] + 1]
+        # The rule holds where the earlier suffix's neighbour has a next one before this in the order.
+        holds = (other >= 0) & (last[live] >= 0) & (placed[last[live] + 1] < placed[own])
         length[live] = np.where(holds, np.maximum(length[live] - 1, 0), 0)
         last[live] = other
         growing = live[other >= 0]
@@ -222,24 +243,35 @@ def common_prefixes(
 
 
 @dataclass
-class _Shard:
-    """Distinct windows of one suffix array in order, each with its smallest document."""
+class _Array:
+    """The windows of one suffix array: their places, in order, and which are the first of equals.
+
+    ``least`` has the smallest document of each different window.
+    """
 
-    windows: np.ndarray
+    data: bytes
+    order: np.ndarray
+    fresh: np.ndarray
     least: np.ndarray
 
+    def windows(self) -> np.ndarray:
+        return _windows_at(self.data, self.order[self.fresh])
+
 
-def _sorted_windows(data: bytes, first: np.ndarray, count: np.ndarray, docs: np.ndarray) -> _Shard:
+def _sorted_windows(data: bytes, first: np.ndarray, count: np.ndarray, docs: np.ndarray) -> _Array:
     """The windows of strings that start at ``first``, by suffix array and common prefixes."""
-    places = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+    places = _following(first, count)
     owner = np.zeros(len(data), dtype=np.int64)
     owner[places] = np.repeat(docs, count)
-    order = suffix_array(data, places)
-    shared = common_prefixes(data, order, (first, count), LENGTH)
-    fresh = np.append(True, shared[1:] < LENGTH) if len(order) else np.empty(0, dtype=bool)
-    heads = np.flatnonzero(fresh)
-    least = np.minimum.reduceat(owner[order], heads) if len(heads) else np.empty(0, dtype=np.int64)
-    return _Shard(_windows_at(data, order[heads]), least)
+    order = suffix_array(data, places, LENGTH)
+    fresh = common_prefixes(data, order, (first, count), LENGTH) < LENGTH
+    fresh[:1] = True
+    return _Array(data, order, fresh, np.minimum.reduceat(owner[order], np.flatnonzero(fresh)))
+
+
+def _following(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``first`` on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def _windows_at(data: bytes, places: np.ndarray) -> np.ndarray:
@@ -256,28 +288,28 @@ def earliest(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """
     sizes = np.array([len(s) for s in strings], dtype=np.int64)
     shard_of = (np.cumsum(sizes) - sizes) // ARRAY
-    shards, laid = [], []
-    for k in range(int(shard_of.max(initial=-1)) + 1):
-        own = np.flatnonzero(shard_of == k)
-        if len(own):
-            data = b"".join([strings[i] for i in own])
-            first = np.cumsum(sizes[own]) - sizes[own]
-            shards.append(_sorted_windows(data, first, sizes[own] - LENGTH + 1, docs[own]))
-            laid.append((own, data, first))
-    found: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(strings)
-    for own, data, first in laid:
-        count = sizes[own] - LENGTH + 1
-        places = np.repeat(first - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-        asked = _windows_at(data, places)
-        least = np.full(len(asked), np.iinfo(np.int64).max)
-        for shard in shards:
-            at = np.searchsorted(shard.windows, asked)
-            at[at == len(shard.windows)] = 0
-            same = shard.windows[at] == asked
-            least[same] = np.minimum(least[same], shard.least[at[same]])
-        for i, part in zip(own, np.split(least, np.cumsum(count)[:-1]), strict=True):
-            found[i] = part
-    return found
+    arrays, laid = [], []
+    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(shard_of)) + 1) if strings else []:
+        data = b"".join([strings[i] for i in own.tolist()])
+        first, count = np.cumsum(sizes[own]) - sizes[own], sizes[own] - LENGTH + 1
+        arrays.append(_sorted_windows(data, first, count, docs[own]))
+        laid.append(_following(first, count))
+    merged = [array.least.copy() for array in arrays]
+    for mine, theirs in itertools.combinations(range(len(arrays)), 2):
+        asked, known = arrays[mine].windows(), arrays[theirs].windows()
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        same = np.flatnonzero(known[at] == asked)
+        both = np.minimum(arrays[mine].least[same], arrays[theirs].least[at[same]])
+        merged[mine][same] = np.minimum(merged[mine][same], both)
+        merged[theirs][at[same]] = np.minimum(merged[theirs][at[same]], both)
+    found: list[np.ndarray] = []
+    for array, least, places in zip(arrays, merged, laid, strict=True):
+        by_place = np.empty(len(array.data), dtype=np.int64)
+        by_place[array.order] = least[np.cumsum(array.fresh) - 1]
+        found.append(by_place[places])
+    flat = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+    ends = np.cumsum(sizes - LENGTH + 1).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -466,47 +498,67 @@ def _sent(shards: int, anchors: int):
                 keys = _meeting(runs.hash, shards)
                 hit = np.flatnonzero(_among(keys, row["shared"], False) & (ids[runs.doc] != _RANKLESS))
                 # Smaller documents first, so the first of equal strings is the one to ask about.
-                place = (keys[hit] >> np.uint64(_KEY_BITS + 1)).astype(np.int64)
-                hit = hit[np.lexsort([ids[runs.doc[hit]], place])]
-                place.sort()
-                for own in np.split(hit, np.flatnonzero(np.diff(place)) + 1) if len(hit) else []:
-                    shard = int(keys[own[0]] >> np.uint64(_KEY_BITS + 1))
-                    strings: dict[bytes, tuple] = {}
-                    for start, count, offset, doc in zip(
-                        runs.start[own].tolist(),
-                        runs.count[own].tolist(),
-                        runs.offset[own].tolist(),
-                        ids[runs.doc[own]].tolist(),
-                        strict=True,
-                    ):
-                        string = data[start : start + count + LENGTH - 1]
-                        entry = strings.setdefault(string, (doc, offset, [], []))
-                        entry[2 if doc == entry[0] else 3].append(start)
-                    entries = list(strings.values())
-                    starts = [s for e in entries for s in e[2]]
-                    settled = [s for e in entries for s in e[3]]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": pa.array([shard], pa.int32()),
-                            "block": pa.array([row["block"]], pa.int64()),
-                            "strings": pa.array([squeeze.compress(b"".join(strings))], pa.binary()),
-                            "sizes": _column([len(s) for s in strings], np.uint8),
-                            "offsets": _column([e[1] for e in entries], np.uint8),
-                            "docs": _column([e[0] for e in entries], np.int64),
-                            "times": _column([len(e[2]) for e in entries], np.uint32),
-                            "starts": _column(starts, np.int64),
-                            "settled": _column(settled, np.int64),
-                            "counts": _column(
-                                [len(s) - LENGTH + 1 for s, e in strings.items() for _ in e[3]], np.uint8
-                            ),
-                        }
-                    )
+                shard = (keys[hit] >> np.uint64(_KEY_BITS + 1)).astype(np.int64)
+                order = np.lexsort([ids[runs.doc[hit]], shard])
+                hit, shard = hit[order], shard[order]
+                cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(hit)]
+                # Whole shards of a long text, some at a time.
+                some = np.flatnonzero(np.diff(cuts // PORTION)) + 1
+                for own in np.split(np.arange(len(hit)), cuts[some]) if len(hit) else []:
+                    yield _letter(row["block"], data, ids, runs, hit[own], shard[own], squeeze)
 
     return run
 
 
-def _column(numbers: list, kind: type) -> pa.Array:
-    return pa.array([np.array(numbers, dtype=kind).tobytes()], pa.binary())
+def _letter(
+    block: int,
+    data: bytes,
+    ids: np.ndarray,
+    runs: Runs,
+    hit: np.ndarray,
+    shard: np.ndarray,
+    squeeze: zstandard.ZstdCompressor,
+) -> pa.RecordBatch:
+    """What a block sends of some runs, a row per shard; runs are in order of shard and document."""
+    start, count, doc = runs.start[hit], runs.count[hit], ids[runs.doc[hit]]
+    numbers: dict[bytes, int] = {}
+    number = np.array(
+        [
+            numbers.setdefault(data[a:b], len(numbers))
+            for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)
+        ]
+    )
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+    asked = doc == doc[first][number]
+    mine, others = np.flatnonzero(asked), np.flatnonzero(~asked)
+    mine = mine[np.argsort(number[mine], kind="stable")]
+    shards = shard[np.append(True, shard[1:] != shard[:-1])]
+
+    def parted(values: np.ndarray, of: np.ndarray, kind: type) -> pa.Array:
+        """The values of each shard; ``of`` are their runs."""
+        packed = values.astype(kind)
+        edges = [*np.searchsorted(shard[of], shards).tolist(), len(of)]
+        return pa.array([packed[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+
+    distinct = list(numbers)
+    edges = [*np.searchsorted(shard[first], shards).tolist(), len(first)]
+    return pa.RecordBatch.from_pydict(
+        {
+            "shard": pa.array(shards.astype(np.int32)),
+            "block": pa.array([block] * len(shards), pa.int64()),
+            "strings": pa.array(
+                [squeeze.compress(b"".join(distinct[a:b])) for a, b in zip(edges, edges[1:], strict=False)],
+                pa.binary(),
+            ),
+            "sizes": parted(count[first] + LENGTH - 1, first, np.uint8),
+            "offsets": parted(runs.offset[hit][first], first, np.uint8),
+            "docs": parted(doc[first], first, np.int64),
+            "times": parted(np.bincount(number[mine], minlength=len(first)), first, np.uint32),
+            "starts": parted(start[mine], mine, np.int64),
+            "settled": parted(start[others], others, np.int64),
+            "counts": parted(count[others], others, np.uint8),
+        }
+    )
 
 
 _SENT = (
@@ -520,50 +572,69 @@ def _judged(group: pd.DataFrame) -> pd.DataFrame:
     rows = group.to_dict("records")
     opened = zstandard.ZstdDecompressor()
     strings: list[bytes] = []
-    offsets, docs, sources = [], [], []
-    for k, row in enumerate(rows):
-        sizes = np.frombuffer(row["sizes"], dtype=np.uint8).astype(np.int64)
-        data = opened.decompress(row["strings"], max_output_size=int(sizes.sum()) + 1)
-        ends = np.cumsum(sizes)
-        strings += [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        offsets.append(np.frombuffer(row["offsets"], dtype=np.uint8))
-        docs.append(np.frombuffer(row["docs"], dtype=np.int64))
-        sources.append(np.full(len(sizes), k))
-    doc, source = np.concatenate(docs), np.concatenate(sources)
-    least: dict[bytes, int] = {}
-    for string, own in zip(strings, doc.tolist(), strict=True):
-        if own < least.get(string, _RANKLESS):
-            least[string] = own
+    for row in rows:
+        ends = np.cumsum(np.frombuffer(row["sizes"], dtype=np.uint8), dtype=np.int64).tolist()
+        data = opened.decompress(row["strings"], max_output_size=ends[-1] + 1)
+        strings += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    length = _joined(rows, "sizes", np.uint8) - LENGTH + 1
+    doc, times = _joined(rows, "docs", np.int64), _joined(rows, "times", np.uint32)
+    starts = _joined(rows, "starts", np.int64)
+    source = np.repeat(np.arange(len(rows)), [len(row["sizes"]) for row in rows])
+    # Equal strings are settled by their numbers alone.
+    numbers: dict[bytes, int] = {}
+    number = np.array([numbers.setdefault(s, len(numbers)) for s in strings])
+    least = np.full(len(numbers), _RANKLESS)
+    np.minimum.at(least, number, doc)
     # Only strings that meet others at their anchor can share single windows with them.
-    kinds: dict[bytes, int] = defaultdict(int)
-    place = dict(zip(strings, np.concatenate(offsets).tolist(), strict=True))
-    for string, offset in place.items():
-        kinds[string[offset : offset + GRAM]] += 1
-    several = [s for s, o in place.items() if kinds[s[o : o + GRAM]] > 1]
-    windows = dict(zip(several, earliest(several, np.array([least[s] for s in several])), strict=True))
-    out: list[list[tuple[int, int]]] = [[] for _ in rows]
-    begin = [iter(np.frombuffer(r["starts"], dtype=np.int64).tolist()) for r in rows]
-    times = np.concatenate([np.frombuffer(r["times"], dtype=np.uint32) for r in rows]).tolist()
-    for string, own, k, n in zip(strings, doc.tolist(), source.tolist(), times, strict=True):
-        starts = [next(begin[k]) for _ in range(n)]
-        if least[string] < own:
-            out[k] += [(s, len(string) - LENGTH + 1) for s in starts]
-        elif string in windows:
-            gone = np.append(False, np.append(windows[string] < own, False)).astype(np.int8)
-            edge = np.diff(gone)
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                out[k] += [(s + int(a), int(b - a)) for s in starts]
+    offset = np.empty(len(numbers), dtype=np.int64)
+    offset[number] = _joined(rows, "offsets", np.uint8)
+    grams: dict[bytes, int] = {}
+    distinct = list(numbers)
+    gram = np.array(
+        [grams.setdefault(s[o : o + GRAM], len(grams)) for s, o in zip(distinct, offset.tolist(), strict=True)]
+    )
+    several = np.bincount(gram)[gram] > 1
+    met = np.flatnonzero(several)
+    found = earliest([distinct[i] for i in met.tolist()], least[met])
+    # Runs of windows to remove: of which string, from which window on, how many.
+    later = least[number] < doc
+    whole = np.flatnonzero(later)
+    part = np.flatnonzero(~later & several[number])
+    place = np.cumsum(several) - 1
+    # A window that stays parts each string from the next.
+    ends = np.cumsum(length[part] + 1)
+    gone = np.zeros(ends[-1] if len(ends) else 0, dtype=np.int8)
+    if len(part):
+        of_string = np.cumsum([len(f) for f in found])[place[number[part]]] - length[part]
+        gone[_following(ends - length[part] - 1, length[part])] = np.concatenate(found)[
+            _following(of_string, length[part])
+        ] < np.repeat(doc[part], length[part])
+    edges = np.diff(gone, prepend=np.int8(0))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    inside = np.searchsorted(ends, begin, side="right")
+    run_of = np.concatenate([whole, part[inside]])
+    run_at = np.concatenate([np.zeros_like(whole), begin - (ends - length[part] - 1)[inside]])
+    run_count = np.concatenate([length[whole], end - begin])
+    # Each stands wherever its block has the string.
+    copies = times[run_of]
+    at = starts[_following((np.cumsum(times) - times)[run_of], copies)] + np.repeat(run_at, copies)
+    removed = np.column_stack([at, np.repeat(run_count, copies)])
+    holder = np.repeat(source[run_of], copies)
+    order = np.argsort(holder, kind="stable")
+    removed, cuts = removed[order], np.searchsorted(holder[order], np.arange(1, len(rows)))
     result = []
-    for row, found in zip(rows, out, strict=True):
-        settled = np.frombuffer(row["settled"], dtype=np.int64)
-        counts = np.frombuffer(row["counts"], dtype=np.uint8).astype(np.int64)
-        own = np.array(found, dtype=np.int64).reshape(-1, 2)
-        whole = np.concatenate([own, np.column_stack([settled, counts])])
-        if len(whole):
-            result.append((row["block"], whole.astype("<i8").tobytes()))
+    for row, own in zip(rows, np.split(removed, cuts), strict=True):
+        settled = np.column_stack([_joined([row], "settled", np.int64), _joined([row], "counts", np.uint8)])
+        if len(own) + len(settled):
+            result.append((row["block"], np.concatenate([own, settled]).astype("<i8").tobytes()))
     return pd.DataFrame(result, columns=["block", "gone"]).astype({"block": "int64"})
 
 
+def _joined(rows: list[dict], column: str, kind: type) -> np.ndarray:
+    """The numbers that blocks packed into a column, of all rows."""
+    return np.frombuffer(b"".join([row[column] for row in rows]), dtype=kind).astype(np.int64)
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document without the bytes that its block's removed windows cover."""
     for batch in batches:
