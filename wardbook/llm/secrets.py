@@ -62,15 +62,14 @@ _NAME = au.alt(
     au.seq(au.text("api", True), au.maybe(au.one_of("_")), au.text("key", True)),
 )
 _LETTERS = au.span("AZ", "az", "09", more="_-")
-
 # A key's body: up to its END line, with any plain characters but no other marker between. Where
 # that line is missing, its headers, long runs of base64 and short ones that fill their line or
 # end the text; line breaks may be written out or lost.
 _GAP = rb"""(?:[\s"',>#*|]|\\[nrt]?)"""
 _KEY_BODY = re.compile(
     rb"""
-    (?:(?!-----)[\t-\r\x20-\x7e])*+ -----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY-----
-    | (?:GAP*+ (?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++)*+
+    (?:(?!-----)[\t-\r\x20-\x7e])*+ -----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?+-----
+    | (?:GAP*+ (?:(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++ | (?:Version|Comment|Charset):[^\n\r\\\xff]*+))*+
       (?:
         GAP*+ [A-Za-z0-9+/=]{16,}+
         | (?:(?!\n|\\n)GAP)*+ (?:\n|\\n) GAP*+ [A-Za-z0-9+/=]++ (?=[\t\x20]*+(?:[\r\n\\"'<\xff]|\Z))
@@ -103,10 +102,26 @@ RULES = (
     Rule(
         "private_key",
         au.seq(
-            au.text("-----BEGIN "), au.any_number(au.span("AZ", more=" ")), au.text("PRIVATE KEY-----")
+            au.text("-----BEGIN "),
+            au.any_number(au.span("AZ", more=" ")),
+            au.text("PRIVATE KEY"),
+            au.maybe(au.text(" BLOCK")),
+            au.text("-----"),
         ),
         tail=_KEY_BODY,
     ),
+    # One rule for two services: each run that may be open beside the others doubles the states.
+    Rule(
+        "service",
+        au.seq(
+            au.alt(
+                au.text("github_pat_"),
+                au.seq(au.one_of("sr"), au.text("k_"), au.alt(au.text("live"), au.text("test")), au.text("_")),
+            ),
+            au.some(au.span("AZ", "az", "09", more="_")),
+        ),
+        _longer(24),
+    ),
 )
 BASE = ("assign", "access", "hex")
 
