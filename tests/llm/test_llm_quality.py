@@ -115,3 +115,39 @@ def test_ranking_odd_rows(spark):
     assert [r["_score"] for r in scored.collect()] == pytest.approx([ranking.CUT] * len(rows))
     assert ranking.rate(no_documents(spark), labels).count() == 0
     assert ranking.keep_accepted(docs, labels).columns == docs.columns
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("quality")).where("doc_id < 29000")
+    learned = labels.where(~learning.held_out(F.col("doc_id")))
+    assert learned.count() > 20_000
+    found = learning.labelled_rows(docs, labels, "quality").select("doc_id", "label")
+    assert found.exceptAll(learned).count() == learned.exceptAll(found).count() == 0
+    # Every row is in a pair, and no pair is there twice.
+    rows = found.select(
+        "doc_id", "label", F.array((F.col("doc_id") * F.when(F.col("label") == 1, 10**6).otherwise(-1)).cast("double")).alias("features")
+    )
+    counts = dict(rows.groupBy("label").count().collect())
+    gaps = [int(r.features[0]) for r in ranking.pairs_of(rows, counts, 1).collect()]
+    assert len(gaps) == len(set(gaps)) == ranking.ROUNDS * max(counts.values())
+    assert {g // 10**6 for g in gaps} | {g % 10**6 for g in gaps} == {r.doc_id for r in learned.collect()}
+
+
+def test_weights_and_moments_of_a_table(spark):
+    draw = np.random.default_rng(3)
+    rows = draw.normal(size=(20_000, 3)) * [1, 0.01, 30] + [0, 5, 1]
+    marks = (rows @ [1, 20, 0.02] + draw.normal(size=len(rows)) > 100).astype(int)
+    frame = spark.createDataFrame([(int(m), r.tolist()) for m, r in zip(marks, rows, strict=True)], "target int, features array<double>")
+    mean, spread = learning.moments(frame, 3)
+    assert np.allclose(mean, rows.mean(axis=0), rtol=1e-3, atol=1e-4) and np.allclose(spread, rows.std(axis=0), rtol=1e-2)
+    weights = learning.logistic(frame, 3)
+    chance = 1 / (1 + np.exp(-rows @ weights))
+    assert np.abs(rows.T @ (chance - marks) / len(rows) + 1e-3 * weights).max() < 1e-2
+    again = learning.logistic(frame.orderBy(F.rand(1)).repartition(5), 3)
+    assert weights.tolist() == again.tolist()
+
+
+def test_the_cut_has_the_fewest_rows_on_the_wrong_side():
+    assert ranking.best_cut([(3, 5, 1), (5, 1, 4), (9, 0, 2)])[0] == 4.5
+    assert ranking.best_cut([(7, 0, 3)])[0] == 7 and ranking.best_cut([(7, 3, 0)])[0] == 8

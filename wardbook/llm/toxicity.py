@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.llm.learning import SAMPLE, held_out, labelled_sample, logistic
+from wardbook.llm.learning import held_out, labelled_rows, logistic
 from wardbook.llm.shared import staged
 
 CUT = 0.5
@@ -271,17 +271,17 @@ def pick_terms(
     return {t: strength[t] for t in sorted(own)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """The lexicon from a bounded labelled sample, the weights by halves of it.
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The lexicon from all labelled documents, the weights by halves of them.
 
     The weights are fitted to what each half's texts show under the lexicon of the other
     half, so a term's chance finds do not count for it. Texts are counted once each. Terms
     are counted on the executors; the driver gets those that three or more toxic texts
-    and few clean ones share, a number the sample bounds.
+    and few clean ones share and that are no chance finds.
     """
-    texts = labelled_sample(docs, labels, "toxic", bound).select("text", "label").distinct()
+    texts = labelled_rows(docs, labels, "toxic").select("text", "label").distinct()
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
-    sample = staged(texts.withColumn("half", half), "toxicity-sample")
+    rows = staged(texts.withColumn("half", half), "toxicity-texts")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,18 +300,28 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
         F.sum(label * second).alias("toxic1"),
         F.sum((1 - label) * second).alias("clean1"),
     )
-    whole = [v or 0 for v in sample.agg(*sums).first()]
+    whole = [v or 0 for v in rows.agg(*sums).first()]
     toxic, clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
     rate = (whole[0] + whole[2] + 1) / (whole[1] + whole[3] + 1)
     common = staged(
-        sample.mapInArrow(terms, "term string, label int, half int")
+        rows.mapInArrow(terms, "term string, label int, half int")
         .groupBy("term")
         .agg(*sums)
         .where(toxic >= 3),
         "toxicity-terms",
     )
     least = chance_strength(common.count())
-    counts = common.where(toxic + 0.5 >= 10 * rate * (clean + 0.5)).collect()
+    # The strength of ``pick_terms``, with room for a rounding.
+    strengths_of = [
+        F.when(t > 0, 2 * t * F.ln(t / (t + c) / (max(a, 1) / max(a + b, 1))))
+        for t, c, a, b in (
+            (F.col("toxic0"), F.col("clean0"), whole[0], whole[1]),
+            (F.col("toxic1"), F.col("clean1"), whole[2], whole[3]),
+            (toxic, clean, whole[0] + whole[2], whole[1] + whole[3]),
+        )
+    ]
+    strong = F.greatest(*strengths_of) >= least**2 - 1e-6
+    counts = common.where((toxic + 0.5 >= 10 * rate * (clean + 0.5)) & strong).collect()
     halves = [
         pick_terms([(r.term, r[1 + i], r[2 + i]) for r in counts], whole[i], whole[i + 1], least)
         for i in (0, 2)
@@ -335,21 +345,19 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
                         batch.column("label").filter(pa.array(own == i)),
                         pa.array(rows, pa.list_(pa.float64())),
                     ],
-                    names=["label", "measures"],
+                    names=["target", "features"],
                 )
 
-    found = sample.mapInArrow(measure, "label int, measures array<double>").collect()
-    rows = np.array([r.measures for r in found], dtype=np.float64).reshape(-1, WIDTH)
-    marks = np.array([r.label for r in found], dtype=np.float64)
     terms_kept, strengths = tuple(picked), tuple(picked.values())
-    if not len(marks):
+    if not sum(whole):
         return Model(terms_kept, strengths, (-1.0, *(0.0,) * (WIDTH - 1)))
-    # The weights must not depend on the order in which tasks end.
-    order = np.lexsort([*rows.T, marks])
-    return Model(terms_kept, strengths, tuple(map(float, logistic(rows[order], marks[order]))))
+    measured = staged(
+        rows.mapInArrow(measure, "target int, features array<double>"), "toxicity-measures"
+    )
+    return Model(terms_kept, strengths, tuple(map(float, logistic(measured, WIDTH))))
 
 
-def rate(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document, over whole texts.
 
     Words match the lexicon as they are or with one edit. A hit within quotation marks, or near a
@@ -357,7 +365,7 @@ def rate(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     are learned. A null text scores like an empty one; every row gives a row, and an empty
     table an empty one. Without usable labels no text is toxic.
     """
-    model = learn(docs, labels, bound)
+    model = learn(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
