@@ -54,7 +54,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def _landed(spark: SparkSession, rows: DataFrame, label: str) -> str:
     path = shared_folder(spark, label)
-    land(rows, path)
+    land(rows, path, compressed=True)
     return path
 
 

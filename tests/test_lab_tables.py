@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 from pathlib import Path
 
-from conftest import rows_of
+from conftest import TESTDATA, rows_of
 from pyspark.sql import functions as F
 from test_folders import landing, put  # noqa: F401 - landing is a fixture
 
+from catalog import folder_queries
+from catalog.registry import QUERIES
 from wardbook import jobs, schemas
 from wardbook.plans.lab_loop import reports_of, request_queue
+from wardbook.sinks.landing import land
 from wardbook.sinks.table import write_batch
+from wardbook.sources.documents import scan_lab_reports
+from wardbook.sources.inventory import folder_files
 from wardbook.streaming.ingest import committed_rows, quarantine_of, quarantined_rows
 from wardbook.streaming.lab import LOOKUPS, ingest_lab, scan_lab
 
@@ -99,3 +105,35 @@ def test_a_lookup_skips_row_groups(spark, folder, conf):
     assert [r.report_id for r in one.collect()] == ["R4321"]
     assert scanned_rows(one) < 20_000
     assert rows_of(request_queue(spark.createDataFrame([], schemas.LAB_REQUEST), found)) == []
+
+
+def test_compressed_files_land_and_are_found(spark, landing, folder):  # noqa: F811
+    rows = spark.range(3000).selectExpr(
+        "concat('R', id) report_id", "concat('P', id % 7) patient_id", "'Blood' report_type", "'2026-03-01' date",
+        "string(null) file_path", "array(struct('Iron' test_name, string(id) value, '1' normal_range, 'HIGH' status)) lab_tests",
+        "string(null) request_id",
+    )
+    path, plain = str(landing), folder("plain")
+    land(rows.coalesce(1), path, compressed=True)
+    land(rows.coalesce(1), plain)
+    size = {p: sum(f.stat().st_size for f in Path(p).glob("*.json*")) for p in (path, plain)}
+    assert size[path] < size[plain] / 5
+    put(landing, "more.json", report(5000))
+    (landing / "whole.json.gz").write_bytes(gzip.compress(json.dumps(report(5001), indent=2).encode()))
+    (landing / "bad.json.gz").write_bytes(gzip.compress(b'{"report_id": "R1\n'))
+    (landing / "none.json.gz").write_bytes(b"")
+    for layout, found in (("lines", 3000), ("auto", 3002)):
+        assert scan_lab_reports(spark, path, layout).where("report_id is not null").count() == found
+    files = {r.file_name: (r.records, r.damaged) for r in folder_files(spark, "lab", path, schemas.LAB_REPORT).collect()}
+    assert files["bad.json.gz"] == (0, 1) and files["none.json.gz"] == (0, 0) and len(files) == 5
+    table = folder("reports")
+    ingest_lab(spark, "reports", path, table, folder("checkpoint")).awaitTermination()
+    assert scan_lab(spark, "reports", table).count() == 3002
+
+
+def test_queries_land_compressed_files(spark, conf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(folder_queries, "land", lambda rows, path, **how: (seen.append(how), land(rows, path, **how)))
+    for name in ("land_lab_reports",):
+        QUERIES[name](spark, str(TESTDATA))
+    assert len(seen) == 1 and all(how["compressed"] for how in seen)

@@ -26,9 +26,12 @@ CORRUPT = "_corrupt_record"
 # Not a name that a document's field has.
 FILE = "_file_path"
 LAYOUTS = ("auto", "document", "lines")
-DOCUMENT_FILES = "*.json"
+#: Plain and compressed files.
+DOCUMENT_FILES = "*{.json,.json.gz}"
 #: Bytes of the largest file that may be one document; a cell takes no more than twice that.
 LARGEST_DOCUMENT = 2**30
+#: The same of a compressed file, which holds up to 1,032 times its bytes.
+LARGEST_PACKED = LARGEST_DOCUMENT // 1032
 
 
 def reader_options(whole: bool = False, files: str = DOCUMENT_FILES) -> dict[str, str]:
@@ -75,14 +78,15 @@ def whole_documents(spark: SparkSession, suspects: DataFrame) -> list[str]:
     names = [r[FILE] for r in suspects.select(FILE).distinct().collect()]
     if not names:
         return []
-    place = F.col("_metadata.file_path").alias(FILE)
-    sized = spark.read.format("binaryFile").load(as_paths(names)).where(F.col("length") <= LARGEST_DOCUMENT)
-    small = [r[FILE] for r in sized.select(place).collect()]
+    place = F.col("_metadata.file_path")
+    most = F.when(place.endswith(".gz"), LARGEST_PACKED).otherwise(LARGEST_DOCUMENT)
+    sized = spark.read.format("binaryFile").load(as_paths(names)).where(F.col("length") <= most)
+    small = [r[FILE] for r in sized.select(place.alias(FILE)).collect()]
     if not small:
         return []
     texts = spark.read.text(as_paths(small), wholetext=True)
     one = texts.where(parsed_object(F.col("value")).isNotNull())
-    return [r[FILE] for r in one.select(place).collect()]
+    return [r[FILE] for r in one.select(place.alias(FILE)).collect()]
 
 
 def _lines(

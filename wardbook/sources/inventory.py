@@ -39,7 +39,8 @@ def folder_files(
         .agg(F.count_if(~is_damaged()).alias("records"), F.count_if(is_damaged()).alias("damaged"))
     )
     found = _named(area, listing(spark, path, files), counts)
-    empty = Folder(spark, path).empty_files(files.removeprefix("*"))
+    endings = files.removeprefix("*").strip("{}").split(",")
+    empty = [name for ending in endings for name in Folder(spark, path).empty_files(ending)]
     if not empty:
         return found
     none = spark.createDataFrame([(area, name, 0, 0, 0) for name in empty], found.schema)
