@@ -442,7 +442,7 @@ def _lab_table(spark: SparkSession, kind: str, *arrivals: DataFrame) -> str:
     table, checkpoint = shared_folder(spark, kind), shared_folder(spark, "checkpoint")
     landing = shared_folder(spark, "landing")
     for rows in arrivals:
-        land(rows, landing)
+        land(rows, landing, compressed=True)
         ingest_lab(spark, kind, landing, table, checkpoint).awaitTermination()
         for file in Folder(spark, landing).children():
             Folder(spark, file).delete()

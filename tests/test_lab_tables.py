@@ -134,6 +134,6 @@ def test_compressed_files_land_and_are_found(spark, landing, folder):  # noqa: F
 def test_queries_land_compressed_files(spark, conf, monkeypatch):
     seen = []
     monkeypatch.setattr(folder_queries, "land", lambda rows, path, **how: (seen.append(how), land(rows, path, **how)))
-    for name in ("land_lab_reports",):
+    for name in ("land_lab_reports", "completed_for_good", "patient_reports_table"):
         QUERIES[name](spark, str(TESTDATA))
-    assert len(seen) == 1 and all(how["compressed"] for how in seen)
+    assert len(seen) == 5 and all(how["compressed"] for how in seen)
