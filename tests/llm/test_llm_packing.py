@@ -61,6 +61,49 @@ def test_full_cache_is_emptied(monkeypatch, tokenizer):
             assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer(text)
 
 
+def test_a_word_is_parted_once_a_call(monkeypatch, tokenizer):
+    parted = []
+    rule = packing._PARTS
+
+    class Counting:
+        def findall(self, text):
+            parted.append(text)
+            return rule.findall(text)
+
+    monkeypatch.setattr(packing, "_PARTS", Counting())
+    words = packing.WordTokenizer(tokenizer_path())
+    texts = ["it's done, it's done.\n" * 500, "", "\u2026 can't! " * 500, "it's done, can't!"]
+    for text, ids in zip(texts, words.ids(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer(text)
+    assert sum(map(len, parted)) <= len("it's done, done. can't!")
+
+
+def test_only_words_with_odd_characters_go_through_whole(tokenizer):
+    sent = []
+    words = packing.WordTokenizer(tokenizer_path())
+    whole = words._whole
+
+    class Listening:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    words._whole = Listening()
+    text = "Plain words, \u201cquoted\u201d ones\x0band\x0cmore."
+    [ids] = words.ids([text])
+    assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer(text)
+    assert sent == ["\u201cquoted\u201d"]
+
+
+def test_long_words_are_not_kept(tokenizer):
+    texts = ["ACGT" * 500, "acgt" * 500 + " a", "日本" * 500, "x," * 500 + "ACGT" * 500, "acgt" * 500]
+    words = packing.WordTokenizer(tokenizer_path())
+    for _ in range(2):
+        for text, ids in zip(texts, words.ids(texts), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer(text)
+    assert max(map(len, words._ids)) <= 32
+
+
 def test_lengths():
     assert packing.pieces(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
     assert packing.pieces(2048, 2048) == [2048]

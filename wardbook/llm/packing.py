@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +19,29 @@ MAX_LENGTH = 2048
 END_ID = 1
 # Words kept per worker process; the most memory a worker needs beside its batch.
 CACHE_WORDS = 1_000_000
-# Documents of one call of the tokenizer, by characters.
-CHUNK_CHARS = 2_000_000
+# Longer ones seldom come again, and could be of any length where a text has no blanks.
+CACHE_WORD_CHARS = 32
+# New words looked at together: few enough to stay in a core's own memory.
+GROUP_WORDS = 2_000
+# Documents of one call of the tokenizer, by bytes: the longer, the oftener a word repeats.
+CHUNK_BYTES = 4_000_000
 
 # Fixed value: how the tokenizer parts words.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Below U+0130 no character changes under NFC and every letter has a one-letter lower case.
 # The separators in between are white space to some libraries only.
-_ODD = re.compile("[\x1c-\x1f\x85\u0130-\U0010ffff]")
-_BLANK = re.compile("[ \t\n\r]+")
+_ODD_FROM = 0x130
+_ODD = re.compile(f"[\x1c-\x1f\x85{chr(_ODD_FROM)}-\U0010ffff]")
 
 
 class WordTokenizer:
     """Ids of texts by a lower-casing tokenizer that drops white space.
 
-    Texts of plain characters are lower-cased and parted here, by the tokenizer's own rule,
-    and repeated parts are looked up. Of other texts the words between blanks are looked up
-    whole: the tokenizer never joins characters across white space.
+    It never joins characters across white space, so each different word between blanks is
+    looked up once a call, and the texts are put together from the ids of their words. New
+    words of plain characters are lower-cased and parted here, by the tokenizer's own rule;
+    a part has the ids of the word that is just this part. Other words go through the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -42,32 +49,64 @@ class WordTokenizer:
 
         self._whole = Tokenizer.from_file(path)
         self._whole.encode_special_tokens = True
-        # The same model for parts that are normal already.
-        self._part = Tokenizer(self._whole.model)
-        self._part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The same model for parts that are normal already, and how it writes their bytes.
+        self._model = self._whole.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._written = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(_ODD_FROM)}
         self._ids: dict[str, bytes] = {}
-        # Words with odd characters, and their ids.
-        self._odd: dict[str, bytes] = {}
-
-    def _look_up(self, words: list[list[str]], known: dict[str, bytes], tokenizer) -> list[bytes]:
-        new = list(set().union(*words) - known.keys())
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-        return [b"".join([known[w] for w in own]) for own in words]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        tokenize, blank = self._model.tokenize, self._written[ord(" ")]
+        # No part holds a blank.
+        written = " ".join(parts).translate(self._written).split(blank) if parts else []
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in written]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        found = self._whole.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        known = self._ids
+        plain: dict[str, list[str]] = {}
+        odd = []
+        for word in words:
+            if _ODD.search(word):
+                odd.append(word)
+            else:
+                low = word.lower()
+                plain[word] = [low] if low.isalpha() else _PARTS.findall(low)
+        parts = [p for p in set().union(*plain.values()) if p not in known]
+        known.update(zip(parts, self._of_parts(parts), strict=True))
+        known.update((w, b"".join([known[p] for p in own])) for w, own in plain.items())
+        known.update(zip(odd, self._of_words(odd), strict=True))
+        found = [known[w] for w in words]
+        for word in (*parts, *words):
+            if len(word) > CACHE_WORD_CHARS:
+                known.pop(word, None)
+        return found
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self._ids.get, words))
+        places = [i for i, ids in enumerate(found) if ids is None]
+        if len(self._ids) + len(places) > CACHE_WORDS:
+            self._ids.clear()
+        for at in range(0, len(places), GROUP_WORDS):
+            group = places[at : at + GROUP_WORDS]
+            for i, ids in zip(group, self._learn([words[i] for i in group]), strict=True):
+                found[i] = ids
+        return found
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Unsigned 32-bit ids of each text."""
-        odd = [bool(_ODD.search(t)) for t in texts]
-        plain = [_PARTS.findall(t.lower()) for t, o in zip(texts, odd, strict=True) if not o]
-        other = [_BLANK.split(t) for t, o in zip(texts, odd, strict=True) if o]
-        first = iter(self._look_up(plain, self._ids, self._part))
-        second = iter(self._look_up(other, self._odd, self._whole))
-        return [next(second if o else first) for o in odd]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(texts)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype="i8")
+        words = split.flatten().dictionary_encode()
+        known = self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = pa.array(known, pa.large_binary()).take(words.indices)
+        own = pa.LargeListArray.from_arrays(np.append(0, ends), found)
+        return pc.binary_join(own, pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -86,15 +125,15 @@ def pieces(n: int, max_length: int) -> list[int]:
     return [max_length] * whole + bits
 
 
-def _chunks(texts: list[str]) -> Iterator[slice]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK_CHARS:
+def _chunks(sizes: list[int]) -> Iterator[slice]:
+    start = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= CHUNK_BYTES:
             yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def pack(
@@ -124,10 +163,10 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _tokenizer(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").fill_null("")
             keys = batch.column("doc_id").to_pylist()
             kind = batch.schema.field("doc_id").type
-            for chunk in _chunks(texts):
+            for chunk in _chunks(pc.binary_length(texts).to_pylist()):
                 rows: tuple[list, ...] = ([], [], [], [], [], [])
                 for key, found in zip(keys[chunk], words.ids(texts[chunk]), strict=True):
                     ids, start = found + end, 0
