@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
 import numpy as np
 from conftest import TESTDATA
@@ -81,6 +84,81 @@ def test_full_caches_are_emptied(monkeypatch):
     assert [lexicon.match(w) for w in words] == [plain_match(w, lexicon.terms) for w in words]
 
 
+def test_many_words_against_many_terms():
+    """Words that hardly repeat, against terms that may be misspelled in two places."""
+    draw = random.Random(5)
+    made = ["".join(draw.choices("etaoinshrdlu", k=draw.randrange(8, 12))) for _ in range(30_000)]
+    made = list(dict.fromkeys(made))
+    lexicon = toxicity.Lexicon(made[:2000])
+    began = time.process_time()
+    for i in range(0, len(made), 2000):
+        toxicity.measures(" ".join(made[i : i + 2000]), lexicon, np.ones(2000))
+    # A second or so; walking all of them letter by letter took more than a minute.
+    assert time.process_time() - began < 15
+    for word in made[:5] + made[-10:]:
+        assert lexicon.match(word) == plain_match(word, lexicon.terms), word
+
+
+def test_long_terms_and_stems():
+    draw = random.Random(7)
+    terms = ["".join(draw.choices("abcd", k=k)) for k in (15, 16, 17, 18, 24)]
+    terms += ["".join(draw.choices("abcd", k=k)) + "*" for k in (9, 10, 11, 12, 17)]
+    longest = "".join(draw.choices("abcd", k=1200))
+    lexicon = toxicity.Lexicon([*terms, longest])
+    words = []
+    for _ in range(150):
+        word = list(draw.choice(terms).rstrip("*"))
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(word))
+            word[at : at + 2] = draw.choice([word[at : at + 2][::-1], [], ["a"], ["b", *word[at : at + 2]]])
+        words.append("".join(word) + draw.choice(["", "", "ab"]))
+    found = lexicon.read(toxicity._code_points(" ".join(words)))
+    own = [None if t < 0 else (t, e) for t, e in zip(found.term.tolist(), found.edits.tolist(), strict=True)]
+    assert own == [plain_match(word, terms) for word in words]
+    assert lexicon.match(longest) == (len(terms), 0)
+    assert lexicon.match(longest[:700] + longest[702:]) == (len(terms), 2)
+    assert lexicon.match(longest[:500] + "x" + longest[500:700] + longest[702:]) is None
+
+
+def plain_measures(text, lexicon, strengths):
+    """The measures word by word."""
+    lowered = text.lower()
+    words, spans = re.findall(r"\w+", lowered), [m.span() for m in re.finditer(r"\w+", lowered)]
+    abuse = misspelled = quoted = address = 0
+    best, total = [0.0, 0.0], 0.0
+    for i, hit in enumerate(map(lexicon.match, words)):
+        if not hit:
+            continue
+        low, high = max(0, i - toxicity.WINDOW), min(len(words), i + toxicity.WINDOW + 1)
+        near = set(words[low:i] + words[i + 1 : high])
+        sides = lowered[spans[low][0] : spans[i][0]], lowered[spans[i][1] : spans[high - 1][1]]
+        strength = float(strengths[hit[0]])
+        if near & toxicity.REPORTING or all(set(side) & set("\"“”„«»‘‹›") for side in sides):
+            quoted += 1
+        elif hit[1]:
+            misspelled, best[1] = misspelled + 1, max(best[1], strength)
+        else:
+            abuse, total, best[0] = abuse + 1, total + strength, max(best[0], strength)
+        address += bool(near & toxicity.ADDRESS)
+    logs = [math.log1p(x) for x in (abuse, misspelled, quoted, address, total, abuse + misspelled)]
+    flags = min(abuse, 1.0), min(misspelled, 1.0)
+    share = 1 + math.log1p(len(words))
+    return [1.0, flags[0], logs[0], best[0] / 4, flags[1], logs[1], best[1] / 4, *logs[2:5], 10 * logs[5] / share]
+
+
+def test_texts_are_measured_alike_alone_and_together():
+    draw = random.Random(11)
+    lexicon, strengths = toxicity.Lexicon(["idiot", "disgusting", "scu*", "insulto"]), np.array([4.0, 3.3, 2.7, 1.1])
+    bits = ["idiot", "id1ot", "DISGUSTING", "disgutsing", "scums", "insulto", "you", "said", "\"", "“", "»", "the", "a_b"]
+    bits += ["house,", "İdiot", "ΟΔΟΣ", "\x85", "日本", "\U0001f600", "x" * 1500, "-"]
+    texts = ["".join(x + draw.choice([" ", " ", "\n", "-", ""]) for x in draw.choices(bits, k=draw.randrange(40)))
+             for _ in range(400)]
+    texts += ["", " ", "idiot", "\"idiot\"", "\"a idiot b\" c"]
+    plain = [plain_measures(t, lexicon, strengths) for t in texts]
+    assert toxicity._measures(texts, lexicon, strengths) == plain
+    assert [toxicity.measures(t, lexicon, strengths) for t in texts] == plain
+
+
 def test_quotation_is_told_from_abuse():
     lexicon, strengths = toxicity.Lexicon(["idiot"]), np.array([4.0])
     abuse = toxicity.measures("you are an idiot indeed", lexicon, strengths)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +23,20 @@ CUT = 0.5
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 8
 STEM_LENGTHS = range(3, 9)
-#: Words and automaton states a worker process remembers.
-CACHE_WORDS = 300_000
-CACHE_STATES = 50_000
+#: Words a worker process remembers; letters of texts it looks at at once.
+CACHE_WORDS = 2_000_000
+CHUNK_LETTERS = 4_000_000
+#: Longer terms, and stems, are looked up by so many first letters.
+LONG = 16
+HEAD = 10
+_WORDS_AT_ONCE = 8192
+_LETTERS_AT_ONCE = 1_000_000
+_BITS_A_KEY = 128
+_NONE = 1 << 62
+#: Longer words are told apart by a digest.
+_HASHED = 1000
 _WORD = re.compile(r"\w+")
-_QUOTES = re.compile("[\"“”„«»‘‹›]")
+_QUOTES = "\"“”„«»‘‹›"
 
 # Words of four languages that report speech, and that address someone.
 REPORTING = frozenset(
@@ -32,6 +45,8 @@ REPORTING = frozenset(
     "insulto".split()
 )
 ADDRESS = frozenset("you your yours du dich dein dir tu te toi vous votre tú ti usted vosotros".split())
+#: What a word may be in a text, as bits.
+REPORTS, ADDRESSES = 1, 2
 
 
 def allowed_edits(term: str) -> int:
@@ -42,150 +57,359 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
 
 
+_BASE = 0xC2B2AE3D27D4EB4F
+_POWERS = np.array([pow(_BASE, i, 2**64) for i in range(_HASHED)], dtype=np.uint64)
+_DOWN = np.uint64(pow(_BASE, -1, 2**64))
+_DOWN2 = np.uint64(pow(_BASE, -2, 2**64))
+_BITS = np.array([1 << i for i in range(8)], dtype=np.uint8)
+_LETTER, _QUOTE = 1, 2
+
+
+@cache
+def _characters() -> np.ndarray:
+    """By code point: whether it is a letter of words or a quotation mark."""
+    found = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    for run in _WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        found[run.start() : run.end()] = _LETTER
+    found[[ord(mark) for mark in _QUOTES]] = _QUOTE
+    return found
+
+
+@cache
+def _values() -> np.ndarray:
+    """A number of 64 bits for each code point, as if by chance."""
+    found = np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(factor)
+    return found ^ (found >> np.uint64(32))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _hashes(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits for each word; those of ``_HASHED`` letters or fewer are sums over letters."""
+    found = np.zeros(len(starts), dtype=np.uint64)
+    values = _values()
+    for low in range(0, len(starts), _WORDS_AT_ONCE):
+        some = slice(low, low + _WORDS_AT_ONCE)
+        size = np.minimum(sizes[some], _HASHED)
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        summands = values[letters[np.repeat(starts[some], size) + place]] * _POWERS[place]
+        found[some] = np.add.reduceat(summands, first)
+    for i in np.flatnonzero(sizes > _HASHED).tolist():
+        word = letters[starts[i] : starts[i] + sizes[i]]
+        found[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest())
+    return found
+
+
+def _columns(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """The first letters of words, a row for each letter; zero behind a word's end."""
+    at = np.arange(length)[:, None]
+    found = letters[np.minimum(starts + at, len(letters) - 1)]
+    found[at >= sizes] = 0
+    return found
+
+
+def _rising(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all beginnings of words of one length, from none on; a row for each beginning."""
+    sums = np.zeros((len(codes) + 1, codes.shape[1]), dtype=np.uint64)
+    np.cumsum(_values()[codes] * _POWERS[: len(codes), None], axis=0, out=sums[1:])
+    return sums
+
+
+def _without(sums: np.ndarray, length: int, left_out: int, last: bool) -> Iterator[np.ndarray]:
+    """Hashes of the first ``length`` letters with ``left_out`` of them left out, in all ways.
+
+    ``sums`` is from ``_rising``. The last letter is left out only if ``last``.
+    """
+    end, until = sums[length], length if last else length - 1
+    if left_out == 0:
+        yield end[None]
+    elif left_out == 1:
+        yield sums[:until] + (end - sums[1 : until + 1]) * _DOWN
+    else:
+        for p in range(until - 1):
+            between = (sums[p + 1 : until] - sums[p + 1]) * _DOWN
+            yield sums[p] + between + (end - sums[p + 2 : until + 1]) * _DOWN2
+
+
+class _Near:
+    """Finds the terms that may be a few edits from a word, or with ``heads`` from its beginning.
+
+    Where a term is within k edits of a word, up to k letters left out of each leave the same
+    letters. The hashes of what terms leave are kept in order, and in a bitmap that most
+    hashes of words are not in. With ``heads`` a term's first letters stand for it.
+    """
+
+    def __init__(self, terms: list[tuple[int, str]], heads: bool):
+        self._heads = heads
+        keys, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        #: Letters of a word and how many of them to leave out.
+        self._ways: set[tuple[int, int]] = set()
+        same: dict[tuple[int, int], list[tuple[int, str]]] = {}
+        for number, letters in terms:
+            first = letters[:HEAD] if heads else letters
+            same.setdefault((len(first), allowed_edits(letters)), []).append((number, first))
+        for (length, most), group in same.items():
+            sums = _rising(_code_points("".join(letters for _, letters in group)).reshape(-1, length).T)
+            for left_out in range(most + 1):
+                self._ways |= {(length - left_out + b, b) for b in range(most + 1)}
+                for hashes in _without(sums, length, left_out, last=True):
+                    keys.append(hashes.ravel())
+                    numbers.append(np.tile([number for number, _ in group], len(hashes)))
+        found = np.concatenate(keys)
+        order = np.argsort(found, kind="stable")
+        self._keys, self._numbers = found[order], np.concatenate(numbers)[order]
+        bits = max(16, (_BITS_A_KEY * len(found)).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._map = np.zeros(2 ** (bits - 3), dtype=np.uint8)
+        place = (found >> self._shift).view(np.int64)
+        np.bitwise_or.at(self._map, place >> 3, _BITS[place & 7])
+        #: Letters of the longest word, or beginning of one, that is looked up.
+        self.longest = max((length for length, _ in self._ways), default=0)
+
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and of terms, each pair once; the words are all of one length."""
+        length, count = codes.shape
+        hashes, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        ways = [w for w in self._ways if (w[0] <= length if self._heads else w[0] == length)]
+        sums = _rising(codes) if ways else None
+        for first, left_out in ways:
+            # A beginning whose last letter is left out is a shorter beginning.
+            for some in _without(sums, first, left_out, last=not self._heads):
+                place = (some >> self._shift).view(np.int64)
+                hit = np.flatnonzero(self._map[place >> 3] & _BITS[place & 7])
+                hashes.append(some.ravel()[hit])
+                words.append(hit % count)
+        wanted, word = np.concatenate(hashes), np.concatenate(words)
+        low = np.searchsorted(self._keys, wanted, "left")
+        many = np.searchsorted(self._keys, wanted, "right") - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.unique(np.repeat(word, many) << 32 | self._numbers[at])
+        return both >> 32, both & 0xFFFFFFFF
+
+
+def _edits(a: np.ndarray, b: np.ndarray, own: np.ndarray, ends: np.ndarray, stem: bool) -> np.ndarray:
+    """Edits between words and terms, pair by pair; above two they count as three or more.
+
+    ``a`` and ``b`` have a row for each letter of the words, ``own`` long, and of the terms,
+    ``ends`` long. With ``stem`` the nearest beginning of the word counts. Only beginnings
+    within two letters of each other's length are looked at.
+    """
+    count, width, longest = a.shape[1], len(a), len(b)
+    same = [[a[i] == b[j] if 0 <= j < longest else None for j in range(i - 3, i + 4)] for i in range(width)]
+    most = np.uint8(9)
+    best = np.full(count, most)
+    before: list[np.ndarray] = []
+    # Place d of row i holds the edits between i letters of the word and i + d - 2 of the term.
+    last = [np.full(count, d - 2 if d >= 2 else most, dtype=np.uint8) for d in range(5)]
+    for i in range(width + 1):
+        if i:
+            row = []
+            for d in range(5):
+                j = i + d - 2
+                if j < 0 or j > longest:
+                    row.append(np.full(count, most))
+                    continue
+                if j == 0:
+                    value = np.full(count, np.uint8(i))
+                else:
+                    value = last[d] + ~same[i - 1][d + 1]
+                    if d:
+                        np.minimum(value, row[d - 1] + np.uint8(1), out=value)
+                if d < 4:
+                    np.minimum(value, last[d + 1] + np.uint8(1), out=value)
+                if i > 1 and j > 1:
+                    swapped = same[i - 1][d] & same[i - 2][d + 2]
+                    np.minimum(value, before[d] + np.uint8(1), out=value, where=swapped)
+                row.append(np.minimum(value, most, out=value))
+            before, last = last, row
+        here = (own >= i) if stem else (own == i)
+        for d in range(5):
+            np.minimum(best, last[d], out=best, where=here & (ends == i + d - 2))
+    return best
+
+
+class Reading(NamedTuple):
+    """The words of a text in order: where they start, the nearest term or -1, its edits, their kind."""
+
+    starts: np.ndarray
+    term: np.ndarray
+    edits: np.ndarray
+    kind: np.ndarray
+
+
 class Lexicon:
     """Terms that words match exactly or misspelled; a term ending in ``*`` is a stem.
 
-    The terms' trie is walked by a Levenshtein automaton with swaps: a state is the set of trie
-    nodes a word's beginning may have led to, with the edits spent and, within a swap, the
-    letter that has to come next. Sets are numbered as they are met and their moves kept, so a
-    word costs one look-up a letter.
+    Words are looked up many at a time and each different one once. What letters left out of
+    words and terms have in common names the few terms a word may be near; the edits to
+    those are counted.
     """
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self._children: list[dict[str, int]] = [{}]
-        self._term: list[int] = [-1]
-        self._stem: list[bool] = [False]
-        self._edits: list[int] = [0]
-        for number, term in enumerate(terms):
-            letters, stem = term.rstrip("*"), term.endswith("*")
-            # A stem and a word of the same letters end in nodes of their own.
-            at = 0
-            for letter in [*letters, "*"] if stem else letters:
-                if letter not in self._children[at]:
-                    self._children[at][letter] = len(self._children)
-                    self._children.append({})
-                    self._term.append(-1)
-                    self._stem.append(False)
-                    self._edits.append(0)
-                at = self._children[at][letter]
-                self._edits[at] = max(self._edits[at], allowed_edits(letters))
-            self._term[at], self._stem[at] = number, stem
-        self._edits[0] = max(map(allowed_edits, (t.rstrip("*") for t in terms)), default=0)
-        self._reset()
-
-    def _reset(self) -> None:
-        self._numbers: dict[frozenset, int] = {}
-        self._sets: list[frozenset] = []
-        self._moves: list[dict[str, int]] = []
-        self._best: list[tuple[int, int] | None] = []
-        self._words: dict[str, tuple[int, int] | None] = {}
-        self._start = self._number(self._spread({(0, 0, "")}))
-
-    def _spread(self, places: set[tuple[int, int, str]]) -> frozenset:
-        """Add what skipping letters of terms reaches, and stems that are complete."""
-        todo = list(places)
-        while todo:
-            node, spent, due = todo.pop()
-            if due:
-                continue
-            for letter, child in self._children[node].items():
-                cost = 0 if letter == "*" else 1
-                after = (child, spent + cost, "")
-                if after not in places and spent + cost <= self._edits[child]:
-                    places.add(after)
-                    todo.append(after)
-        least: dict[tuple[int, str], int] = {}
-        for node, spent, due in places:
-            least[node, due] = min(spent, least.get((node, due), spent))
-        return frozenset((node, spent, due) for (node, due), spent in least.items())
-
-    def _number(self, places: frozenset) -> int:
-        if places not in self._numbers:
-            self._numbers[places] = len(self._sets)
-            self._sets.append(places)
-            self._moves.append({})
-            ends = [
-                (spent, self._term[n])
-                for n, spent, due in places
-                if not due and self._term[n] >= 0 and spent <= allowed_edits(self.terms[self._term[n]].rstrip("*"))
-            ]
-            self._best.append(min(ends)[::-1] if ends else None)
-        return self._numbers[places]
-
-    def _move(self, state: int, letter: str) -> int:
-        after: set[tuple[int, int, str]] = set()
-        for node, spent, due in self._sets[state]:
-            if due:
-                if due == letter:
-                    after.add((node, spent, ""))
-                continue
-            if self._stem[node]:
-                after.add((node, spent, ""))
-                continue
-            if spent < self._edits[node]:
-                after.add((node, spent + 1, ""))
-            for other, child in self._children[node].items():
-                cost = spent + (other != letter)
-                if other != "*" and cost <= self._edits[child]:
-                    after.add((child, cost, ""))
-                swapped = self._children[child].get(letter) if other not in ("*", letter) else None
-                if swapped is not None and spent < self._edits[swapped]:
-                    after.add((swapped, spent + 1, other))
-        return self._number(self._spread(after))
+        letters = [t.rstrip("*") for t in terms]
+        self._letters = _code_points("".join(letters))
+        self._sizes = np.array([len(own) for own in letters], dtype=np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._allowed = np.array([allowed_edits(own) for own in letters], dtype=np.int64)
+        stems = [x for x in enumerate(letters) if terms[x[0]].endswith("*")]
+        whole = [x for x in enumerate(letters) if not terms[x[0]].endswith("*")]
+        self._stems = _Near(stems, heads=True)
+        self._short = _Near([x for x in whole if len(x[1]) <= LONG], heads=False)
+        self._long = _Near([x for x in whole if len(x[1]) > LONG], heads=True)
+        #: Hashes of known words in order, and by their places what a reading has of them.
+        self._known = np.zeros(0, np.uint64)
+        self._term, self._edits = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        listed = sorted(REPORTING | ADDRESS)
+        size = np.array([len(word) for word in listed])
+        kinds = [REPORTS * (word in REPORTING) | ADDRESSES * (word in ADDRESS) for word in listed]
+        hashes = _hashes(_code_points("".join(listed)), np.cumsum(size) - size, size)
+        order = np.argsort(hashes)
+        self._listed, self._kinds = hashes[order], np.array(kinds, np.uint8)[order]
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term's number and its edits, or None."""
-        if word in self._words:
-            return self._words[word]
-        if len(self._words) > CACHE_WORDS or len(self._sets) > CACHE_STATES:
-            self._reset()
-        state = self._start
-        for letter in word:
-            moves = self._moves[state]
-            if letter not in moves:
-                moves[letter] = self._move(state, letter)
-            state = moves[letter]
-            if not self._sets[state]:
-                break
-        self._words[word] = found = self._best[state]
-        return found
+        found = self.read(_code_points(word))
+        hit = found.term[:1] >= 0
+        return (int(found.term[0]), int(found.edits[0])) if hit.any() else None
+
+    def read(self, letters: np.ndarray) -> Reading:
+        """The words among ``letters``, code points of lower-cased text."""
+        inside = np.concatenate([[False], _characters()[letters] == _LETTER, [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, sizes = turns[::2], turns[1::2] - turns[::2]
+        own, first, back = np.unique(
+            _hashes(letters, starts, sizes), return_index=True, return_inverse=True
+        )
+        if len(self._known) > CACHE_WORDS:
+            self._known, self._term, self._edits = self._known[:0], self._term[:0], self._edits[:0]
+        at, known = _places(self._known, own)
+        new = first[~known]
+        term, edits = np.zeros(len(own), np.int32), np.zeros(len(own), np.uint8)
+        term[known], edits[known] = self._term[at[known]], self._edits[at[known]]
+        term[~known], edits[~known] = self._nearest(letters, starts[new], sizes[new])
+        hashes = np.concatenate([self._known, own[~known]])
+        order = np.argsort(hashes, kind="stable")
+        self._known = hashes[order]
+        self._term = np.concatenate([self._term, term[~known]])[order]
+        self._edits = np.concatenate([self._edits, edits[~known]])[order]
+        at, listed = _places(self._listed, own)
+        kind = np.zeros(len(own), np.uint8)
+        kind[listed] = self._kinds[at[listed]]
+        return Reading(starts, term[back], edits[back], kind[back])
+
+    def _nearest(
+        self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the nearest term, the first of equally near ones or -1, and its edits."""
+        #: Edits and number of the best term yet, as one number.
+        best = np.full(len(starts), _NONE)
+
+        def judge(near: _Near, of: np.ndarray, length: int, stem: bool = False) -> None:
+            """Lower ``best`` of the words ``of`` by the terms near their first ``length`` letters."""
+            for low in range(0, len(of) if length else 0, _WORDS_AT_ONCE):
+                some = of[low : low + _WORDS_AT_ONCE]
+                word, term = near.pairs(_columns(letters, starts[some], sizes[some], length))
+                word, power = some[word], np.frexp(self._sizes[term])[1]
+                # Lengths within a factor of two together, so that few places are empty.
+                for same in np.unique(power):
+                    w, t = word[power == same], term[power == same]
+                    longest = int(self._sizes[t].max())
+                    step = max(1, _LETTERS_AT_ONCE // longest)
+                    for part in range(0, len(w), step):
+                        compare(w[part : part + step], t[part : part + step], longest, stem)
+
+        def compare(w: np.ndarray, t: np.ndarray, longest: int, stem: bool) -> None:
+            edits = _edits(
+                _columns(letters, starts[w], sizes[w], longest + 2),
+                _columns(self._letters, self._starts[t], self._sizes[t], longest),
+                sizes[w],
+                self._sizes[t],
+                stem,
+            ).astype(np.int64)
+            fits = edits <= self._allowed[t]
+            np.minimum.at(best, w[fits], edits[fits] << 32 | t[fits])
+
+        by_length = np.argsort(sizes, kind="stable")
+        ends = np.cumsum(np.bincount(np.minimum(sizes, LONG + 3), minlength=LONG + 4))
+        for length in range(1, LONG + 3):
+            of = by_length[ends[length - 1] : ends[length]]
+            if length <= self._short.longest:
+                judge(self._short, of, length)
+            if length < self._stems.longest:
+                judge(self._stems, of, length, stem=True)
+        judge(self._stems, np.flatnonzero(sizes >= self._stems.longest), self._stems.longest, stem=True)
+        judge(self._long, np.flatnonzero(sizes > LONG - 2), self._long.longest)
+        return np.where(best < _NONE, best & 0xFFFFFFFF, -1), (best >> 32) & 0xFF
+
+
+def _places(sorted_numbers: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted numbers are or would be, and whether they are there."""
+    at = np.searchsorted(sorted_numbers, wanted)
+    found = np.zeros(len(wanted), dtype=bool)
+    inside = at < len(sorted_numbers)
+    found[inside] = sorted_numbers[at[inside]] == wanted[inside]
+    return at, found
 
 
 def measures(text: str, lexicon: Lexicon, strengths: np.ndarray) -> list[float]:
     """What the hits of one whole text say, abusive and quoted ones apart."""
-    lowered = text.lower()
-    words = _WORD.findall(lowered)
-    hits = [(i, found) for i, w in enumerate(words) if (found := lexicon.match(w))]
-    abuse = misspelled = quoted = address = 0
-    best, total = [0.0, 0.0], 0.0
-    if hits:
-        spans = [m.span() for m in _WORD.finditer(lowered)]
-        for i, (term, edits) in hits:
-            low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-            before = lowered[spans[low][0] : spans[i][0]]
-            after = lowered[spans[i][1] : spans[high - 1][1]]
-            near = words[low:i] + words[i + 1 : high]
-            marked = bool(_QUOTES.search(before)) and bool(_QUOTES.search(after))
-            if marked or REPORTING.intersection(near):
-                quoted += 1
-            elif edits:
-                misspelled += 1
-                best[1] = max(best[1], float(strengths[term]))
-            else:
-                abuse += 1
-                total += float(strengths[term])
-                best[0] = max(best[0], float(strengths[term]))
-            address += bool(ADDRESS.intersection(near))
-    share = 1 + math.log1p(len(words))
+    return _measures([text], lexicon, strengths)[0]
+
+
+def _measures(texts: list[str], lexicon: Lexicon, strengths: np.ndarray) -> list[list[float]]:
+    """The measures of each of the texts."""
+    lowered = [text.lower() for text in texts]
+    letters = _code_points(" ".join([*lowered, ""]))
+    read = lexicon.read(letters)
+    ends = np.searchsorted(read.starts, np.cumsum([len(text) + 1 for text in lowered]))
+    counts = np.diff(ends, prepend=0)
+    at = np.flatnonzero(read.term >= 0)
+    of = np.searchsorted(ends, at, "right")
+    low = np.maximum(at - WINDOW, (ends - counts)[of])
+    high = np.minimum(at + WINDOW + 1, ends[of])
+
+    def near(kind: int) -> np.ndarray:
+        """Whether a word of the kind is in the window, beside the hit itself."""
+        own = (read.kind & kind) > 0
+        upto = np.concatenate([[0], np.cumsum(own)])
+        return upto[high] - upto[low] - own[at] > 0
+
+    quotes = np.flatnonzero(_characters()[letters] == _QUOTE)
+    # Quotation marks before a hit, before its window's first word, and before its last one.
+    marks, marks_low, marks_high = (
+        np.searchsorted(quotes, read.starts[words]) for words in (at, low, high - 1)
+    )
+    quoted = near(REPORTS) | ((marks > marks_low) & (marks_high > marks))
+    wrong = ~quoted & (read.edits[at] > 0)
+    plain = ~quoted & ~wrong
+    strength = strengths[read.term[at]]
+    best = np.zeros((2, len(texts)))
+    for row, which in zip(best, (plain, wrong), strict=True):
+        np.maximum.at(row, of[which], strength[which])
+    sums = [np.bincount(of[x], minlength=len(texts)) for x in (plain, wrong, quoted, near(ADDRESSES))]
+    totals = np.bincount(of[plain], strength[plain], minlength=len(texts))
+    columns = (counts, *sums, *best, totals)
+    return [_summary(*row) for row in zip(*(c.tolist() for c in columns), strict=True)]
+
+
+def _summary(
+    words: int, abuse: int, misspelled: int, quoted: int, address: int, best: float, second: float, total: float
+) -> list[float]:
+    share = 1 + math.log1p(words)
     return [
         1.0,
         min(abuse, 1.0),
         math.log1p(abuse),
-        best[0] / 4,
+        best / 4,
         min(misspelled, 1.0),
         math.log1p(misspelled),
-        best[1] / 4,
+        second / 4,
         math.log1p(quoted),
         math.log1p(address),
         math.log1p(total),
@@ -220,7 +444,22 @@ def _lexicon(terms: tuple[str, ...]) -> Lexicon:
 
 def _measured(texts: list[str | None], model: Model) -> np.ndarray:
     lexicon, strengths = _lexicon(model.terms), np.array(model.strengths)
-    return np.array([measures(t or "", lexicon, strengths) for t in texts]).reshape(-1, WIDTH)
+    rows = [row for part in _parts(texts) for row in _measures(part, lexicon, strengths)]
+    return np.array(rows).reshape(-1, WIDTH)
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, ``CHUNK_LETTERS`` at a time or one by one if longer; nulls are empty."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text or "") > CHUNK_LETTERS:
+            yield part
+            part, size = [], 0
+        part.append(text or "")
+        size += len(text or "")
+    if part:
+        yield part
 
 
 def terms_of(text: str) -> set[str]:
@@ -360,9 +599,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document, over whole texts.
 
-    Words match the lexicon as they are or with one edit. A hit within quotation marks, or near a
-    word that reports speech, counts as quoted, any other as abuse; the weights of both
-    are learned. A null text scores like an empty one; every row gives a row, and an empty
+    Words match the lexicon as they are or with the edits it allows. A hit within quotation
+    marks, or near a word that reports speech, counts as quoted, any other as abuse; the
+    weights of both are learned. A null text scores like an empty one; every row gives a row, and an empty
     table an empty one. Without usable labels no text is toxic.
     """
     model = learn(docs, labels)
