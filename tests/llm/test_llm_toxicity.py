@@ -6,8 +6,10 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest import TESTDATA
 from helpers import ODD_TEXTS, no_documents, odd_documents
 
@@ -120,6 +122,32 @@ def test_long_terms_and_stems():
     assert lexicon.match(longest[:500] + "x" + longest[500:700] + longest[702:]) is None
 
 
+def plain_terms(text):
+    words = {w for w in re.findall(r"\w+", text.lower()) if len(w) >= 3}
+    return words | {w[:k] + "*" for w in words for k in toxicity.STEM_LENGTHS if len(w) > k}
+
+
+def test_terms_are_counted_before_they_are_sent(monkeypatch):
+    texts = ["idiot idiot house", "the idiot", "", "house of cards", "ΟΔΟΣ, İdiot-idiotic", "a_b " + "x" * 1500] * 3
+    labels, halves = [1, 0, 0, 0, 1, 1] * 3, [0, 1, 0, 1, 1, 0] * 3
+    batch = pa.RecordBatch.from_pydict({"text": texts, "label": labels, "half": halves})
+    plain = Counter(
+        (term, ("clean", "toxic")[label] + str(half))
+        for text, label, half in zip(texts, labels, halves, strict=True)
+        for term in plain_terms(text)
+    )
+    terms = {term for term, _ in plain}
+    for most in (toxicity.CHUNK_LETTERS, 20):
+        monkeypatch.setattr(toxicity, "CHUNK_LETTERS", most)
+        sent = [row for part in toxicity.counted_terms(iter([batch, batch])) for row in part.to_pylist()]
+        found = Counter()
+        for row in sent:
+            found.update({(row["term"], kind): row[kind] for kind in toxicity.CLASSES if row[kind]})
+        assert found == {key: 2 * n for key, n in plain.items()}
+        # A term goes out once for all texts that are read together, not once for each text.
+        assert len(sent) == 2 * len(terms) if most > 20 else len(sent) > 2 * len(terms)
+
+
 def plain_measures(text, lexicon, strengths):
     """The measures word by word."""
     lowered = text.lower()

@@ -88,6 +88,13 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _bounds(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words among code points start, and how long they are."""
+    inside = np.concatenate([[False], _characters()[letters] == _LETTER, [False]])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2] - turns[::2]
+
+
 def _hashes(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A hash of 64 bits for each word; those of ``_HASHED`` letters or fewer are sums over letters."""
     found = np.zeros(len(starts), dtype=np.uint64)
@@ -188,7 +195,8 @@ class _Near:
         low = np.searchsorted(self._keys, wanted, "left")
         many = np.searchsorted(self._keys, wanted, "right") - low
         at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        both = np.unique(np.repeat(word, many) << 32 | self._numbers[at])
+        both = np.sort(np.repeat(word, many) << 32 | self._numbers[at])
+        both = both[np.diff(both, prepend=-1) > 0]
         return both >> 32, both & 0xFFFFFFFF
 
 
@@ -280,9 +288,7 @@ class Lexicon:
 
     def read(self, letters: np.ndarray) -> Reading:
         """The words among ``letters``, code points of lower-cased text."""
-        inside = np.concatenate([[False], _characters()[letters] == _LETTER, [False]])
-        turns = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, sizes = turns[::2], turns[1::2] - turns[::2]
+        starts, sizes = _bounds(letters)
         own, first, back = np.unique(
             _hashes(letters, starts, sizes), return_index=True, return_inverse=True
         )
@@ -462,10 +468,54 @@ def _parts(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
-def terms_of(text: str) -> set[str]:
-    """The words of a text and their beginnings as stems, once each."""
-    words = {w for w in _WORD.findall(text.lower()) if len(w) >= STEM_LENGTHS[0]}
-    return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
+CLASSES = ("toxic0", "clean0", "toxic1", "clean1")
+
+
+def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean texts of each half have each term; a term may come in several parts.
+
+    Terms are the words of three letters and more, and their beginnings as stems.
+    """
+    for batch in batches:
+        label, half = (np.array(batch.column(c).to_pylist(), np.int64) for c in ("label", "half"))
+        kinds, done = 2 * half + 1 - label, 0
+        for part in _parts(batch.column("text").to_pylist()):
+            for terms, counts in _term_counts(part, kinds[done : done + len(part)]):
+                columns = [pa.array(terms, pa.string()), *map(pa.array, np.ascontiguousarray(counts.T))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", *CLASSES])
+            done += len(part)
+
+
+def _term_counts(texts: list[str], kinds: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Terms of texts, and for each of them how many of the texts of each kind have it."""
+    lowered = [text.lower() for text in texts]
+    joined = " ".join([*lowered, ""])
+    letters = _code_points(joined)
+    starts, sizes = _bounds(letters)
+    starts, sizes = starts[sizes >= STEM_LENGTHS[0]], sizes[sizes >= STEM_LENGTHS[0]]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, "right")
+
+    def count(term: np.ndarray, text: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a text and a term, each once, and the counts of the terms."""
+        both = np.sort(text << 32 | term)
+        both = both[np.diff(both, prepend=-1) > 0]
+        text, term = both >> 32, both & 0xFFFFFFFF
+        found = np.bincount(term * len(CLASSES) + kinds[text], minlength=number * len(CLASSES))
+        return text, term, found.reshape(-1, len(CLASSES))
+
+    _, first, word = np.unique(_hashes(letters, starts, sizes), return_index=True, return_inverse=True)
+    starts, sizes = starts[first], sizes[first]
+    text, word, counts = count(word, text, len(first))
+    places = zip(starts.tolist(), (starts + sizes).tolist(), strict=True)
+    yield [joined[low:high] for low, high in places], counts
+    for k in STEM_LENGTHS:
+        longer = np.flatnonzero(sizes > k)
+        heads = _hashes(letters, starts[longer], np.full(len(longer), k))
+        stem_of = np.full(len(starts), -1)
+        _, first, stem_of[longer] = np.unique(heads, return_index=True, return_inverse=True)
+        stems, has = stem_of[word], stem_of[word] >= 0
+        counts = count(stems[has], text[has], len(first))[2]
+        yield [joined[low : low + k] + "*" for low in starts[longer[first]].tolist()], counts
 
 
 def chance_strength(terms: int) -> float:
@@ -522,16 +572,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
     rows = staged(texts.withColumn("half", half), "toxicity-texts")
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("text", "label", "half"))
-            for text, label, own in zip(*columns, strict=True):
-                found = sorted(terms_of(text))
-                ones = [pa.array([value] * len(found), pa.int32()) for value in (label, own)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.string()), *ones], names=["term", "label", "half"]
-                )
-
     label, second = F.col("label"), F.col("half")
     sums = (
         F.sum(label * (1 - second)).alias("toxic0"),
@@ -543,9 +583,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
     rate = (whole[0] + whole[2] + 1) / (whole[1] + whole[3] + 1)
     common = staged(
-        rows.mapInArrow(terms, "term string, label int, half int")
+        rows.mapInArrow(counted_terms, "term string, " + ", ".join(f"{c} long" for c in CLASSES))
         .groupBy("term")
-        .agg(*sums)
+        .agg(*(F.sum(c).alias(c) for c in CLASSES))
         .where(toxic >= 3),
         "toxicity-terms",
     )
